@@ -7,19 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import simhash_bktree
+from provena.llm import packing, pst, simhash_bktree
 from provena.session import table
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a packed sequence."""
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = simhash_bktree.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and suffix-tree score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = pst.train(docs.where(~pst.held_out(F.col("doc_id"))))
+    scores = pst.score(docs, model)
+    return scores.select("doc_id", pst.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_packing": op6_packing,
         "op8_simhash_bktree": op8_simhash_bktree,
+        "op10_pst": op10_pst,
     }
 
 
