@@ -7,13 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import packing, pst, simhash_bktree
+from provena.llm import decontaminate, packing, pii, pst, simhash_bktree, string_kernel
 from provena.session import table
 
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: A fixed key makes the query repeatable; a production run passes its own secret.
+DEMO_KEY = b"pseudonyms of the public test tables"
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item inside every document: doc_id, item_id, shingles shared and in the item."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM docs WHERE len(w) >= 5),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM items WHERE len(w) >= 5),
+q AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id),
+hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item FROM hit JOIN q USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
+"""
+
+
+def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; the model sees the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    model = string_kernel.train(docs.where(fold != 1))
+    found = docs.select("doc_id", (fold == 1).alias("held_out"), string_kernel.predict(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms for its personal data, the kinds and number of the values."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.pseudonyms(F.col("text"), DEMO_KEY).alias("p"))
+    return found.select("doc_id", F.col("p.text").alias("text"), F.col("p.kinds").alias("kinds"), F.col("p.n").cast("long").alias("n_values"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a packed sequence."""
     import public_tokenizers
@@ -38,6 +74,9 @@ def op10_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op4_string_kernel": op4_string_kernel,
+        "op7_pseudonyms": op7_pseudonyms,
         "op6_packing": op6_packing,
         "op8_simhash_bktree": op8_simhash_bktree,
         "op10_pst": op10_pst,
@@ -45,4 +84,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": OP2_SQL,
+    }
