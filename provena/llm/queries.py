@@ -7,17 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, packing, pii, pst, simhash_bktree, string_kernel
+from provena.llm import decontaminate, licenses, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, warc
 from provena.session import table
 
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    indexed = rabitq.index(table(spark, sf_dir, "embeddings"))
+    found = rabitq.search(indexed, indexed.where(F.col("id") % 50 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) / (q.l * c.l) AS score
+  FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 #: A fixed key makes the query repeatable; a production run passes its own secret.
 DEMO_KEY = b"pseudonyms of the public test tables"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document; base places are those of licenses.BASE."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", licenses.scans(F.col("text")).alias("s"))
+    base = F.filter("s.places", lambda p: p["kind"] == "base")
+    found = found.select("doc_id", "s", base.alias("base"))
+    label = F.array_sort(F.array_distinct(F.transform("base", lambda p: p["label"])))
+    return found.select(
+        "doc_id", F.col("s.n_words").alias("n_words"), F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda p: p["word"])).alias("first_word"), F.array_max(F.transform("base", lambda p: p["word"])).alias("last_word"),
+        F.array_join(label, ",").alias("base_labels"), F.array_join("s.labels", ",").alias("labels"), F.col("s.score").alias("score"),
+        F.array_join(F.transform("s.expressions", lambda e: e["postfix"]), ";").alias("expressions"),
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item inside every document: doc_id, item_id, shingles shared and in the item."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,6 +67,25 @@ SELECT doc_id, item_id, n_shared, n_item FROM hit JOIN q USING (item_id) WHERE n
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages and reads the archives back."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    read = warc.read_archives(manifest)
+    page = F.expr("try_cast(record_id AS BIGINT)")
+    return read.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, x,
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT // (CAST(32 AS BIGINT) ** (3 - j))::BIGINT) % 32)::BIGINT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY x) AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to FROM b
+"""
+
+
 def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; the model sees the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +116,26 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)), '') AS host,
+  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+j AS (SELECT page_id, host, path, rh || rp AS rule, rv, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC, rv DESC) AS k
+  FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM j WHERE k = 1
+"""
+
+
 def op10_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and suffix-tree score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -74,11 +146,15 @@ def op10_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_decontaminate": op2_decontaminate,
+        "op3_warc": op3_warc,
         "op4_string_kernel": op4_string_kernel,
-        "op7_pseudonyms": op7_pseudonyms,
+        "op5_rabitq": op5_rabitq,
         "op6_packing": op6_packing,
+        "op7_pseudonyms": op7_pseudonyms,
         "op8_simhash_bktree": op8_simhash_bktree,
+        "op9_url_filter": op9_url_filter,
         "op10_pst": op10_pst,
     }
 
@@ -86,4 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": OP2_SQL,
+        "op3_warc": OP3_SQL,
+        "op5_rabitq": OP5_SQL,
+        "op9_url_filter": OP9_SQL,
     }
