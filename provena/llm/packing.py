@@ -20,6 +20,7 @@ repeated rows are packed one by one; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,17 @@ _CACHE = 400_000
 _tokenizers: dict[str, object] = {}
 
 
+#: Blanks of str.split() that the tokenizer reads as text.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def blank_chunks(text: str) -> list[str]:
+    """Chunks between the Unicode white space that the tokenizer drops."""
+    if _SEPARATORS.search(text):
+        return [c for c in re.split(r"[^\S\x1c-\x1f]+", text) if c]
+    return text.split()
+
+
 class WordCache:
     """Token ids of a text from those of its blank-separated chunks.
 
@@ -53,7 +65,7 @@ class WordCache:
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        chunks = (text or "").split()
+        chunks = blank_chunks(text or "")
         parts = list(map(self.cache.get, chunks))
         if None in parts:
             if len(self.cache) > _CACHE:

@@ -69,10 +69,10 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     expanded = expanded.select("u", digest(F.concat("s", F.substring(F.col("p"), F.lit(1), F.col("n")))).alias("d")).withColumn("k", short(F.col("d")))
     fits = expanded.join(told, "k").where("d = full")
     rank = F.struct("size", "hosts", (F.col("told") == "block").alias("blocks"))
-    best = fits.groupBy("u").agg(F.max_by(F.struct("rule", "told"), rank).alias("best"))
+    best = fits.groupBy("u").agg(F.max_by(F.struct("rule", "told"), rank).alias("__best")).withColumnRenamed("u", "__key")
 
     own = {"host", "path", "rule", "verdict"}
     rows = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c not in own or c == url_col]).withColumn("__u", F.col(url_col))
-    judged = rows.join(best, F.col("__u") == F.col("u"), "left")
-    out = [host_of(F.col("__u")).alias("host"), path_of(F.col("__u")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.told", F.lit(default)).alias("verdict")]
+    judged = rows.join(best, F.col("__u") == F.col("__key"), "left")
+    out = [host_of(F.col("__u")).alias("host"), path_of(F.col("__u")).alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.told", F.lit(default)).alias("verdict")]
     return judged.select(*[F.col(f"`{c}`") for c in urls.columns if c not in own], *out)
