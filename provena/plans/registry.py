@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.plans import provenance
+from provena.plans import advisories, libraries, provenance
 
 FLAGSHIP = "tree_verdict"
-MODULES = (provenance,)
+MODULES = (provenance, libraries, advisories)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
