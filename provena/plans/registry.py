@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.plans import advisories, libraries, provenance
+from provena.plans import advisories, knowledge, libraries, provenance
 
 FLAGSHIP = "tree_verdict"
-MODULES = (provenance, libraries, advisories)
+MODULES = (provenance, libraries, advisories, knowledge)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

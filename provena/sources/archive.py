@@ -29,6 +29,8 @@ def members(data: bytes) -> Iterator[tuple[str, bytes]]:
         if head[58:] != b"`\n":
             raise ValueError(f"bad member header at {at}")
         raw, size = head[:16].decode("latin-1").rstrip(), int(head[48:58])
+        if at + 60 + size > len(data):
+            raise ValueError(f"member at {at} is cut short")
         body = data[at + 60 : at + 60 + size]
         at += 60 + size + size % 2
         if raw == "//":
@@ -74,15 +76,16 @@ class ReadArchive:
     """All symbols of an archive; a member that is no ELF file is one skipped row, a fault one error row."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
+        rows: list[tuple] = []
         try:
             for k, (name, body) in enumerate(members(bytes(content))):
                 symbols = elf_symbols(body)
                 if symbols is None:
-                    yield name, k, None, None, None, None, True, None
-                for s in symbols or []:
-                    yield name, k, *s, False, None
-        except Exception as e:  # malformed input of any kind is a row of its own
-            yield None, None, None, None, None, None, None, str(e)
+                    rows.append((name, k, None, None, None, None, True, None))
+                rows += [(name, k, *s, False, None) for s in symbols or []]
+        except Exception as e:  # a malformed library of any kind is one row
+            rows = [(None, None, None, None, None, None, None, str(e) or type(e).__name__)]
+        yield from rows
 
 
 def read_libraries(libraries: DataFrame, key: str = "archive", content: str = "content") -> DataFrame:
