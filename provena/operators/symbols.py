@@ -34,13 +34,19 @@ def explained(kept: DataFrame, refs: DataFrame) -> DataFrame:
     return kept.join(refs.distinct(), ["component", "symbol"]).groupBy("lib", "component", "release", "ord").agg(F.count("*").alias("matched"))
 
 
-def _soft(rows: DataFrame, libs: DataFrame, refs: DataFrame) -> DataFrame:
-    """rows with soft: symbols of the release that the library defines nowhere."""
-    refs = refs.select("component", "release", "symbol").distinct()
+def _overlaps(libs: DataFrame, refs: DataFrame, components: DataFrame) -> DataFrame:
+    """lib, component, release, ord, matched, unexplained, soft for every release that explains a known symbol.
+
+    One join on the symbol and one aggregation give both counts of a library and a release: common symbols with the
+    prefix (matched) and all common symbols (held; the rest of the release is softly absent).
+    """
+    refs = refs.select("component", "release", "ord", "symbol").distinct()
     size = refs.groupBy("component", "release").agg(F.count("*").alias("size"))
-    held = rows.select("lib", "component", "release").join(refs, ["component", "release"]).join(libs.select("lib", "symbol").distinct(), ["lib", "symbol"])
-    held = held.groupBy("lib", "component", "release").agg(F.count("*").alias("held"))
-    return rows.join(size, ["component", "release"]).join(held, ["lib", "component", "release"], "left").withColumn("soft", F.col("size") - F.coalesce("held", F.lit(0))).drop("size", "held")
+    common = libs.select("lib", "symbol").distinct().join(refs, "symbol").join(components, "component")
+    counts = common.groupBy("lib", "component", "release", "ord").agg(F.count_if(F.expr("symbol rlike concat('^(?:', prefix, ')')")).alias("matched"), F.count("*").alias("held"))
+    n = known(libs, refs, components).groupBy("lib", "component").agg(F.count("*").alias("n_known"))
+    told = counts.where("matched > 0").join(n, ["lib", "component"]).join(size, ["component", "release"])
+    return told.select("lib", "component", "release", "ord", "n_known", (F.col("n_known") - F.col("matched")).alias("unexplained"), (F.col("size") - F.col("held")).alias("soft"))
 
 
 def window(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str = "fold") -> DataFrame:
@@ -50,28 +56,28 @@ def window(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str =
     strict: releases that explain all known symbols.
     rank: the strict ones with the fewest soft absences, else the five closest (order of the table on ties).
     """
-    kept = known(libs, refs, components)
-    n = kept.groupBy("lib", "component").agg(F.count("*").alias("n_known"))
-    told = explained(kept, refs).join(n, ["lib", "component"]).withColumn("unexplained", F.col("n_known") - F.col("matched")).drop("n_known", "matched")
+    told = _overlaps(libs, refs, components)
     pair = Window.partitionBy("lib", "component")
+    if mode == "strict":
+        return told.where("unexplained = 0").drop("n_known").withColumn("kind", F.lit("consistent"))
     if mode == "rank":
-        # releases that share nothing count as well: the closest five may need them
-        all_ = refs.select("component", "release", "ord").distinct()
-        zero = n.join(told.groupBy("lib", "component").agg(F.count("*").alias("m")), ["lib", "component"]).where("m < 5").join(all_, "component")
-        zero = zero.join(told.select("lib", "component", "release"), ["lib", "component", "release"], "left_anti").select("lib", "component", "release", "ord", F.col("n_known").alias("unexplained"))
-        told = told.unionByName(zero)
+        # releases that explain nothing count as well: the closest five may need them where fewer explain something
+        few = told.groupBy("lib", "component").agg(F.count("*").alias("m"), F.max("n_known").alias("n_known"), F.min("unexplained").alias("least")).where("m < 5 and least > 0")
+        sets = refs.select("component", "release", "ord", "symbol").distinct()
+        all_ = sets.groupBy("component", "release", "ord").agg(F.count("*").alias("size"))
+        zero = few.join(all_, "component").join(told.select("lib", "component", "release"), ["lib", "component", "release"], "left_anti")
+        held = libs.select("lib", "symbol").distinct().join(sets, "symbol").groupBy("lib", "component", "release").agg(F.count("*").alias("held"))
+        zero = zero.join(held, ["lib", "component", "release"], "left")
+        told = told.unionByName(zero.select("lib", "component", "release", "ord", "n_known", F.col("n_known").alias("unexplained"), (F.col("size") - F.coalesce("held", F.lit(0))).alias("soft")))
     told = told.withColumn("least", F.min("unexplained").over(pair))
-    if mode == "strict":
-        return _soft(told.where("unexplained = 0").drop("least"), libs, refs).withColumn("kind", F.lit("consistent"))
     kind = F.when(F.col("least") == 0, "consistent").otherwise(F.concat(F.lit("closest (+"), F.col("least"), F.lit(" unexplained)")))
     if mode == "rank":
-        place = F.row_number().over(pair.orderBy("unexplained", "ord"))
-        told = told.withColumn("place", place).where("least = 0 and unexplained = 0 or least > 0 and place <= 5").drop("place")
+        told = told.withColumn("place", F.row_number().over(pair.orderBy("unexplained", "ord"))).where("least = 0 and unexplained = 0 or least > 0 and place <= 5").drop("place")
     else:
         told = told.where("unexplained = least")
-    told = _soft(told.withColumn("kind", kind), libs, refs)
-    narrowed = told.withColumn("fewest", F.min("soft").over(pair)).where((F.col("soft") == F.col("fewest")) | (F.col("least") > 0) & F.lit(mode == "rank"))
-    return narrowed.drop("least", "fewest")
+    told = told.withColumn("kind", kind).withColumn("fewest", F.min("soft").over(pair))
+    kept = told.where((F.col("soft") == F.col("fewest")) | (F.col("least") > 0) & F.lit(mode == "rank"))
+    return kept.drop("n_known", "least", "fewest")
 
 
 def span(rows: DataFrame) -> DataFrame:
