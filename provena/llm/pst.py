@@ -11,7 +11,7 @@ retained if the divergence of its next-symbol distribution from its parent's, le
 least ``divergence`` nats, or if a longer retained context ends in it. Distributions are smoothed towards the parent's
 (Witten-Bell), down to an add-0.1 root over all symbols. A symbol is scored in the state of its longest retained suffix.
 
-The unigram base needs counts of all words. The ``head_words`` most frequent are broadcast; the rest of a document's
+The unigram base needs counts of all words. The most frequent, at most ``head_words``, are broadcast; the rest of a document's
 words, rare by construction and so never a hot key, are joined with the full table of counts.
 
 Defined results: null text is empty (one end token); a null id counts as the empty text in the hash, so it is held out;
@@ -227,11 +227,23 @@ def train(docs: DataFrame, text_col: str = "text", min_share: float = 2e-6, dive
     return Model(grow(levels, divergence, min_share), words, n_words + end_count, vocabulary + (end_count > 0), end_count)
 
 
+def head_floor(words: DataFrame, most: int) -> int:
+    """The smallest count that at most ``most`` words reach, on a grid of 64 steps an octave: a histogram, no sort."""
+    steps = words.groupBy(F.floor(F.log2("c") * 64).cast("int").alias("step")).count().collect()
+    left, floor = most, 1 << 62
+    for step, n in sorted(map(tuple, steps), reverse=True):
+        left -= n
+        if left < 0:
+            return floor
+        floor = int(np.ceil(2 ** (step / 64) * (1 - 1e-12)))
+    return 0
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000) -> DataFrame:
     """id, n_tokens, n_known, base_score, score: a row for each row of docs."""
     spark = docs.sparkSession
     n, v = model.train_tokens, model.vocabulary
-    head = model.words.orderBy(F.desc("c"), "word").limit(head_words).toArrow()
+    head = model.words.where(F.col("c") >= head_floor(model.words, head_words)).toArrow()
     log = np.log10(head["c"].to_numpy().astype(np.float64) + 0.1)
     known = dict(zip((w.encode() for w in head["word"].to_pylist()), log.tolist()))
     shared = spark.sparkContext.broadcast((model.tree, known))
