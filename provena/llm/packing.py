@@ -21,7 +21,9 @@ repeated rows are packed one by one; an empty table gives an empty result; other
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from provena.session import cut
 
 END_ID = 1
+assert sys.byteorder == "little" and array("I").itemsize == 4
 #: Most sources of a mixture whose targets are measured.
 MAX_SOURCES = 10_000
-_CACHE = 400_000
+_CACHE = 800_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -50,17 +53,28 @@ def blank_chunks(text: str) -> list[str]:
     return text.split()
 
 
+#: Byte-level alphabets show a byte as its Latin-1 character where that prints, else as the next one from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+
+#: Latin letters whose lower case is one letter, then punctuation.
+_PUNCTUATED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
+
+
 class WordCache:
     """Token ids of a text from those of its blank-separated chunks.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its chunks' ids in turn. Chunks
-    repeat, so most come from a bounded cache.
+    repeat, so most come from a cache; it is bounded by its number of entries, and full it stays as it is: frequent
+    chunks come early. A chunk that is not there is often a known word with other case or with punctuation behind it,
+    whose ids follow from the word's: the tokenizer lower-cases, and a run of punctuation is a unit of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
+        self.model = self.encode.model
         self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str | None) -> bytes:
@@ -68,16 +82,34 @@ class WordCache:
         chunks = blank_chunks(text or "")
         parts = list(map(self.cache.get, chunks))
         if None in parts:
-            if len(self.cache) > _CACHE:
-                self.cache.clear()
-                parts = [None] * len(chunks)
-            new = list({c for c, p in zip(chunks, parts) if p is None})
-            for c, e in zip(new, self.encode.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
-            get = self.cache.__getitem__
-            parts = [get(c) for c in chunks]
+            at = [i for i, p in enumerate(parts) if p is None]
+            for i, ids in zip(at, self._new([chunks[i] for i in at])):
+                parts[i] = ids
         return b"".join(parts)
 
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that the cache does not hold as they are."""
+        split = list(map(_PUNCTUATED.fullmatch, chunks))
+        words = [m[1].lower() if m else c for c, m in zip(chunks, split)]
+        tails = [m[2] if m else "" for m in split]
+        own: dict[str, bytes] = {}
+        wanted = {w for w in words if w not in self.cache} | {t for t in tails if t and t not in self.cache}
+        # such a word is one unit for the merges, whatever normalisation and splitting do elsewhere
+        for w in {w for w, m in zip(words, split) if m} & wanted:
+            own[w] = array("I", [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        wanted -= own.keys()
+        if wanted:
+            todo = list(wanted)
+            for w, e in zip(todo, self.encode.encode_batch_fast(todo, add_special_tokens=False)):
+                own[w] = array("I", e.ids).tobytes()
+            if len(self.cache) < _CACHE:
+                self.cache.update(own)
+        get = lambda w: own[w] if w in own else self.cache[w]
+        out = [get(w) + get(t) if t else get(w) for w, t in zip(words, tails)]
+        if len(self.cache) < _CACHE * 3 // 8:
+            self.cache.update(zip(chunks, out))
+        return out
+
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
