@@ -55,15 +55,26 @@ def encode(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return pack_bits(turned > 0), np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision and one order of summation, so that equal vectors have equal values."""
-    dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
-    for j in range(a.shape[1]):
-        p, q = a[:, j], b[:, j]
-        dot += p * q
-        x += p * p
-        y += q * q
-    return dot / (np.sqrt(x) * np.sqrt(y))
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Row lengths, summed in the order of the coordinates, so that equal vectors have equal values."""
+    out = np.zeros(len(vectors))
+    for column in np.ascontiguousarray(vectors.T):
+        out += column * column
+    return np.sqrt(out)
+
+
+def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, pairs: int = 8192) -> np.ndarray:
+    """Cosines of the pairs (a[i], b[j]) in double precision and that order; some pairs at a time, coordinates outermost."""
+    at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    length = norms(a)[i] * norms(b)[j]
+    out = np.zeros(len(i))
+    for lo in range(0, len(i), pairs):
+        part = slice(lo, lo + pairs)
+        x, y = at.take(i[part], axis=1), bt.take(j[part], axis=1)
+        x *= y
+        for row in x:
+            out[part] += row
+    return out / length
 
 
 class Queries:
@@ -83,12 +94,10 @@ class Queries:
         """(estimated cosines, error bounds), queries by codes."""
         d = self.vectors.shape[1]
         ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-        weighed = np.zeros((len(self.ids), len(codes)))
+        weighed = np.zeros((len(self.ids), len(codes)), np.int32)
         for b, plane in enumerate(self.planes):
-            both = np.zeros(weighed.shape, np.int64)
             for w in range(codes.shape[1]):
-                both += np.bitwise_count(plane[:, w, None] & codes[None, :, w])
-            weighed += both * float(1 << b)
+                weighed += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << b
         # sum over set bits of the rounded query, twice, less its total: the inner product with the signs
         signs = 2 * (self.low[:, None] * ones[None, :] + self.step[:, None] * weighed) - self.total[:, None]
         scalars = np.maximum(scalars, 1e-9)
@@ -173,9 +182,8 @@ def _rerank(state: tuple, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarra
                 bar = np.sort(np.concatenate([score[part], np.take_along_axis(exact, first, 1)], 1), axis=1)[:, -k]
                 take = (guess + bound >= bar[:, None]) & (guess > -np.inf) & (exact == -np.inf)
             row, col = np.nonzero(take)
-            for i in range(0, len(row), 1 << 16):
-                r, c = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
-                exact[r, c] = cosines(sub.vectors[r], vectors[c])
+            if len(row):
+                exact[row, col] = cosines(sub.vectors, vectors, row, col)
         row, col = np.nonzero(exact > -np.inf)
         n = len(sub.ids)
         kept_row, kept_col = np.nonzero(score[part] > -np.inf)
@@ -190,7 +198,7 @@ def _rerank(state: tuple, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarra
         near[lo + rows[best], place[best]] = names[best]
 
 
-def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 8, epsilon: float = 3.5, block: int = 4096) -> DataFrame:
+def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.0, block: int = 4096) -> DataFrame:
     """query_id, rank, id, score: the k nearest of the indexed rows for each row of wanted (rows of an index)."""
     spark = indexed.sparkSession
     kind = indexed.schema["id"].dataType.simpleString()
