@@ -184,13 +184,18 @@ def pigeonhole_masks(n: int, radius: int, bits: int = 64, shard_rows: int = 64)
     return [sum(block[i] for i in keep) for keep in combinations(range(blocks), blocks - radius)]
 
 
-def sampled_masks(n: int, words: int, tables: int = 24, base_bits: int = 14, seed: int = 7) -> list[list[int]]:
-    """Random key bits over all words, one list of word masks for each table; more bits where n is large."""
-    bits = max(base_bits, int(np.ceil(np.log2(max(n, 2)))) - 4)
+def sampled_masks(n: int, words: int, agree: float, recall: float = 0.95, base_bits: int = 14, seed: int = 7) -> list[list[int]]:
+    """Random key bits over all words, one list of word masks for each table.
+
+    More bits where n is large, so that shards stay small; and as many tables as it takes for a pair whose bits agree
+    with the chance ``agree`` to share a key with the chance ``recall``, whatever n is.
+    """
+    bits = min(max(base_bits, int(np.ceil(np.log2(max(n, 2)))) - 4), 64 * words)
+    tables = int(np.ceil(np.log1p(-recall) / np.log1p(-(agree**bits))))
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(tables):
-        pick = rng.choice(64 * words, size=min(bits, 64 * words), replace=False)
+        pick = rng.choice(64 * words, size=bits, replace=False)
         out.append([sum(1 << int(p - 64 * w) for p in pick if p // 64 == w) for w in range(words)])
     return out
 
@@ -243,17 +248,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     linked = linked.join(least, "root").select("fp", "component")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    # a table of its own: both sides of the last join come from plain exchanges, so a hot fingerprint can be split
+    classes = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component")), "fingerprint-classes")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1042), tables: int = 24, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1042), recall: float = 0.95, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """(id_col, component, copies) of every non-null id: classes of texts whose word shingles have a Jaccard similarity of at least ``similarity``.
 
     Candidates come from BK-trees over 128-bit SimHashes in sampled shards; the radius is where a pair of the wanted
-    similarity lies with 2.5 standard deviations to spare. Each candidate pair is then verified on its exact shingle
+    similarity lies with 2.5 standard deviations to spare; a pair of just that similarity shares a shard with the chance
+    ``recall``, a nearer one with more. Each candidate pair is then verified on its exact shingle
     sets. Equal fingerprints are one node, so copies cost nothing. copies counts the rows of an id; an id that repeats with
     several texts takes the smallest of their components.
     """
@@ -263,7 +270,7 @@ def near_duplicate_classes(
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut(rows.select("id", fingerprints(F.col("text"), shingle, seeds).alias("fp")), "near-prints")
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("rep")), "near-nodes")
-    links = shard_links(nodes.select("fp"), radius, sampled_masks(nodes.count(), len(seeds), tables), forest_only=False, shard_rows=shard_rows)
+    links = shard_links(nodes.select("fp"), radius, sampled_masks(nodes.count(), len(seeds), 1 - p, recall), forest_only=False, shard_rows=shard_rows)
     rep = nodes.select("fp", "rep")
     pairs = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = pairs.join(rep.withColumnsRenamed({"fp": "u", "rep": "a"}), "u").join(rep.withColumnsRenamed({"fp": "v", "rep": "b"}), "v")
@@ -275,7 +282,7 @@ def near_duplicate_classes(
     shared = F.size(F.array_intersect("sa", "sb"))
     same = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9)
     roots = connected_components(same.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
+    classes = cut(nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component")), "near-classes")
     out = rows.join(classes, "fp").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
     return out.withColumnRenamed("id", id_col)
 
