@@ -1,4 +1,4 @@
-"""SimHash near-duplicate classes found with BK-trees.
+"""Near-duplicate classes: SimHash links found with BK-trees, and an exact Jaccard join on shingle prefixes.
 
 Fingerprints are dealt into shards: a shard holds fingerprints that agree on a set of key bits. Every shard is a
 BK-tree (children keyed by their integer Hamming distance to the parent) and a search follows only the edges within
@@ -6,28 +6,30 @@ the radius. Trees travel to their queries by hash exchange, not through the driv
 not be gathered there, and one shard is bounded by ``shard_rows`` because a larger one is split into sub-shards whose
 trees are sent to each other's queries, block by block.
 
-Two routings decide which shards can hold a neighbour:
-
-* exact (`pigeonhole_masks`): 64 bits in B blocks, of which a pair within radius r leaves at least B - r untouched;
-  one shard for each choice of those, so no link is lost. B grows with the number of fingerprints.
-* sampled (`sampled_masks`): random key bits in many tables, for radii too wide for the pigeonhole rule.
+`pigeonhole_masks` decides which shards can hold a neighbour: 64 bits in B blocks, of which a pair within radius r leaves
+at least B - r untouched; one shard for each choice of those, so no link is lost. B grows with the number of fingerprints.
 
 A shard does not emit all its links but a spanning forest of them (each member to the smallest of its local class),
 which has the same connected components and is linear in the shard.
 
-Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows and equal
-texts share a fingerprint and a class; a null id takes its fingerprint's class and never names one unless no id is
+Texts of a Jaccard similarity (`near_duplicate_classes`) lie too far apart for pigeonhole keys. There, sets of at least
+the similarity must share one of the few shingles that a set puts first in an order common to all sets; pairs that do,
+and whose places there leave room for enough others, are checked on their whole sets.
+
+Defined results: null and empty texts have fingerprint zero, or the empty set, and are linked like any other; repeated rows
+and equal texts share a fingerprint and a class; a null id takes its fingerprint's class and never names one unless no id is
 there; empty tables give empty results; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.llm.text import blank_words, shingle_hashes, simhash
@@ -141,7 +143,7 @@ def _complete(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFra
         yield pd.concat(held, ignore_index=True)
 
 
-def _search(radius: int, forest_only: bool):
+def _search(radius: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _complete(batches, 40_000):
             fps = np.array(pdf["fp"].tolist(), np.int64).reshape(len(pdf), -1).view(np.uint64)
@@ -154,17 +156,9 @@ def _search(radius: int, forest_only: bool):
                 q, node, d = forest.within(part, radius)
                 if not len(q):
                     continue
-                if forest_only:
-                    label = _classes(len(pdf), q, node)
-                    a = np.flatnonzero(label != np.arange(len(pdf)))
-                    b = label[a]
-                else:
-                    # the smallest neighbour and the nearest one: linear in the shard, other tables give other partners
-                    order = np.lexsort((node, q))
-                    near = np.lexsort((node, d, q))
-                    pick = [o[np.r_[True, np.diff(q[o]) != 0]] for o in (order, near)]
-                    pairs = np.unique(np.concatenate([np.stack([q[p], node[p]], 1) for p in pick]), axis=0)
-                    a, b = pairs[:, 0], pairs[:, 1]
+                label = _classes(len(pdf), q, node)
+                a = np.flatnonzero(label != np.arange(len(pdf)))
+                b = label[a]
                 signed = fps.view(np.int64)
                 yield pd.DataFrame({"u": list(signed[a]), "v": list(signed[b])})
 
@@ -184,27 +178,11 @@ def pigeonhole_masks(n: int, radius: int, bits: int = 64, shard_rows: int = 64)
     return [sum(block[i] for i in keep) for keep in combinations(range(blocks), blocks - radius)]
 
 
-def sampled_masks(n: int, words: int, agree: float, recall: float = 0.95, base_bits: int = 14, seed: int = 7) -> list[list[int]]:
-    """Random key bits over all words, one list of word masks for each table.
-
-    More bits where n is large, so that shards stay small; and as many tables as it takes for a pair whose bits agree
-    with the chance ``agree`` to share a key with the chance ``recall``, whatever n is.
-    """
-    bits = min(max(base_bits, int(np.ceil(np.log2(max(n, 2)))) - 4), 64 * words)
-    tables = int(np.ceil(np.log1p(-recall) / np.log1p(-(agree**bits))))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        pick = rng.choice(64 * words, size=bits, replace=False)
-        out.append([sum(1 << int(p - 64 * w) for p in pick if p // 64 == w) for w in range(words)])
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shard_links(nodes: DataFrame, radius: int, masks: list[list[int]], forest_only: bool = True, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def shard_links(nodes: DataFrame, radius: int, masks: list[list[int]], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (u array<bigint>, v array<bigint>) between distinct fingerprints `fp array<bigint>` within the radius."""
     key = F.array(*[F.xxhash64(F.lit(t), *[F.col("fp")[w].bitwiseAND(F.lit(_signed(m))) for w, m in enumerate(mask)]) for t, mask in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(key).alias("k"))
@@ -215,7 +193,7 @@ def shard_links(nodes: DataFrame, radius: int, masks: list[list[int]], forest_on
     dealt = dealt.select("fp", "k", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
     role = F.when(F.col("s") == F.col("j"), 3).when(F.col("s") < F.col("j"), 1).otherwise(2)
     dealt = dealt.select(F.xxhash64("k", F.least("s", "j"), F.greatest("s", "j")).alias("g"), "fp", role.alias("role"))
-    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(_search(radius, forest_only), "u array<bigint>, v array<bigint>")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(_search(radius), "u array<bigint>, v array<bigint>")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -253,46 +231,148 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 1042), recall: float = 0.95, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
-    """(id_col, component, copies) of every non-null id: classes of texts whose word shingles have a Jaccard similarity of at least ``similarity``.
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id_col, component, copies) of every non-null id: classes of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Candidates come from BK-trees over 128-bit SimHashes in sampled shards; the radius is where a pair of the wanted
-    similarity lies with 2.5 standard deviations to spare; a pair of just that similarity shares a shard with the chance
-    ``recall``, a nearer one with more. Each candidate pair is then verified on its exact shingle
-    sets. Equal fingerprints are one node, so copies cost nothing. copies counts the rows of an id; an id that repeats with
-    several texts takes the smallest of their components.
+    No link is lost: two sets of that similarity share a shingle of their prefixes (`shingle_prefixes`), and every pair
+    that does is either verified on its whole sets or already in one class. A round of a few pairs for each set comes
+    first, so that groups of copies are classes before the second round takes all pairs between classes. Equal sets
+    are one node, so copies cost nothing. copies counts the rows of an id; an id that repeats with several texts takes the
+    smallest of their components.
     """
-    bits = 64 * len(seeds)
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(bits * p + 2.5 * np.sqrt(bits * p * (1 - p)))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(rows.select("id", fingerprints(F.col("text"), shingle, seeds).alias("fp")), "near-prints")
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("rep")), "near-nodes")
-    links = shard_links(nodes.select("fp"), radius, sampled_masks(nodes.count(), len(seeds), 1 - p, recall), forest_only=False, shard_rows=shard_rows)
-    rep = nodes.select("fp", "rep")
-    pairs = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = pairs.join(rep.withColumnsRenamed({"fp": "u", "rep": "a"}), "u").join(rep.withColumnsRenamed({"fp": "v", "rep": "b"}), "v")
-    pairs = cut(pairs.select("a", "b"), "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ends, "id")
-    sets = cut(texts.select("id", shingle_sets(F.col("text"), shingle).alias("set")).groupBy("id").agg(F.max("set").alias("set")), "near-sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    same = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9)
-    roots = connected_components(same.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = cut(nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component")), "near-classes")
-    out = rows.join(classes, "fp").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
+    told = rows.select("id", shingle_prefixes(F.col("text"), shingle, similarity, frequent_shingles(rows, shingle)).alias("p"))
+    told = cut(told.select("id", "p.*"), "near-prints")
+    nodes = cut(told.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
+    rep = nodes.select("node", "rep")
+    entries = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    shared = entries.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("m"))
+    entries = cut(entries.join(shared, "key"), "near-keys")
+    links = tested = roots = None
+    for pick in (_few_pairs, _all_pairs):
+        left = _between_classes(entries, roots)
+        pairs = pick(left, similarity)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        same = cut(_verified(pairs, rows, rep, shingle, similarity), "near-links")
+        links = same if links is None else links.unionByName(same)
+        roots = connected_components(links)
+    if roots is None:
+        classes = rep.select("node", F.col("rep").alias("component"))
+    else:
+        linked = rep.join(roots, "node")
+        linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
+        classes = cut(rep.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component")), "near-classes")
+    out = told.select("id", "node").join(classes, "node").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
     return out.withColumnRenamed("id", id_col)
 
 
+def _between_classes(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries with the class of their node, of keys that more than one class has."""
+    if roots is None:
+        return entries.withColumn("root", F.col("node"))
+    told = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = told.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return told.join(keys, "key")
+
+
+def _may_link(similarity: float) -> Column:
+    """Whether sets a and b with a first common shingle at pos and pos_b can still share enough."""
+    room = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
+    return (room >= similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6) & (F.col("root") != F.col("root_b"))
+
+
+def _few_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """At most six partners for each node, of those before it in a key by size and by chance the ones that most keys propose."""
+    dealt = entries.withColumn("s", F.pmod(F.xxhash64("key", "node"), F.col("m"))).withColumn("deal", F.xxhash64("key", "node", F.lit(1)))
+    found = None
+    for order, partners in (("size", 2), ("deal", 4)):
+        at = Window.partitionBy("key", "s").orderBy(order, "node")
+        by = dealt.select("*", *[F.lag(c).over(at).alias(f"{c}_b") for c in ("node", "size", "pos", "root")])
+        by = by.where(F.col("node_b").isNotNull() & _may_link(similarity)).groupBy("node", "node_b").count()
+        by = by.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "node_b")), False), 1, partners).alias("best"))
+        found = by if found is None else found.unionByName(by)
+    pairs = found.select("node", F.explode("best.node_b").alias("node_b"))
+    return pairs.select(F.least("node", "node_b").alias("u"), F.greatest("node", "node_b").alias("v")).distinct()
+
+
+def _all_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of nodes of different classes that a key allows; a hot key's rows meet in parts."""
+    one = entries.withColumn("s", F.pmod(F.xxhash64("node", F.lit(11)), F.col("m")).cast("int")).drop("m")
+    two = entries.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
+    two = two.withColumnsRenamed({c: f"{c}_b" for c in ("node", "size", "pos", "root")})
+    both = one.join(two, ["key", "s"]).where((F.col("node") < F.col("node_b")) & _may_link(similarity))
+    return both.select(F.col("node").alias("u"), F.col("node_b").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, rep: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole sets have the similarity."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(rep, "node")
+    texts = rows.join(ends.select(F.col("rep").alias("id")).distinct(), "id")
+    sets = texts.select(shingle_sets(F.col("text"), shingle).alias("p")).select("p.*").join(ends.select("node"), "node")
+    sets = cut(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "su"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "sv"}), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.where(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select("u", "v")
+
+
+def _shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """The distinct shingle hashes of a text, sorted, and a digest of them."""
+    found = np.unique(shingle_hashes(blank_words(text), shingle))
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True), found
+
+
 def shingle_sets(text: Column, shingle: int) -> Column:
-    """array<bigint>: the distinct shingle hashes of a text, sorted."""
+    """struct<node bigint, set array<bigint>>: the distinct shingle hashes of a text, sorted, and their digest."""
 
-    @F.pandas_udf("array<bigint>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(blank_words(t), shingle)).view(np.int64) for t in texts], index=texts.index, dtype=object)
+    @F.pandas_udf("node bigint, set array<bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        done = [_shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"node": np.array([n for n, _ in done], np.int64), "set": pd.Series([x.view(np.int64) for _, x in done], dtype=object)})
+
+    return of(text)
+
+
+def frequent_shingles(rows: DataFrame, shingle: int, sample: int = 5_000, most: int = 100_000) -> np.ndarray:
+    """Shingles that a sample of texts repeats, the rarest first: they go to the end of the common order.
+
+    Any order gives the same classes; one with the frequent shingles last gives fewer pairs to verify.
+    """
+    n = rows.count()
+    few = rows.sample(min(1.0, sample / max(n, 1)), 5).select(shingle_sets(F.col("text"), shingle)["set"].alias("set"))
+    counts = few.select(F.explode("set").alias("key")).groupBy("key").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "key").limit(most).toPandas()
+    return found["key"].to_numpy(np.int64)[::-1].copy()
+
+
+def shingle_prefixes(text: Column, shingle: int, similarity: float, frequent: np.ndarray) -> Column:
+    """struct<node bigint, size int, prefix array<bigint>>: digest and size of a text's shingle set, and the shingles it puts first.
+
+    The order is by hash, then the frequent ones. Of size s the first s - ceil(similarity * s) + 1 are taken: a set that
+    shares none of them shares too few of the others.
+    """
+    keys = frequent.view(np.uint64)
+    by_key = np.argsort(keys)
+
+    @F.pandas_udf("node bigint, size int, prefix array<bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        nodes, sizes, prefixes = [], [], []
+        names = keys[by_key]
+        for t in texts:
+            node, found = _shingle_set(t, shingle)
+            if len(names) and len(found):
+                at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+                rank = np.where(names[at] == found, by_key[at] + 1, 0)
+                order = found[np.argsort(rank, kind="stable")]
+            else:
+                order = found
+            least = int(np.ceil(similarity * len(found) - 1e-6))
+            nodes.append(node)
+            sizes.append(len(found))
+            prefixes.append(order[: len(found) - least + 1].view(np.int64))
+        return pd.DataFrame({"node": np.array(nodes, np.int64), "size": np.array(sizes, np.int32), "prefix": pd.Series(prefixes, dtype=object)})
 
     return of(text)
 

@@ -123,3 +123,48 @@ def test_query_matches_brute_force_on_documents(spark):
     prints = {i: (r.doc_id, brute_print(r.text)) for i, r in enumerate(docs)}
     want = brute_components(prints, 4)
     assert got == {prints[i][0]: (f"{prints[i][1]:016x}", want[i]) for i in prints}
+
+
+def jaccard_classes(rows, similarity=0.8):
+    """rows: [(id, text)] -> the smallest id of each id's class, by brute force over all pairs."""
+    sets = {}
+    for i, t in rows:
+        words = t.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {i: root(i) for i in sets}
+
+
+def found_classes(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r.doc_id: r.component for r in sb.near_duplicate_classes(df, **kw).collect()}
+
+
+@pytest.mark.parametrize("shard_rows", [2048, 7])
+def test_near_duplicates_in_a_template_family(spark, shard_rows):
+    """Hundreds of texts of similarity about 0.7 to each other hide the few that are above 0.8."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        text = template[:170] + [f"own{i}_{k}" for k in range(34)]
+        rows.append((2 * i, " ".join(text)))
+        if i % 3 == 0:
+            text[rng.randrange(4, 160)] = f"change{i}"
+            text[-4] = f"other{i}"
+            rows.append((2 * i + 1, " ".join(text)))
+    rng.shuffle(rows)
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) == 150 and len(want) == 200
+    assert found_classes(spark, rows, shard_rows=shard_rows) == want
