@@ -168,3 +168,14 @@ def test_near_duplicates_in_a_template_family(spark, shard_rows):
     want = jaccard_classes(rows)
     assert len(set(want.values())) == 150 and len(want) == 200
     assert found_classes(spark, rows, shard_rows=shard_rows) == want
+
+
+def test_repeated_shingles_neither_join_nor_part_texts(spark):
+    same = "spam " * 300
+    rows = [(1, same + " ".join(f"a{i}" for i in range(250))), (2, same + " ".join(f"b{i}" for i in range(250)))]
+    line = [f"l{i}" for i in range(9)]
+    rest = " ".join(f"c{i}" for i in range(60))
+    rows += [(3 + k, " ".join(line * n) + " " + rest) for k, n in enumerate((2, 90))]  # one set of shingles
+    want = jaccard_classes(rows)
+    assert want == {1: 1, 2: 2, 3: 3, 4: 3}
+    assert found_classes(spark, rows) == want
