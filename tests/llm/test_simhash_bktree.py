@@ -179,3 +179,16 @@ def test_repeated_shingles_neither_join_nor_part_texts(spark):
     want = jaccard_classes(rows)
     assert want == {1: 1, 2: 2, 3: 3, 4: 3}
     assert found_classes(spark, rows) == want
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for g in range(300):
+        n = rng.choice([54, 104, 204])  # 50, 100, 200 shingles; the last words differ: similarity exactly 0.8 or just below
+        base = [f"g{g}_{i}" for i in range(n)]
+        k = {54: 5, 104: 11, 204: 22}[n] + g % 3
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: n - k] + [f"h{g}_{i}" for i in range(k)]))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if (n - 4 - k) / (n - 4 + k) >= 0.8 - 1e-9 else 2 * g + 1}
+    assert 250 > sum(a != b for a, b in want.items()) > 50
+    assert found_classes(spark, rows) == want
