@@ -15,7 +15,8 @@ across documents, whatever separators they are written with, and two values neve
 | email | has a domain | domain, layout, case | local part, letters and digits in their classes |
 | secret | AKIA key, password= or token = "" value | prefix, layout, case | characters in their classes |
 
-Defined results: null stays null and empty stays empty; values that fail validation are left as they are; repeated rows
+Defined results: null stays null and empty stays empty; values that fail validation are left as they are, after spans of
+cards and IBANs that end at an earlier blank were tried, and the search goes on behind their first group; repeated rows
 get equal results; text around values is untouched; empty tables give empty results. A pseudonym may by chance equal its
 value (one in the size of its format, at least 73,049 for dates).
 """
@@ -42,7 +43,7 @@ PATTERN = re.compile(
     (?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
   | (?P<secret>(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<=password=)[^\s"'<>&;,]+|(?<=token\ =\ ")[^\s"]+)
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))
-  | (?P<date>(?<![\w/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|(?:{_MONTH})\ \d{{1,2}},\ \d{{4}}|\d{{1,2}}\ (?:{_MONTH})\ \d{{4}})(?![\w/-]))
+  | (?P<date>(?<![\w/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|(?:{_MONTH})\ \d{{1,2}},\ \d{{4}}|\d{{1,2}}\ (?:{_MONTH})\ \d{{4}})(?![\w/-])|(?<![\w/.-])\d{{4}}-\d{{2}}-\d{{2}}(?=T\d))
   | (?P<ip>(?<![\w.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\.?\w))
   | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
   | (?P<phone>(?<![\w+(-])(?:(?:\+?1[ .-]?)?(?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}|\+\d(?:[ ().-]{{0,2}}\d){{7,14}})(?!\w|-\d))
@@ -230,20 +231,54 @@ def _secret(p: Permuter, value: str) -> str:
 KINDS = {"card": _card, "date": _date, "email": _email, "iban": _iban, "ip": _ip, "phone": _phone, "secret": _secret, "ssn": _ssn}
 
 
+#: Length of a country's IBANs.
+IBAN_LENGTH = {
+    c: int(n)
+    for n, cs in {
+        "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU XK", "21": "CH HR LI LV", "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM TL SO",
+        "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU", "31": "MT SC", "32": "LC", "33": "RU",
+    }.items()
+    for c in cs.split()
+}
+
+
+def _ends(kind: str, value: str) -> list[int]:
+    """Where the value may end, likeliest first: what a pattern took may run on into the next word or number."""
+    if kind not in ("card", "iban"):
+        return [len(value)]
+    ends = [len(value), *(m.start() for m in reversed(list(re.finditer(" ", value))))]
+    n = [sum(map(str.isalnum, value[:e])) for e in ends]
+    if kind == "card":
+        usual = 15 if value[:2] in ("34", "37") else 16
+        return [e for k, e in sorted(zip(n, ends), key=lambda x: x[0] != usual) if k >= 13]
+    if usual := IBAN_LENGTH.get(value[:2]):
+        return [e for k, e in zip(n, ends) if k == usual] + [len(value)] * (usual not in n[:1])
+    return [e for k, e in zip(n, ends) if k >= 15]
+
+
+_FIRST_GROUP = re.compile(r"[^A-Za-z0-9]*[A-Za-z0-9]*")
+
+
 def pseudonymise(text: str | None, permuter: Permuter) -> tuple[str | None, Counter]:
     """The text with its values replaced, and how many of each kind."""
     found: Counter = Counter()
     if not text or not _HINT.search(text):
         return text, found
 
-    def one(m: re.Match) -> str:
-        new = KINDS[m.lastgroup](permuter, m[0])
-        if new is None:
-            return m[0]
-        found[m.lastgroup] += 1
-        return new
-
-    return PATTERN.sub(one, text), found
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        kind, value = m.lastgroup, m[0]
+        for end in _ends(kind, value):
+            new = KINDS[kind](permuter, value[:end])
+            if new is not None:
+                found[kind] += 1
+                out += [text[done : m.start()], new]
+                done = at = m.start() + end
+                break
+        else:
+            at = m.start() + _FIRST_GROUP.match(value).end()
+    out.append(text[done:])
+    return "".join(out), found
 
 
 def pseudonyms(text: Column, key: bytes) -> Column:

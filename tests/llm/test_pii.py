@@ -73,3 +73,20 @@ def test_column(spark):
     assert [p.n for p in got] == [0, 0, 1, 1, 1, 2] and got[0].text is None and got[1].text == "" and got[2] == got[3]
     assert got[4].kinds == "ip" and len(got[5].text) == len(rows[5][1])
     assert df.where("false").select(pii.pseudonyms(df.text, b"key")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "value,behind,kind",
+    [
+        ("4111 1111 1111 1111", " 12/25", "card"), ("4111111111111111", " 123", "card"), ("378282246310005", " 1234", "card"), ("DE89 3704 0044 0532 0130 00", " I paid", "iban"),
+        ("DE89370400440532013000", " BIC COBADEFFXXX", "iban"), ("GB82WEST12345698765432", " 4 OK", "iban"), ("2024-01-05", "T10:00", "date"), ("2024-01-05", "T10:00:00Z", "date"),
+    ],
+)
+def test_valid_values_are_found_whatever_follows(value, behind, kind):
+    text, found = pii.pseudonymise(f"x {value}{behind}", P)
+    assert found == Counter({kind: 1}) and text.endswith(behind) and text[2:].removesuffix(behind) == pii.pseudonymise(value, P)[0] != value
+
+
+def test_values_behind_invalid_ones_are_found():
+    for text in ("12 4111 1111 1111 1111", "4111111111111112 8.8.8.8", "DE00 3704 0044 0532 0130 00 DE89 3704 0044 0532 0130 00", "2024 4111 1111 1111 1111 12"):
+        assert sum(pii.pseudonymise(text, P)[1].values()) == 1
