@@ -25,6 +25,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,6 @@ from provena.session import cut
 
 END_ID = 1
 assert sys.byteorder == "little" and array("I").itemsize == 4
-#: Most sources of a mixture whose targets are measured.
-MAX_SOURCES = 10_000
 _CACHE = 800_000
 _tokenizers: dict[str, object] = {}
 
@@ -142,6 +141,7 @@ def fill(sizes: dict[str, list[int]], credit: dict[str, float], share: dict[str,
     done = dict.fromkeys(sizes, 0)
     left = {s: sum(x) for s, x in sizes.items()}
     order = sorted(s for s in sizes if left[s])
+    rank = {s: i for i, s in enumerate(order)}
     total = sum(left.values())
 
     def serve(s: str, most: int) -> int:
@@ -170,9 +170,16 @@ def fill(sizes: dict[str, list[int]], credit: dict[str, float], share: dict[str,
         order = [s for s in order if left[s]]
         for s in order:
             space -= serve(s, min(space, int(credit.get(s, 0.0)))) if credit.get(s, 0.0) >= 1 else 0
-        while space:  # queues with credit are empty: the others overdraw
-            s = max((x for x in order if left[x]), key=lambda x: (credit.get(x, 0.0), x))
-            space -= serve(s, min(space, max(1, int(share.get(s, 0.0) * window * length))))
+        if space:  # queues with credit are empty: the others overdraw, least overdrawn first
+            most = [(-credit.get(s, 0.0), -rank[s], s) for s in order if left[s]]
+            heapify(most)
+            while space:
+                s = most[0][2]
+                space -= serve(s, min(space, max(1, int(share.get(s, 0.0) * window * length))))
+                if left[s]:
+                    heapreplace(most, (-credit[s], -rank[s], s))
+                else:
+                    heappop(most)
         order = order[1:] + order[:1]
     return stream
 
@@ -233,22 +240,20 @@ def pack(
     shards = max(1, -(-total // shard_tokens))
     tokens = tokens.withColumn("shard", F.pmod("deal", F.lit(shards)))
     counts = cut(tokens.groupBy("shard", "source").agg(F.sum("n").alias("n")), "pack-counts")
-    if targets is None:  # a mixture names its sources one by one: their number is checked before they reach the driver
-        by_source = counts.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-        if len(by_source) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources: give targets, or a coarser source column")
-        targets = {r.source: float(r.n) for r in by_source}
-    scale = sum(targets.values()) or 1.0
-    shares = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(x / scale).alias("share")) for s, x in sorted(targets.items())])
+    if targets is None:  # as many sources as there are: their shares stay a table
+        shares = counts.groupBy("source").agg((F.sum("n") / F.lit(float(total or 1))).alias("share"))
+    else:
+        scale = sum(targets.values()) or 1.0
+        shares = docs.sparkSession.createDataFrame([(x, y / scale) for x, y in sorted(targets.items())], "source string, share double")
     sizes = counts.groupBy("shard").agg(F.sum("n").alias("size"))
     sequences = F.floor(F.col("size") / length) + F.bit_count(F.col("size") % length)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum(sequences).over(before), F.lit(0)).alias("first_sequence"))
-    # a row for every shard and source, so that a source that a shard lacks is carried too
-    grid = sizes.select("*", F.inline(shares)) if targets else sizes.select("*", F.lit("").alias("source"), F.lit(0.0).alias("share"))
+    # a row for every source that a shard holds; what a source is owed follows from the shards before that hold it
     owed = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    plan = grid.join(counts, ["shard", "source"], "left").withColumn("served", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(owed), F.lit(0)))
-    plan = plan.select("shard", "source", "share", (F.col("share") * F.col("tokens_before") - F.col("served")).alias("credit"), "first_sequence")
+    plan = counts.join(shares, "source", "left").withColumn("served", F.coalesce(F.sum("n").over(owed), F.lit(0))).join(sizes, "shard")
+    credit = F.coalesce(F.col("share") * F.col("tokens_before") - F.col("served"), F.lit(0.0))  # without a target: nothing is owed
+    plan = plan.select("shard", "source", F.coalesce("share", F.lit(0.0)).alias("share"), credit.alias("credit"), "first_sequence")
     out = f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     both = tokens.select("shard", "id", "source", "deal", "ids", "width", "n").unionByName(plan, allowMissingColumns=True)
     packed = both.groupBy("shard").applyInArrow(_pack(length, window), out)

@@ -94,3 +94,9 @@ def test_deficits_are_carried():
 def test_sequence_cuts(total):
     sizes = np.diff(packing.sequence_cuts(total, 2048))
     assert sizes.sum() == total and all(s & (s - 1) == 0 for s in sizes.tolist())
+
+
+def test_more_sources_than_ten_thousand(spark):
+    rows = [(i, f"text {i}", f"host{i}.example", "", 0) for i in range(10_500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    check_pieces({r[0]: r[1] for r in rows}, packing.pack(df, PATH).collect())
