@@ -198,7 +198,7 @@ def _rerank(state: tuple, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarra
         near[lo + rows[best], place[best]] = names[best]
 
 
-def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.0, block: int = 4096) -> DataFrame:
+def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.5, block: int = 4096) -> DataFrame:
     """query_id, rank, id, score: the k nearest of the indexed rows for each row of wanted (rows of an index)."""
     spark = indexed.sparkSession
     kind = indexed.schema["id"].dataType.simpleString()

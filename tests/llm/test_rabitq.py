@@ -61,3 +61,11 @@ def test_query_recall(spark, sf):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert set(got) == set(want)
     assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) / sum(map(len, want.values())) >= 0.98
+
+
+def test_bound_passes_over_few_true_neighbours():
+    import inspect
+    import math
+
+    epsilon = inspect.signature(rabitq.search).parameters["epsilon"].default
+    assert math.erfc(epsilon / math.sqrt(2)) / 2 < 3e-4  # by the module's normal model, a side
