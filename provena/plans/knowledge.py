@@ -74,19 +74,13 @@ def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as a shard table in the shared folder, a task to each shard: key md5 of the text (its first digit one
-    of four, so four shards), record source,url,count."""
+    """All documents as a shard table in the shared folder: key md5 of the text (its first digit one of four, so four
+    shards), record source,url,count."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     key = F.concat(F.lit("0"), (F.col("doc_id") % 4).cast("string"), F.substring(F.md5("text"), 3, 30))
     record = F.concat_ws(",", "source", F.concat(F.lit("http://h"), F.col("lang"), F.lit("/x")), (F.col("doc_id") % 9).cast("string"))
-    rows = docs.select(F.substring(key, 1, 2).alias("shard"), key.alias("key"), record.alias("record"))
     folder = shared_path(spark, "shards")
-
-    def write(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ldb.write_shards(folder.removeprefix("file://"), [(bytes.fromhex(k), r.encode()) for k, r in zip(pdf["key"], pdf["record"])])
-        return pd.DataFrame({"shard": [shard[0]], "n": [len(pdf)]})
-
-    cut(rows.groupBy("shard").applyInPandas(write, "shard string, n long"), "shard-manifest")
+    ldb.write_shards(docs.select(F.unhex(key).alias("key"), record.cast("binary").alias("record")), folder)
     ldb.register(spark)
     return folder
 

@@ -14,12 +14,13 @@ from provena.streaming import incremental
 
 
 @pytest.fixture(scope="module")
-def shards(tmp_path_factory):
+def shards(spark, tmp_path_factory):
     rng = random.Random(0)
     keys = [bytes([rng.choice([0, 0x3F]), 0, 0, rng.randrange(3)]) + rng.randbytes(12) for _ in range(40)]
     records = [(k, f"path,{i},{rng.randrange(9)}".encode() * rng.randint(0, 60)) for i, k in enumerate(keys * 3)]
-    folder = str(tmp_path_factory.mktemp("ldb"))
-    ldb.write_shards(folder, records)
+    folder = tmp_path_factory.mktemp("ldb").as_uri()
+    told = ldb.write_shards(spark.createDataFrame(records, "key binary, record binary"), folder, node_bytes=900).collect()
+    assert sorted(r.shard for r in told) == ["00", "3f"] and sum(r.lists for r in told) == len({k[:4] for k in keys})
     return folder, records
 
 
@@ -41,10 +42,61 @@ def test_variable_records(spark, shards):
 def test_fixed_records(spark, tmp_path):
     rng = random.Random(1)
     records = [(bytes([7, 0, 1, rng.randrange(4)]), rng.randbytes(16) + i.to_bytes(2, "little")) for i in range(900)]
-    ldb.write_shards(str(tmp_path / "w"), records, record_len=18)
+    folder = (tmp_path / "w").as_uri()
+    ldb.write_shards(spark.createDataFrame(records, "key binary, record binary"), folder, record_len=18)
     ldb.register(spark)
-    rows = spark.read.format("ldb").option("record_len", 18).load(str(tmp_path / "w")).collect()
+    rows = spark.read.format("ldb").option("record_len", 18).load(folder).collect()
     assert sorted((r.key, bytes(r.record)) for r in rows) == sorted((k.hex(), v) for k, v in records)
+    with pytest.raises(Exception, match="a shard takes keys"):
+        ldb.write_shards(spark.createDataFrame([(b"1234", b"17 bytes of this.")], "key binary, record binary"), folder, record_len=18)
+    none = ldb.write_shards(spark.createDataFrame([(None, b"x")], "key binary, record binary"), (tmp_path / "none").as_uri())
+    assert none.count() == 0
+
+
+def by_hand(path, lists):
+    """A shard file of {slot: [(size field, data), ...]}, nodes of all lists interleaved, every list behind a pointer to its last node."""
+    where, out, at = {}, {}, 5 << 24
+    for slot, found in lists.items():
+        out[at] = (slot, b"")
+        where[slot] = [at + 5]
+        at += 5 + 7 + len(found[0][1])
+    for k in range(1, max(map(len, lists.values()))):
+        for slot, found in lists.items():
+            if k < len(found):
+                where[slot].append(at)
+                at += 7 + len(found[k][1])
+    with open(path, "wb") as f:
+        f.truncate(at)
+        for slot, found in lists.items():
+            f.seek(slot * 5)
+            f.write((where[slot][0] - 5).to_bytes(5, "little"))
+            f.seek(where[slot][0] - 5)
+            f.write(where[slot][-1].to_bytes(5, "little"))
+            for place, follow, (size, data) in zip(where[slot], [*where[slot][1:], 0], found):
+                f.seek(place)
+                f.write(follow.to_bytes(5, "little") + size.to_bytes(2, "little") + data)
+
+
+def test_shards_made_by_hand(spark, tmp_path):
+    short = lambda n: n.to_bytes(2, "little")
+    a, b = bytes(range(12)), bytes(range(50, 62))
+    group = lambda key, *records: key + short(sum(2 + len(r) for r in records)) + b"".join(short(len(r)) + r for r in records)
+    data = [group(a, b"one", b"two") + group(b, b"three"), group(a, b"four"), group(b, b"", b"six") + group(a, b"seven")]
+    (tmp_path / "v").mkdir()
+    by_hand(tmp_path / "v/0b.ldb", {5: [(len(d), d) for d in data], 70_000: [(len(data[1]), data[1])]})
+    ldb.register(spark)
+    rows = spark.read.format("ldb").load(str(tmp_path / "v")).collect()
+    first, other = "0b000005", "0b011170"
+    want = [(first, a, b"one"), (first, a, b"two"), (first, b, b"three"), (first, a, b"four"), (first, b, b""), (first, b, b"six"), (first, a, b"seven"), (other, a, b"four")]
+    assert [(r.key, bytes(r.record)) for r in sorted(rows, key=lambda r: (r.key[:8], r.rec_no))] == [(k + rest.hex(), v) for k, rest, v in want]
+    one = spark.read.format("ldb").load(str(tmp_path / "v")).where(F.col("key") == first + a.hex())
+    assert {bytes(r.record) for r in one.collect()} == {b"one", b"two", b"four", b"seven"}
+
+    fixed = [bytes([i]) * 18 for i in range(9)]
+    (tmp_path / "f").mkdir()
+    by_hand(tmp_path / "f/c9.ldb", {0: [(1, fixed[0])], (1 << 24) - 1: [(5, b"".join(fixed[1:6])), (2, b"".join(fixed[6:8])), (1, fixed[8])]})
+    rows = spark.read.format("ldb").option("record_len", 18).load((tmp_path / "f").as_uri()).collect()
+    assert sorted((r.key, r.rec_no, bytes(r.record)) for r in rows) == [("c9000000", 0, fixed[0]), *(("c9ffffff", i, fixed[i + 1]) for i in range(8))]
 
 
 def test_archives(spark, tmp_path):
