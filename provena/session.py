@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[dict[str, SparkSession]] = []
+
 
 def build_session(app: str = "provena", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -47,8 +51,55 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and reread it: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _scopes:
+        _scopes[-1][path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder or file through its own file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote, once nothing that is still to run reads them; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "cut_path", None):
+            delete_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables cut inside the block are removed at its end, but for those given to what the block gets; they pass to an outer block."""
+    made: dict[str, SparkSession] = {}
+    kept: list[str] = []
+    _scopes.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path, spark in made.items():
+            if path not in kept:
+                delete_path(spark, path)
+            elif _scopes:
+                _scopes[-1][path] = spark
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
