@@ -1,10 +1,11 @@
-"""Near-duplicate classes: SimHash links found with BK-trees, and an exact Jaccard join on shingle prefixes.
+"""SimHash classes: fingerprints linked with BK-trees.
 
 Fingerprints are dealt into shards: a shard holds fingerprints that agree on a set of key bits. Every shard is a
 BK-tree (children keyed by their integer Hamming distance to the parent) and a search follows only the edges within
-the radius. Trees travel to their queries by hash exchange, not through the driver: fingerprints of all documents may
-not be gathered there, and one shard is bounded by ``shard_rows`` because a larger one is split into sub-shards whose
-trees are sent to each other's queries, block by block.
+the radius. A shard of at most about ``shard_rows`` fingerprints is built and searched in one task. A larger one is split
+into sub-shards; each builds its tree once, and the trees are broadcast to the blocks of the later sub-shards. The
+broadcast is bounded: if the trees of all split shards take more than ``broadcast_bytes``, they travel to the blocks by
+hash exchange instead, because fingerprints of all documents may not pass the driver.
 
 `pigeonhole_masks` decides which shards can hold a neighbour: 64 bits in B blocks, of which a pair within radius r leaves
 at least B - r untouched; one shard for each choice of those, so no link is lost. B grows with the number of fingerprints.
@@ -12,30 +13,27 @@ at least B - r untouched; one shard for each choice of those, so no link is lost
 A shard does not emit all its links but a spanning forest of them (each member to the smallest of its local class),
 which has the same connected components and is linear in the shard.
 
-Texts of a Jaccard similarity (`near_duplicate_classes`) lie too far apart for pigeonhole keys. There, sets of at least
-the similarity must share one of the few shingles that a set puts first in an order common to all sets; pairs that do,
-and whose places there leave room for enough others, are checked on their whole sets.
-
-Defined results: null and empty texts have fingerprint zero, or the empty set, and are linked like any other; repeated rows
-and equal texts share a fingerprint and a class; a null id takes its fingerprint's class and never names one unless no id is
+Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows and equal texts
+share a fingerprint and a class; a null id takes its fingerprint's class and never names one unless no id is
 there; empty tables give empty results; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.text import blank_words, shingle_hashes, simhash
-from provena.session import cut
+from provena.session import cut, remove
 
 SHARD_ROWS = 2048
+BROADCAST_BYTES = 64 << 20
 _FRONTIER = 1 << 21
 
 
@@ -88,23 +86,37 @@ class BKForest:
         order = np.argsort(self.keys)
         self.keys, self.children = self.keys[order], self.children[order]
 
+    @classmethod
+    def of(cls, fps: np.ndarray, edges: np.ndarray) -> "BKForest":
+        """A tree that was built elsewhere: its fingerprints, and its keys and children (two rows)."""
+        self = cls.__new__(cls)
+        self.fps, self.width, self.root = fps, 64 * fps.shape[1] + 1, np.zeros(len(fps), np.int64)
+        self.keys, self.children = edges
+        return self
+
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(1, dtype=np.int64)
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, node, distance) of all pairs within the radius, a query's own node excepted."""
-        found = []
         queries = queries[self.root[queries] >= 0]
-        node = self.root[queries]
-        while len(queries):
-            d = self.distance(queries, node)
-            hit = (d <= radius) & (queries != node)
-            found.append((queries[hit], node[hit], d[hit]))
+        at, node, d = self.search(self.fps[queries], self.root[queries], radius)
+        own = queries[at] != node
+        return queries[at[own]], node[own], d[own]
+
+    def search(self, fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, node, distance) of all nodes within the radius of fps; node: where each search starts."""
+        found = []
+        query = np.arange(len(fps))
+        while len(query):
+            d = np.bitwise_count(fps[query] ^ self.fps[node]).sum(1, dtype=np.int64)
+            hit = d <= radius
+            found.append((query[hit], node[hit], d[hit]))
             lo = np.searchsorted(self.keys, node * self.width + np.maximum(d - radius, 0))
             hi = np.searchsorted(self.keys, node * self.width + np.minimum(d + radius, self.width - 1), "right")
             n = hi - lo
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            queries, node = np.repeat(queries, n), self.children[np.repeat(lo, n) + step]
+            query, node = np.repeat(query, n), self.children[np.repeat(lo, n) + step]
         if not found:
             empty = np.empty(0, np.int64)
             return empty, empty, empty
@@ -143,26 +155,68 @@ def _complete(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFra
         yield pd.concat(held, ignore_index=True)
 
 
-def _search(radius: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chosen(n: int, q: np.ndarray, node: np.ndarray, d: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between n rows a spanning forest, or each query's nearest."""
+    if nearest:
+        order = np.lexsort((node, d, q))
+        q, node = q[order], node[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else q
+        return q[first], node[first]
+    label = _classes(n, q, node)
+    a = np.flatnonzero(label != np.arange(n))
+    return a, label[a]
+
+
+def _parts(cost: np.ndarray) -> list[np.ndarray]:
+    """Places of queries, so many at a time that their searches stay small."""
+    return np.split(np.arange(len(cost)), np.flatnonzero(np.diff(np.cumsum(cost) // _FRONTIER)) + 1) if len(cost) else []
+
+
+BUILT = "u array<bigint>, v array<bigint>, k long, s int, m int, fps binary, edges binary"
+
+
+def _build(radius: int, nearest: bool):
+    """Links inside each (sub-)shard, and the tree of each sub-shard that others have to meet."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in BUILT.split(", ")]
         for pdf in _complete(batches, 40_000):
             fps = np.array(pdf["fp"].tolist(), np.int64).reshape(len(pdf), -1).view(np.uint64)
-            role = pdf["role"].to_numpy()
-            _, shard, size = np.unique(pdf["g"].to_numpy(), return_inverse=True, return_counts=True)
-            forest = BKForest(fps, shard, (role & 1) > 0)
-            queries = np.flatnonzero(role & 2)
-            cost = np.cumsum(size[shard[queries]]) // _FRONTIER
-            for part in np.split(queries, np.flatnonzero(np.diff(cost)) + 1) if len(queries) else []:
-                q, node, d = forest.within(part, radius)
-                if not len(q):
-                    continue
-                label = _classes(len(pdf), q, node)
-                a = np.flatnonzero(label != np.arange(len(pdf)))
-                b = label[a]
-                signed = fps.view(np.int64)
-                yield pd.DataFrame({"u": list(signed[a]), "v": list(signed[b])})
-
-    return search
+            _, first, shard, size = np.unique(pdf["g"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+            forest = BKForest(fps, shard, np.ones(len(fps), bool))
+            for part in _parts(size[shard]):
+                a, b = _chosen(len(fps), *forest.within(part, radius), nearest)
+                if len(a):
+                    signed = fps.view(np.int64)
+                    yield pd.DataFrame({"u": list(signed[a]), "v": list(signed[b])}).reindex(columns=names)
+            for at, n in zip(first, size):
+                if pdf["m"].iat[at] > 1:
+                    own = fps[at : at + n]
+                    tree = BKForest(own, np.zeros(n, np.int64), np.ones(n, bool))
+                    # the root is the first row
+                    row = {"k": pdf["k"].iat[at], "s": pdf["s"].iat[at], "m": pdf["m"].iat[at], "fps": own.tobytes(), "edges": np.stack([tree.keys, tree.children]).tobytes()}
+                    yield pd.DataFrame([row]).reindex(columns=names)
+
+    return build
+
+
+def _cross(radius: int, words: int, nearest: bool):
+    """Links between the tree of a sub-shard and the fingerprints of a later one."""
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fps, edges, block in zip(*(batch.column(c).to_pylist() for c in ("fps", "edges", "block"))):
+                tree = BKForest.of(np.frombuffer(fps, np.uint64).reshape(-1, words), np.frombuffer(edges, np.int64).reshape(2, -1))
+                queries = np.frombuffer(block, np.uint64).reshape(-1, words)
+                signed = np.concatenate([tree.fps, queries]).view(np.int64)
+                for part in _parts(np.full(len(queries), len(tree.fps))):
+                    q, node, d = tree.search(queries[part], np.zeros(len(part), np.int64), radius)
+                    a, b = _chosen(len(signed), len(tree.fps) + part[q], node, d, nearest)
+                    if len(a):
+                        ends = pa.array(np.arange(0, words * len(a) + 1, words), pa.int32())
+                        yield pa.RecordBatch.from_pydict({n: pa.ListArray.from_arrays(ends, pa.array(signed[x].ravel())) for n, x in (("u", a), ("v", b))})
+
+    return cross
 
 
 def pigeonhole_masks(n: int, radius: int, bits: int = 64, shard_rows: int = 64) -> list[int]:
@@ -182,46 +236,61 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shard_links(nodes: DataFrame, radius: int, masks: list[list[int]], shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (u array<bigint>, v array<bigint>) between distinct fingerprints `fp array<bigint>` within the radius."""
+def shard_links(nodes: DataFrame, radius: int, masks: list[list[int]], shard_rows: int = SHARD_ROWS, nearest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Links (u array<bigint>, v array<bigint>) between distinct fingerprints `fp array<bigint>` within the radius.
+
+    A spanning forest of all links, or with ``nearest`` each fingerprint's nearest in each (sub-)shard.
+    """
     key = F.array(*[F.xxhash64(F.lit(t), *[F.col("fp")[w].bitwiseAND(F.lit(_signed(m))) for w, m in enumerate(mask)]) for t, mask in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(key).alias("k"))
     large = dealt.groupBy("k").count().where(F.col("count") > shard_rows).select("k", F.ceil(F.col("count") / shard_rows).cast("int").alias("m"))
     dealt = dealt.join(large, "k", "left").select("fp", "k", F.coalesce("m", F.lit(1)).alias("m"))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64(F.lit(11), "fp"), F.col("m")).cast("int"))
-    # sub-shard s meets every sub-shard: its tree is searched by the later ones, it searches the earlier ones
-    dealt = dealt.select("fp", "k", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    role = F.when(F.col("s") == F.col("j"), 3).when(F.col("s") < F.col("j"), 1).otherwise(2)
-    dealt = dealt.select(F.xxhash64("k", F.least("s", "j"), F.greatest("s", "j")).alias("g"), "fp", role.alias("role"))
-    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(_search(radius), "u array<bigint>, v array<bigint>")
+    dealt = dealt.select(F.xxhash64("k", "s").alias("g"), "fp", "k", "s", "m")
+    built = cut(dealt.repartition("g").sortWithinPartitions("g").mapInPandas(_build(radius, nearest), BUILT), "bk-trees")
+    links = built.where("edges is null").select("u", "v")
+    trees = built.where("edges is not null").select("k", "s", "m", "fps", "edges")
+    size = trees.agg(F.sum(F.octet_length("fps") + F.octet_length("edges"))).first()[0]
+    if not size:
+        return links
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = trees.select("k", F.col("s").alias("j"), F.col("fps").alias("block"))
+    if size <= broadcast_bytes:
+        met = blocks.repartition(spread, "k", "j").join(F.broadcast(trees), "k").where("s < j")
+    else:
+        met = trees.where("s < m - 1").withColumn("j", F.explode(F.expr("sequence(s + 1, m - 1)"))).join(blocks, ["k", "j"])
+    crossed = met.select("fps", "edges", "block").mapInArrow(_cross(radius, len(masks[0]), nearest), "u array<bigint>, v array<bigint>")
+    return links.unionByName(crossed)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link u-v; root is the smallest node of the component.
 
-    Alternating large-star and small-star rounds; every round ends in a table in the shared folder.
+    Alternating large-star and small-star rounds; every round ends in a table in the shared folder. The minima are tables
+    too: both sides of their joins are then plain exchanges, so the node of a large class can be split.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, edges = edges, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        remove(before, low, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id_col, fp bigint, component (smallest id reachable over links of at most radius bits), a row for each input row."""
     fps = cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle)[0].alias("fp")), "fingerprints")
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-nodes")
     masks = pigeonhole_masks(nodes.count(), radius)
-    links = shard_links(nodes.select(F.array("fp").alias("fp")), radius, [[m] for m in masks], shard_rows=shard_rows)
+    links = shard_links(nodes.select(F.array("fp").alias("fp")), radius, [[m] for m in masks], shard_rows, broadcast_bytes=broadcast_bytes)
     roots = connected_components(links.select(F.col("u")[0].alias("u"), F.col("v")[0].alias("v")))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
@@ -229,158 +298,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a table of its own: both sides of the last join come from plain exchanges, so a hot fingerprint can be split
     classes = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component")), "fingerprint-classes")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
-
-
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(id_col, component, copies) of every non-null id: classes of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
-
-    No link is lost: two sets of that similarity share a shingle of their prefixes (`shingle_prefixes`), and every pair
-    that does is either verified on its whole sets or already in one class. A round of a few pairs for each set comes
-    first, so that groups of copies are classes before the second round takes all pairs between classes. Equal sets
-    are one node, so copies cost nothing. copies counts the rows of an id; an id that repeats with several texts takes the
-    smallest of their components.
-    """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    told = rows.select("id", shingle_prefixes(F.col("text"), shingle, similarity, frequent_shingles(rows, shingle)).alias("p"))
-    told = cut(told.select("id", "p.*"), "near-prints")
-    nodes = cut(told.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
-    rep = nodes.select("node", "rep")
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    shared = entries.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("m"))
-    entries = cut(entries.join(shared, "key"), "near-keys")
-    links = tested = roots = None
-    for pick in (_few_pairs, _all_pairs):
-        left = _between_classes(entries, roots)
-        pairs = pick(left, similarity)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        same = cut(_verified(pairs, rows, rep, shingle, similarity), "near-links")
-        links = same if links is None else links.unionByName(same)
-        roots = connected_components(links)
-    if roots is None:
-        classes = rep.select("node", F.col("rep").alias("component"))
-    else:
-        linked = rep.join(roots, "node")
-        linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
-        classes = cut(rep.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component")), "near-classes")
-    out = told.select("id", "node").join(classes, "node").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
-    return out.withColumnRenamed("id", id_col)
-
-
-def _between_classes(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The entries with the class of their node, of keys that more than one class has."""
-    if roots is None:
-        return entries.withColumn("root", F.col("node"))
-    told = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keys = told.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return told.join(keys, "key")
-
-
-def _may_link(similarity: float) -> Column:
-    """Whether sets a and b with a first common shingle at pos and pos_b can still share enough."""
-    room = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
-    return (room >= similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6) & (F.col("root") != F.col("root_b"))
-
-
-def _few_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """At most six partners for each node, of those before it in a key by size and by chance the ones that most keys propose."""
-    dealt = entries.withColumn("s", F.pmod(F.xxhash64("key", "node"), F.col("m"))).withColumn("deal", F.xxhash64("key", "node", F.lit(1)))
-    found = None
-    for order, partners in (("size", 2), ("deal", 4)):
-        at = Window.partitionBy("key", "s").orderBy(order, "node")
-        by = dealt.select("*", *[F.lag(c).over(at).alias(f"{c}_b") for c in ("node", "size", "pos", "root")])
-        by = by.where(F.col("node_b").isNotNull() & _may_link(similarity)).groupBy("node", "node_b").count()
-        by = by.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "node_b")), False), 1, partners).alias("best"))
-        found = by if found is None else found.unionByName(by)
-    pairs = found.select("node", F.explode("best.node_b").alias("node_b"))
-    return pairs.select(F.least("node", "node_b").alias("u"), F.greatest("node", "node_b").alias("v")).distinct()
-
-
-def _all_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """Every pair of nodes of different classes that a key allows; a hot key's rows meet in parts."""
-    one = entries.withColumn("s", F.pmod(F.xxhash64("node", F.lit(11)), F.col("m")).cast("int")).drop("m")
-    two = entries.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
-    two = two.withColumnsRenamed({c: f"{c}_b" for c in ("node", "size", "pos", "root")})
-    both = one.join(two, ["key", "s"]).where((F.col("node") < F.col("node_b")) & _may_link(similarity))
-    return both.select(F.col("node").alias("u"), F.col("node_b").alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, rep: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose whole sets have the similarity."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(rep, "node")
-    texts = rows.join(ends.select(F.col("rep").alias("id")).distinct(), "id")
-    sets = texts.select(shingle_sets(F.col("text"), shingle).alias("p")).select("p.*").join(ends.select("node"), "node")
-    sets = cut(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
-    both = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "su"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "sv"}), "v")
-    shared = F.size(F.array_intersect("su", "sv"))
-    return both.where(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select("u", "v")
-
-
-def _shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
-    """The distinct shingle hashes of a text, sorted, and a digest of them."""
-    found = np.unique(shingle_hashes(blank_words(text), shingle))
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True), found
-
-
-def shingle_sets(text: Column, shingle: int) -> Column:
-    """struct<node bigint, set array<bigint>>: the distinct shingle hashes of a text, sorted, and their digest."""
-
-    @F.pandas_udf("node bigint, set array<bigint>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        done = [_shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"node": np.array([n for n, _ in done], np.int64), "set": pd.Series([x.view(np.int64) for _, x in done], dtype=object)})
-
-    return of(text)
-
-
-def frequent_shingles(rows: DataFrame, shingle: int, sample: int = 5_000, most: int = 100_000) -> np.ndarray:
-    """Shingles that a sample of texts repeats, the rarest first: they go to the end of the common order.
-
-    Any order gives the same classes; one with the frequent shingles last gives fewer pairs to verify.
-    """
-    n = rows.count()
-    few = rows.sample(min(1.0, sample / max(n, 1)), 5).select(shingle_sets(F.col("text"), shingle)["set"].alias("set"))
-    counts = few.select(F.explode("set").alias("key")).groupBy("key").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "key").limit(most).toPandas()
-    return found["key"].to_numpy(np.int64)[::-1].copy()
-
-
-def shingle_prefixes(text: Column, shingle: int, similarity: float, frequent: np.ndarray) -> Column:
-    """struct<node bigint, size int, prefix array<bigint>>: digest and size of a text's shingle set, and the shingles it puts first.
-
-    The order is by hash, then the frequent ones. Of size s the first s - ceil(similarity * s) + 1 are taken: a set that
-    shares none of them shares too few of the others.
-    """
-    keys = frequent.view(np.uint64)
-    by_key = np.argsort(keys)
-
-    @F.pandas_udf("node bigint, size int, prefix array<bigint>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        nodes, sizes, prefixes = [], [], []
-        names = keys[by_key]
-        for t in texts:
-            node, found = _shingle_set(t, shingle)
-            if len(names) and len(found):
-                at = np.minimum(np.searchsorted(names, found), len(names) - 1)
-                rank = np.where(names[at] == found, by_key[at] + 1, 0)
-                order = found[np.argsort(rank, kind="stable")]
-            else:
-                order = found
-            least = int(np.ceil(similarity * len(found) - 1e-6))
-            nodes.append(node)
-            sizes.append(len(found))
-            prefixes.append(order[: len(found) - least + 1].view(np.int64))
-        return pd.DataFrame({"node": np.array(nodes, np.int64), "size": np.array(sizes, np.int32), "prefix": pd.Series(prefixes, dtype=object)})
-
-    return of(text)
-
-
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: the smallest id of each class, one row of an id that repeats, and rows without an id."""
-    odd = classes.where((F.col(id_col) != F.col("component")) | (F.col("copies") > 1))
-    odd = odd.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component")).alias("__stays"))
-    told = docs.join(odd, docs[id_col] == odd["__id"], "left")
-    once = told.where("__stays").dropDuplicates([id_col])
-    return told.where("__id is null").unionByName(once).select(*docs.columns)

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 _xxh = xxhash.xxh64_intdigest
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lower_bytes(text: str | None) -> bytes:
@@ -32,6 +33,25 @@ def shingle_hashes(words: list[bytes], n: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((_xxh(buf[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
 
 
+def shingle_mixes(words: list[bytes], n: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of every n-word shingle from the XXH64 of its words, repeats included; a shorter text is one shingle.
+
+    Several times as fast as `shingle_hashes`, for uses that may choose their hash.
+    """
+    if not words:
+        return np.empty(0, np.uint64)
+    n = min(n, len(words))
+    h = np.fromiter((_xxh(w, seed) for w in words), np.uint64, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out *= _MULTIPLIER
+        out += h[i : i + len(out)]
+    out ^= out >> np.uint64(32)
+    out *= _MULTIPLIER
+    out ^= out >> np.uint64(29)
+    return out
+
+
 def simhash(hashes: np.ndarray) -> int:
     """The 64 majority bits: a bit is 1 if it is set in over half of the hashes; no hashes give zero."""
     if not len(hashes):

@@ -55,8 +55,8 @@ def texts():
 
 
 def test_components_match_brute_force(spark, texts):
-    for shard_rows in (2048, 7):  # 7: every shard of copies is split and meets itself in blocks
-        got = sb.simhash_components(spark.createDataFrame(texts, SCHEMA), shard_rows=shard_rows).collect()
+    for shard_rows, size in ((2048, 1 << 20), (7, 1 << 20), (7, 0)):  # 7: shards of copies are split, their trees broadcast or exchanged
+        got = sb.simhash_components(spark.createDataFrame(texts, SCHEMA), shard_rows=shard_rows, broadcast_bytes=size).collect()
         prints = {i: (r[0], brute_print(r[1])) for i, r in enumerate(texts)}
         want = brute_components(prints, 4)
         assert sorted((str(r[0]), r[1] & (2**64 - 1), str(r[2])) for r in got) == sorted((str(prints[i][0]), prints[i][1], str(want[i])) for i in prints)
@@ -88,32 +88,6 @@ def test_pigeonhole_masks_lose_no_pair():
 
 def test_empty_table(spark):
     assert sb.simhash_components(spark.createDataFrame([], SCHEMA)).collect() == []
-    assert sb.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).collect() == []
-
-
-def test_near_duplicates_by_similarity(spark):
-    rng = random.Random(2)
-    vocab = ["v%d" % i for i in range(5000)]
-    data, want = [], {}
-    for g in range(40):
-        base = [rng.choice(vocab) for _ in range(200)]
-        for k in range(3):
-            c = list(base)
-            for i in rng.sample(range(200), 3 * (k > 0)):  # 3 of 200 words changed: similarity about 0.86
-                c[i] = rng.choice(vocab)
-            want[len(data)] = g * 3
-            data.append((len(data), " ".join(c)))
-        far = base[:100] + [rng.choice(vocab) for _ in range(100)]  # half the words: not a copy
-        data.append((1000 + g, " ".join(far)))
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)] + [(0, data[0][1]), (None, None)], "doc_id long, text string")
-    classes = sb.near_duplicate_classes(df)
-    got = {r.doc_id: r.component for r in classes.collect()}
-    right = sum(got[g * 4 + k] == g * 4 for g in range(40) for k in range(3))
-    assert right >= 116
-    assert all(got[g * 4 + 3] == g * 4 + 3 for g in range(40))
-    kept = [r.doc_id for r in sb.keep_one(df, classes).collect()]
-    assert kept.count(0) == 1 and kept.count(None) == 1 and len(kept) <= 40 * 2 + 1 + 4
 
 
 def test_query_matches_brute_force_on_documents(spark):
@@ -123,72 +97,3 @@ def test_query_matches_brute_force_on_documents(spark):
     prints = {i: (r.doc_id, brute_print(r.text)) for i, r in enumerate(docs)}
     want = brute_components(prints, 4)
     assert got == {prints[i][0]: (f"{prints[i][1]:016x}", want[i]) for i in prints}
-
-
-def jaccard_classes(rows, similarity=0.8):
-    """rows: [(id, text)] -> the smallest id of each id's class, by brute force over all pairs."""
-    sets = {}
-    for i, t in rows:
-        words = t.lower().split()
-        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
-    low = {i: i for i in sets}
-
-    def root(i):
-        while low[i] != i:
-            i = low[i]
-        return i
-
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
-                a, b = sorted((root(i), root(j)))
-                low[b] = a
-    return {i: root(i) for i in sets}
-
-
-def found_classes(spark, rows, **kw):
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    return {r.doc_id: r.component for r in sb.near_duplicate_classes(df, **kw).collect()}
-
-
-@pytest.mark.parametrize("shard_rows", [2048, 7])
-def test_near_duplicates_in_a_template_family(spark, shard_rows):
-    """Hundreds of texts of similarity about 0.7 to each other hide the few that are above 0.8."""
-    rng = random.Random(11)
-    template = [f"t{i}" for i in range(200)]
-    rows = []
-    for i in range(150):
-        text = template[:170] + [f"own{i}_{k}" for k in range(34)]
-        rows.append((2 * i, " ".join(text)))
-        if i % 3 == 0:
-            text[rng.randrange(4, 160)] = f"change{i}"
-            text[-4] = f"other{i}"
-            rows.append((2 * i + 1, " ".join(text)))
-    rng.shuffle(rows)
-    want = jaccard_classes(rows)
-    assert len(set(want.values())) == 150 and len(want) == 200
-    assert found_classes(spark, rows, shard_rows=shard_rows) == want
-
-
-def test_repeated_shingles_neither_join_nor_part_texts(spark):
-    same = "spam " * 300
-    rows = [(1, same + " ".join(f"a{i}" for i in range(250))), (2, same + " ".join(f"b{i}" for i in range(250)))]
-    line = [f"l{i}" for i in range(9)]
-    rest = " ".join(f"c{i}" for i in range(60))
-    rows += [(3 + k, " ".join(line * n) + " " + rest) for k, n in enumerate((2, 90))]  # one set of shingles
-    want = jaccard_classes(rows)
-    assert want == {1: 1, 2: 2, 3: 3, 4: 3}
-    assert found_classes(spark, rows) == want
-
-
-def test_no_pair_at_the_threshold_is_lost(spark):
-    rng = random.Random(4)
-    rows, want = [], {}
-    for g in range(300):
-        n = rng.choice([54, 104, 204])  # 50, 100, 200 shingles; the last words differ: similarity exactly 0.8 or just below
-        base = [f"g{g}_{i}" for i in range(n)]
-        k = {54: 5, 104: 11, 204: 22}[n] + g % 3
-        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: n - k] + [f"h{g}_{i}" for i in range(k)]))]
-        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if (n - 4 - k) / (n - 4 + k) >= 0.8 - 1e-9 else 2 * g + 1}
-    assert 250 > sum(a != b for a, b in want.items()) > 50
-    assert found_classes(spark, rows) == want
