@@ -11,9 +11,14 @@ across documents, whatever separators they are written with, and two values neve
 | phone | North American plan, or + and 8-15 digits | country code, layout | area, exchange and line in their ranges; other digits |
 | ssn | issued ranges | layout | area, group, serial in their ranges |
 | ip | four octets | range (public, 10/8, 172.16/12, 192.168/16, other) | the address in its range |
-| date | calendar | layout, order of day and month, month's language form | the day in its span of 200 years |
-| email | has a domain | domain, layout, case | local part, letters and digits in their classes |
-| secret | AKIA key, password= or token = "" value | prefix, layout, case | characters in their classes |
+| date | calendar | layout, month's form, leading zeros | the day in its span of 200 years |
+| email | has a domain | domain, layout, case, script | local part, letters and digits in their classes |
+| secret | AKIA key, value behind password= or password: (any case), token = "" value | prefix, layout, case, script | characters in their classes |
+
+A day has one pseudonym in every layout, and a layout never has one pseudonym for two days. Numbers between slashes are
+read month first unless the first is above 12; they are always written month first, because a pseudonym in the other
+order would often be read as another day. Letters and digits beyond ASCII are permuted among those of their general
+category in the same 256 code points.
 
 Defined results: null stays null and empty stays empty; values that fail validation are left as they are, after spans of
 cards and IBANs that end at an earlier blank were tried, and the search goes on behind their first group; repeated rows
@@ -26,8 +31,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 from datetime import date, timedelta
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,8 +47,8 @@ _MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS)
 
 PATTERN = re.compile(
     rf"""
-    (?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-  | (?P<secret>(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<=password=)[^\s"'<>&;,]+|(?<=token\ =\ ")[^\s"]+)
+    (?P<email>(?<![\w.+%-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)
+  | (?P<secret>(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?:(?<=(?i:password)[=:])|(?<=(?i:password)[=:]\ ))[^\s"'<>&;,]+|(?<=token\ =\ ")[^\s"]+)
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))
   | (?P<date>(?<![\w/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|(?:{_MONTH})\ \d{{1,2}},\ \d{{4}}|\d{{1,2}}\ (?:{_MONTH})\ \d{{4}})(?![\w/-])|(?<![\w/.-])\d{{4}}-\d{{2}}-\d{{2}}(?=T\d))
   | (?P<ip>(?<![\w.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\.?\w))
@@ -51,7 +58,16 @@ PATTERN = re.compile(
     """,
     re.X,
 )
-_HINT = re.compile(r"""[0-9@]|password=|token = ["]""")
+_HINT = re.compile(r"""[0-9@]|(?i:password)[=:]|token = ["]""")
+
+
+@cache
+def _class(c: str) -> str:
+    """The characters that c may become; empty for what is neither letter nor digit."""
+    if c.isascii():
+        return next((s for s in (DIGITS, LOWER, UPPER) if c in s), "")
+    kind, row = unicodedata.category(c), ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(max(row, 128), row + 256)) if unicodedata.category(x) == kind) if kind[0] in "LN" else ""
 
 
 class Permuter:
@@ -83,12 +99,12 @@ class Permuter:
         """value with its letters and digits permuted within their classes, 64 characters at a time, all else in place."""
         if len(value) > 64:
             return "".join(self.characters(value[i : i + 64], f"{kind}+{i}") for i in range(0, len(value), 64))
-        classes = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), "") for c in value]
+        classes = list(map(_class, value))
         x, size = 0, 1
         for c, s in zip(value, classes):
             if s:
                 x, size = x * len(s) + s.index(c), size * len(s)
-        shape = "".join({10: "0", 26: "a"}.get(len(s), c) if s is not UPPER else "A" for c, s in zip(value, classes))
+        shape = "".join(s[0] if s else c for c, s in zip(value, classes))
         x = self.index(x, size, f"{kind}/{shape}")
         out = list(value)
         for i in range(len(value) - 1, -1, -1):
@@ -186,7 +202,8 @@ def _ip(p: Permuter, value: str) -> str | None:
 
 
 def _date(p: Permuter, value: str) -> str | None:
-    n = [int(x) for x in re.findall(r"\d+", value)]
+    numbers = re.findall(r"\d+", value)
+    n = list(map(int, numbers))
     name = re.search("[A-Z][a-z]+", value)
     if name:
         month = next(i for i, m in enumerate(MONTHS, 1) if m.startswith(name[0][:3]))
@@ -204,19 +221,15 @@ def _date(p: Permuter, value: str) -> str | None:
     except ValueError:
         return None
     t = first + timedelta(p.index(past, span, f"date/{first.year}"))
-    if name:
-        word = MONTHS[t.month - 1] if len(name[0]) > 3 or name[0] == "May" else MONTHS[t.month - 1][:3]
-        return f"{word} {t.day}, {t.year}" if value[0].isalpha() else f"{t.day} {word} {t.year}"
     if "-" in value:
         return t.isoformat()
-    if "." in value:
-        return f"{t.day:02d}.{t.month:02d}.{t.year}" if len(value) == 10 else f"{t.day}.{t.month}.{t.year}"
-    a, b = (t.day, t.month) if n[0] > 12 else (t.month, t.day)
-    # a day above 12 is what tells the order: where it would be lost, walk on to a day that keeps it
-    while (n[0] > 12) != (t.day > 12) and n[0] > 12:
-        t = first + timedelta(p.index((t - first).days, span, f"date/{first.year}"))
-        a, b = t.day, t.month
-    return f"{a:02d}/{b:02d}/{t.year}" if len(value) == 10 else f"{a}/{b}/{t.year}"
+    if name:
+        word = MONTHS[t.month - 1] if len(name[0]) > 3 or name[0] == "May" else MONTHS[t.month - 1][:3]
+        day = f"{t.day:02d}" if numbers[0][0] == "0" else str(t.day)
+        return f"{word} {day}, {t.year:04d}" if value[0].isalpha() else f"{day} {word} {t.year:04d}"
+    pad = 2 if len(numbers[0]) == len(numbers[1]) == 2 else 1
+    a, b, mark = (t.day, t.month, ".") if "." in value else (t.month, t.day, "/")
+    return f"{a:0{pad}d}{mark}{b:0{pad}d}{mark}{t.year:04d}"
 
 
 def _email(p: Permuter, value: str) -> str:
