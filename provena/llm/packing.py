@@ -1,20 +1,22 @@
 """Mixture-controlled packing of token sequences by deficit round-robin.
 
-Documents are tokenized once and dealt by a hash of their id (and text, so that a repeated id is no hot key) into
-shards of about ``shard_tokens`` tokens, which keeps every source, however hot, spread over all shards. In a shard each
-source is a queue. Each window of ``window`` sequences credits every queue its target share of the window and serves the
+Documents are tokenized once and dealt by a hash of id, text and the row's number, so that not even equal rows share a
+shard, into shards of about ``shard_tokens`` tokens, which keeps every source, however hot, spread over all shards. In a
+shard each source is a queue. Each window of ``window`` sequences credits every queue its target share of the window and serves the
 queues in turn as far as their credit goes; what a queue is owed or has had too much of is carried to the next window,
 and from shard to shard: because a shard packs all it holds, the deficits at a shard's start follow from the token
 counts of the shards before it, so shards are packed in parallel. When the queues with credit are empty the others
 overdraw, least overdrawn first, until the shard is packed: no token is dropped.
 
-The targets are token shares by source: given, or the shares of the whole table. Sources without a given target get
-what is left over.
+The targets are token shares by source: given, or the shares of the whole table. Given targets can be met only as long as
+every source lasts: of each source as many tokens as the scarcest one allows are dealt to the first shards, whose windows
+all have the targets; the rest, and sources without a target, follow in shards of their own, mixed by what they hold.
 
 Sequences are consecutive cuts of a shard's stream, all full; what remains at a shard's end is cut at powers of two,
 largest first, so nothing is padded.
 
-Defined results: null text is empty and yields the end id alone; null sources are one source, null ids are kept;
+Defined results: null text is empty and yields the end id alone; null sources are one source, apart from the empty one;
+targets of zero or less, or for sources that hold nothing, are as if not given; null ids are kept;
 repeated rows are packed one by one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -228,33 +230,64 @@ def _pack(length: int, window: int):
     return run
 
 
+def running(df: DataFrame, by: list[str], order: str, block: int = 1024, **sums) -> DataFrame:
+    """df with sums over the rows before each one in its group, in two steps: within blocks of the order, and over their totals.
+
+    order: a column of whole numbers from 0, each once in a group. No task gets more than a block, or the blocks, of a group.
+    """
+    told = df.withColumn("_block", F.floor(F.col(order) / block))
+    totals = told.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    over = (Window.partitionBy(*by) if by else Window).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_{n}").over(over), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(totals, [*by, "_block"])
+    return told.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_block", *[f"_{n}" for n in sums])
+
+
 def pack(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = 2048, window: int = 64, shard_tokens: int = 1 << 21
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str | None, float] | None = None, length: int = 2048, window: int = 64, shard_tokens: int = 1 << 21
 ) -> DataFrame:
     """A row for each piece: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("deal", F.xxhash64("id", "text"))
+    # inside, a source is "=" and its name, so that a null one, which is empty, is not the empty name
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), source.alias("source"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("deal", F.xxhash64("id", "text", F.monotonically_increasing_id()))
     tokens = cut(rows.mapInArrow(_tokenize(tokenizer), f"id {kind}, source string, deal long, ids binary, width int, n long"), "pack-tokens")
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
-    tokens = tokens.withColumn("shard", F.pmod("deal", F.lit(shards)))
-    counts = cut(tokens.groupBy("shard", "source").agg(F.sum("n").alias("n")), "pack-counts")
-    if targets is None:  # as many sources as there are: their shares stay a table
-        shares = counts.groupBy("source").agg((F.sum("n") / F.lit(float(total or 1))).alias("share"))
+
+    # part 0 has the targets, part 1 is what is left; share: of a source in a part, taken: of its tokens that go to part 0
+    held = tokens.groupBy("source").agg(F.sum("n").alias("n"))
+    if targets is None:
+        tokens = tokens.withColumn("part", F.lit(0))
     else:
-        scale = sum(targets.values()) or 1.0
-        shares = docs.sparkSession.createDataFrame([(x, y / scale) for x, y in sorted(targets.items())], "source string, share double")
-    sizes = counts.groupBy("shard").agg(F.sum("n").alias("size"))
+        wanted = spark.createDataFrame([("" if x is None else f"={x}", float(y)) for x, y in targets.items() if y > 0], "source string, target double")
+        wanted = wanted.join(held, "source")
+        least = wanted.agg(F.coalesce(F.sum("target"), F.lit(1.0)).alias("all"), F.min(F.col("n") / F.col("target")).alias("room")).first()
+        wanted = cut(wanted.select("source", (F.col("target") / least["all"]).alias("target"), F.least(F.lit(1.0), F.col("target") * (least["room"] or 0.0) / F.col("n")).alias("taken")), "pack-targets")
+        # another hash than the one that deals shards: the first part has its share of every shard
+        chance = F.pmod(F.xxhash64("deal"), F.lit(1 << 40)) / float(1 << 40)
+        tokens = tokens.join(wanted.select("source", "taken"), "source", "left").withColumn("part", F.when(chance < F.coalesce("taken", F.lit(0.0)), 0).otherwise(1)).drop("taken")
+    total = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    shards = {p: max(1, -(-n // shard_tokens)) for p, n in total.items()}
+    first = F.when(F.col("part") == 0, F.lit(0)).otherwise(F.lit(shards.get(0, 0)))
+    tokens = tokens.withColumn("shard", first + F.pmod("deal", F.when(F.col("part") == 0, F.lit(shards.get(0, 1))).otherwise(F.lit(shards.get(1, 1)))))
+    counts = cut(tokens.groupBy("part", "shard", "source").agg(F.sum("n").alias("n")), "pack-counts")
+
+    # as many sources as there are: their shares stay a table
+    scale = F.when(F.col("part") == 0, F.lit(float(total.get(0, 1)))).otherwise(F.lit(float(total.get(1, 1))))
+    shares = counts.groupBy("part", "source").agg((F.sum("n") / F.first(scale)).alias("share"))
+    if targets is not None:
+        shares = shares.join(wanted.select("source", "target"), "source", "left").select("part", "source", F.when(F.col("part") == 0, F.col("target")).otherwise(F.col("share")).alias("share"))
     sequences = F.floor(F.col("size") / length) + F.bit_count(F.col("size") % length)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum(sequences).over(before), F.lit(0)).alias("first_sequence"))
+    sizes = counts.groupBy("part", "shard").agg(F.sum("n").alias("size"))
+    sizes = running(sizes, [], "shard", first_sequence=sequences, tokens_before=F.col("size"))
+    sizes = sizes.withColumn("tokens_before", F.col("tokens_before") - F.when(F.col("part") == 0, F.lit(0)).otherwise(F.lit(total.get(0, 0)))).drop("size", "part")
     # a row for every source that a shard holds; what a source is owed follows from the shards before that hold it
-    owed = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    plan = counts.join(shares, "source", "left").withColumn("served", F.coalesce(F.sum("n").over(owed), F.lit(0))).join(sizes, "shard")
-    credit = F.coalesce(F.col("share") * F.col("tokens_before") - F.col("served"), F.lit(0.0))  # without a target: nothing is owed
-    plan = plan.select("shard", "source", F.coalesce("share", F.lit(0.0)).alias("share"), credit.alias("credit"), "first_sequence")
+    plan = running(counts, ["part", "source"], "shard", served=F.col("n")).join(shares, ["part", "source"]).join(sizes, "shard")
+    credit = F.col("share") * F.col("tokens_before") - F.col("served")
+    plan = plan.select("shard", "source", "share", credit.cast("double").alias("credit"), "first_sequence")
     out = f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     both = tokens.select("shard", "id", "source", "deal", "ids", "width", "n").unionByName(plan, allowMissingColumns=True)
     packed = both.groupBy("shard").applyInArrow(_pack(length, window), out)
-    return packed.withColumnRenamed("id", id_col)
+    return packed.withColumnRenamed("id", id_col).withColumn("source", F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)))
