@@ -53,12 +53,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     if _scopes:
         _scopes[-1][path] = spark
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs run inside send at most so many bytes at once to a Python worker, which then needs little memory for long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a folder or file through its own file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
