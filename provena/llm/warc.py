@@ -1,12 +1,14 @@
 """WARC archives with a Zstandard dictionary.
 
 Each task writes one file: a leading skippable frame with the dictionary (itself compressed), then every record as a
-frame of its own, so a reader needs the dictionary and can start at any record. The dictionary is built from the file's
-own first records, at most ``sample_bytes`` of them; a file too small to train one has none.
+frame of its own, so a reader needs the dictionary and can start at any record. The dictionary is trained on the file's
+own first records, at most ``sample_bytes`` of them; records too few or too small to train on are one as they are.
 
 Records with equal payloads of at least ``min_bytes`` bytes: the one with the largest id is a response, the others are
 revisits that refer to it and carry no payload. Equality is by SHA-1; the ids of repeated payloads come from one
-aggregation, so a payload that a third of all rows share is no hot task, and only repeated digests are joined.
+aggregation over digests, so a payload that a third of all rows share is no hot task. The repeated digests are broadcast
+if they are at most ``broadcast_rows``: payloads then stay in the task that read them. Beyond that both sides are
+exchanged by digest, as plain exchanges whose hot keys Spark splits.
 
 Files go to the shared folder through its own file system, under a name of the task attempt; the manifest lists those of
 the attempts that count, so a lost executor or a repeated task leaves at most an unlisted file.
@@ -74,14 +76,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, empty if the samples are too few or too small for one."""
+    """A trained dictionary, or the samples' first bytes if they are too few or too small to train on."""
     total = sum(map(len, samples))
-    if len(samples) < 8 or total < 16 * 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, total // 8), samples, k=1024, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    if len(samples) >= 8 and total >= 16 * 1024:
+        try:
+            return zstandard.train_dictionary(min(size, total // 8), samples, k=1024, d=8).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[:size]
 
 
 def write_archive(out, records: Iterator[bytes], dict_bytes: int = 65_536, sample_bytes: int = 1 << 21, level: int = 3) -> tuple[int, int]:
@@ -95,7 +97,7 @@ def write_archive(out, records: Iterator[bytes], dict_bytes: int = 65_536, sampl
     trained = build_dictionary([r[:65_536] for r in held], dict_bytes)
     written = n = 0
     compressor = zstandard.ZstdCompressor(level=level, write_content_size=True)
-    if trained:
+    if trained:  # there is a record
         packed = compressor.compress(trained)
         written += out.write(struct.pack("<II", DICT_MAGIC, len(packed)) + packed)
         compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained), write_content_size=True)
@@ -133,11 +135,13 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Archives all rows below the shared folder; the manifest: path, records, bytes."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     repeated = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    repeated = cut(repeated, "warc-repeated")
+    repeated = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
     told = rows.join(repeated, "sha", "left").select("id", "url", "payload", F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +207,7 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
                     yield flush(rows)
 
     files = manifest.select("path")
-    return files.repartition(F.col("path")).mapInArrow(read, READ_SCHEMA + ", payload binary" * payload)
+    return files.repartition(max(1, files.count())).mapInArrow(read, READ_SCHEMA + ", payload binary" * payload)
 
 
 def archive_folder(spark) -> str:

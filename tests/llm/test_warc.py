@@ -44,6 +44,7 @@ def test_round_trip_with_edges(spark):
     assert all(r.payload == text[int(r.record_id)] for r in back if r.record_type == "response" and r.record_id != "null")
     assert read(spark, rows, min_bytes=10**9)[0] == sorted(((p, len((h or "").encode()), warc.payload_digest((h or "").encode()), "response", None) for p, _, h, *_ in rows), key=str)
     assert read(spark, [])[0] == []
+    assert read(spark, rows, broadcast_rows=0)[0] == got
 
 
 def test_archive_layout():
@@ -57,9 +58,19 @@ def test_archive_layout():
     assert list(warc.read_archive(io.BytesIO(data))) == records
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(data[:-5])))
-    small = io.BytesIO()
-    warc.write_archive(small, iter(records[:2]))
-    assert list(warc.read_archive(io.BytesIO(small.getvalue()))) == records[:2]
+    for n in (1, 2):
+        small = io.BytesIO()
+        warc.write_archive(small, iter(records[:n]))
+        assert struct.unpack("<I", small.getvalue()[:4])[0] == warc.DICT_MAGIC
+        assert list(warc.read_archive(io.BytesIO(small.getvalue()))) == records[:n]
+    assert warc.write_archive(io.BytesIO(), iter([])) == (0, 0)
+
+
+def test_a_file_to_a_task(spark):
+    df = spark.range(400).selectExpr("id page_id", "'u' url", "repeat(string(id), 50) html", "'' sha", "0L first").repartition(8)
+    manifest = warc.write_archives(df, warc.archive_folder(spark))
+    assert manifest.count() == 8
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == 8
 
 
 def test_query(spark):
