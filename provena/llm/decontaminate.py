@@ -10,11 +10,13 @@ its shingles, so it has at least ``hits`` of the sketch: no item is missed at an
 partition has the largest hash of its sketches as threshold; only document hashes below the threshold of a partition
 whose items fit into the document are looked up. Lookup is an equi-join on the hash, in which a document's hashes are
 made and dropped within its own row; the sketch table is broadcast only if its counted rows are at most
-``broadcast_rows``, else both sides are shuffled. Candidates are then verified on the shingles themselves.
+``broadcast_rows``, else both sides are shuffled. Candidates are then verified on the shingles themselves: the texts of
+documents that have one (their keys are broadcast if they are at most ``broadcast_rows``, so no other text is moved) meet
+the shingles of all their items in one row.
 
-Defined results: null and empty texts, and items of fewer than five words, have no shingle and take no part; repeated
-document rows give one result, the largest count; a null doc_id is reported as null; empty tables give empty results;
-other columns are ignored, whatever their names.
+Defined results: null and empty texts, and items of fewer than five words, have no shingle and take no part; rows that
+repeat a doc_id with the same text or another give one result for each item, the largest count, but stay or go each by its
+own text; a null doc_id is reported as null; empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.session import cut, fresh
+
 WORD_GAP = r"[^\p{L}\p{N}]+"
 HITS = 3
 
@@ -57,12 +61,9 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, shingle: int, co
     return sets.select("item", "q", F.floor(F.log2("q")).cast("int").alias("partition"), (k - lacking).alias("need"), F.slice("s", F.lit(1), k).alias("sketch"))
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    shingle: int = 5, containment: float = 0.8, broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """id_col, item_col, n_shared, n_item: every item inside every document."""
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, shingle: int, containment: float, broadcast_rows: int) -> DataFrame:
+    """doc, mark (hash of the text), item, shared, q: every item inside every text."""
+    docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     sketches = item_sketches(items, item_col, item_text, shingle, containment)
     partitions = sketches.groupBy("partition").agg(F.max(F.element_at("sketch", -1)).alias("top"), F.min(F.col("q")).alias("q"), F.sum(F.size("sketch")).alias("rows")).collect()
     rows = sum(p["rows"] for p in partitions)
@@ -73,24 +74,45 @@ def contained_items(
     top = F.lit(None).cast("long")
     for p in partitions:
         top = F.greatest(top, F.when(F.col("n") >= containment * p["q"], F.lit(p["top"])))
-    hashed = docs.where(F.col("text").isNotNull()).select("doc", _word_hashes(F.col("text")).alias("w"))
-    hashed = hashed.select("doc", "w", (F.size("w") - (shingle - 1)).alias("n")).where("n > 0").withColumn("top", top)
-    found = hashed.select("doc", "n", F.explode(F.filter(shingle_hashes(F.col("w"), shingle), lambda h: h <= F.col("top"))).alias("h"))
+    hashed = docs.where(F.col("text").isNotNull()).select("doc", "mark", _word_hashes(F.col("text")).alias("w"))
+    hashed = hashed.select("doc", "mark", "w", (F.size("w") - (shingle - 1)).alias("n")).where("n > 0").withColumn("top", top)
+    found = hashed.select("doc", "mark", "n", F.explode(F.filter(shingle_hashes(F.col("w"), shingle), lambda h: h <= F.col("top"))).alias("h"))
     met = found.join(lookup, "h").where(F.col("n") >= F.lit(containment) * F.col("q") - 1e-9)
-    pairs = met.groupBy("doc", "item").agg(F.count_distinct("h").alias("met"), F.max("need").alias("need")).where("met >= need")
+    pairs = met.groupBy("doc", "mark", "item").agg(F.count_distinct("h").alias("met"), F.max("need").alias("need")).where("met >= need")
+    pairs = cut(pairs.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "item"), "leak-pairs")
 
-    # verification: a document's shingles are made once for all its candidates
-    wanted = pairs.groupBy("doc").agg(F.collect_set("item").alias("items"))
-    texts = docs.join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "items", words(F.col("text")).alias("w"))
-    texts = texts.select("doc", "items", shingle_texts(F.col("w"), shingle).alias("s")).select("doc", "s", F.explode("items").alias("item"))
+    # verification: only texts with a candidate move, and a text's shingles are made once for all its candidates
     own = items.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") >= shingle)
-    own = own.select("item", shingle_texts(F.col("w"), shingle).alias("i"))
-    checked = texts.join(own, "item").select("doc", "item", F.size(F.array_intersect("i", "s")).cast("long").alias("shared"), F.size("i").cast("long").alias("q"))
-    sound = checked.where(F.col("shared") >= F.lit(containment) * F.col("q") - 1e-9)
+    own = cut(own.select("item", shingle_texts(F.col("w"), shingle).alias("i")), "leak-items")
+    wanted = pairs.join(F.broadcast(own) if rows <= broadcast_rows else own, "item").groupBy("_doc", "_mark").agg(F.collect_list(F.struct("item", "i")).alias("items"))
+    here = docs["doc"].eqNullSafe(F.col("_doc")) & (docs["mark"] == F.col("_mark"))
+    keys = pairs.select("_doc", "_mark").distinct()
+    texts = docs.join(F.broadcast(keys), here, "left_semi") if keys.count() <= broadcast_rows else docs
+    texts = texts.dropDuplicates(["doc", "mark"])
+    texts = texts.join(wanted, texts["doc"].eqNullSafe(F.col("_doc")) & (texts["mark"] == F.col("_mark"))).select("doc", "mark", "items", words(F.col("text")).alias("w"))
+    # through a generator, so that the shingles are not made again for every item
+    texts = texts.select("doc", "mark", "items", F.explode(F.array(shingle_texts(F.col("w"), shingle))).alias("s"))
+    shared = F.transform("items", lambda x: F.struct(x["item"].alias("item"), F.size(F.array_intersect(x["i"], F.col("s"))).cast("long").alias("shared"), F.size(x["i"]).cast("long").alias("q")))
+    checked = texts.select("doc", "mark", F.inline(shared))
+    return checked.where(F.col("shared") >= F.lit(containment) * F.col("q") - 1e-9)
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    shingle: int = 5, containment: float = 0.8, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """id_col, item_col, n_shared, n_item: every item inside every document."""
+    sound = _found(docs, items, id_col, text_col, item_col, item_text, shingle, containment, broadcast_rows)
     return sound.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("shared").alias("n_shared"), F.max("q").alias("n_item"))
 
 
-def without_items(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no item."""
-    bad = found.select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+def without_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    shingle: int = 5, containment: float = 0.8, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """The rows of docs whose text holds no item."""
+    id_, mark = fresh(docs, "leak_id"), fresh(docs, "leak_mark")
+    bad = _found(docs, items, id_col, text_col, item_col, item_text, shingle, containment, broadcast_rows)
+    bad = cut(bad.select(F.col("doc").alias(id_), F.col("mark").alias(mark)).distinct(), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[id_]) & (F.xxhash64(F.col(f"`{text_col}`")) == bad[mark]), "left_anti")
