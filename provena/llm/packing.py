@@ -39,7 +39,7 @@ from provena.session import cut
 
 END_ID = 1
 assert sys.byteorder == "little" and array("I").itemsize == 4
-_CACHE = 800_000
+_CACHE = 400_000
 _tokenizers: dict[str, object] = {}
 
 
