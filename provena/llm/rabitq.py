@@ -14,9 +14,13 @@ Queries are read in blocks dealt by a hash, half of ``block`` rows each on avera
 to all tasks, each of which scans its part of the index once and returns its k best for each query; the last step merges
 k rows a task. No pair outside the k best leaves a task.
 
+Vectors are kept scaled by the power of two that brings their largest component to between a half and one: cosines stay the
+same to the last bit, and no length under- or overflows.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as query or
 candidate; only vectors of the query's dimension are candidates; fewer than k candidates are all returned; ties go to
-the smaller id; rows that repeat an id are separate candidates unless the id is the query's own; null ids take no part;
+the smaller id; rows that repeat an id are separate candidates unless the id is the query's own, and of those that repeat
+a query's id the least vector asks; null ids take no part;
 empty tables give empty results; other columns are ignored.
 """
 
@@ -125,13 +129,13 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code, scalar = [b""] * b.num_rows, np.zeros(b.num_rows)
-            vs = _matrix(b.column("vector"))
+            vs = [np.ldexp(v, -np.frexp(np.abs(v).max())[1]) for v in _matrix(b.column("vector"))]
             for d in {len(v) for v in vs}:
                 at = [i for i, v in enumerate(vs) if len(v) == d]
                 codes, scalar[at] = encode(np.stack([vs[i] for i in at]), seed)
                 for i, c in zip(at, codes):
                     code[i] = c.tobytes()
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vector": b.column("vector"), "code": pa.array(code, pa.binary()), "scalar": pa.array(scalar)})
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vector": pa.array(vs, pa.list_(pa.float64())), "code": pa.array(code, pa.binary()), "scalar": pa.array(scalar)})
 
     return cut(rows.mapInArrow(run, f"id {kind}, vector array<double>, code binary, scalar double"), "rabitq")
 
@@ -203,7 +207,7 @@ def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, que
     spark = indexed.sparkSession
     kind = indexed.schema["id"].dataType.simpleString()
     out = f"query_id {kind}, id {kind}, score double"
-    wanted = wanted.select("id", "vector").dropDuplicates(["id"])
+    wanted = wanted.groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-2 * wanted.count() // block))
     parts = []
     for b in range(blocks):

@@ -5,12 +5,13 @@ host at label boundaries, all prefixes of its path that have the length of some
 hashed; the first four bytes of the digest are equi-joined, a hit counts only if the full digests agree. Of the rules
 that fit, the longest wins (host and path together; then the longer host, then block before allow).
 
-Distinct URLs are expanded, not rows, so a URL that repeats is judged once; rows whose URL has a rule are joined back.
+Distinct URLs are expanded, not rows, so a URL that repeats is judged once; the URLs that have a rule are broadcast back to
+the rows if together they have at most ``broadcast_bytes``, else joined as a written table, whose hot keys Spark splits.
 The rule table is broadcast only if it has at most ``broadcast_rows`` rows.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, and no rule fits it; where no rule fits
 the verdict is ``default``; rules with a null or empty host or path part, or a null verdict, are ignored; repeated rows
-give equal results; empty tables give empty results; other columns are ignored.
+give equal results; empty tables give empty results; other columns are kept, whatever their names, but for those named as a result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.session import cut, fresh
+
 PREFIX_BYTES = 4
 
 
@@ -48,7 +51,7 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
-def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", broadcast_rows: int = 1_000_000) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", broadcast_rows: int = 1_000_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """urls with host, path, rule and verdict; rules: host, path, verdict (allow or block).
 
     Columns of urls that have one of these four names give way to the result's.
@@ -69,10 +72,12 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     expanded = expanded.select("u", digest(F.concat("s", F.substring(F.col("p"), F.lit(1), F.col("n")))).alias("d")).withColumn("k", short(F.col("d")))
     fits = expanded.join(told, "k").where("d = full")
     rank = F.struct("size", "hosts", (F.col("told") == "block").alias("blocks"))
-    best = fits.groupBy("u").agg(F.max_by(F.struct("rule", "told"), rank).alias("__best")).withColumnRenamed("u", "__key")
+    u, key, best = (fresh(urls, x) for x in ("filter_url", "filter_key", "filter_best"))
+    found = cut(fits.groupBy(F.col("u").alias(key)).agg(F.max_by(F.struct("rule", "told"), rank).alias(best)), "url-rules")
+    size = found.agg(F.sum(F.octet_length(key) + F.octet_length(f"{best}.rule"))).first()[0] or 0
+    found = F.broadcast(found) if size <= broadcast_bytes else found
 
     own = {"host", "path", "rule", "verdict"}
-    rows = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c not in own or c == url_col]).withColumn("__u", F.col(url_col))
-    judged = rows.join(best, F.col("__u") == F.col("__key"), "left")
-    out = [host_of(F.col("__u")).alias("host"), path_of(F.col("__u")).alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.told", F.lit(default)).alias("verdict")]
-    return judged.select(*[F.col(f"`{c}`") for c in urls.columns if c not in own], *out)
+    kept = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in own]
+    judged = urls.select(*kept, F.col(f"`{url_col}`").alias(u)).join(found, F.col(u) == F.col(key), "left")
+    return judged.select(*kept, host_of(F.col(u)).alias("host"), path_of(F.col(u)).alias("path"), F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.told", F.lit(default)).alias("verdict"))

@@ -69,3 +69,17 @@ def test_bound_passes_over_few_true_neighbours():
 
     epsilon = inspect.signature(rabitq.search).parameters["epsilon"].default
     assert math.erfc(epsilon / math.sqrt(2)) / 2 < 3e-4  # by the module's normal model, a side
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (50, [0.0, 2e-170]), (100, [1e200, 1e200]), (3, [5e-324, 0.0]), (150, [1.7e308, -1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    indexed = rabitq.index(df)
+    got = collect(indexed)
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    assert {q: sorted(x) for q, x in got.items()} == brute(scaled)  # ties but for the last bit
+
+
+def test_a_repeated_query_asks_with_its_least_vector(spark):
+    df = spark.createDataFrame([(50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [0.1, 1.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert [i for _, i in collect(rabitq.index(df))[50]] == [1, 2]

@@ -24,10 +24,11 @@ URLS = [
 def test_matches_brute_force(spark):
     rules = [*URL_RULES, ("x.com", "/fr/a", "block"), ("m", "/fr/", "block"), ("com", "/de/é", "block"), ("b.example.org", "/en", "allow")]
     extra = [(None, "/", "block"), ("org", None, "block"), ("", "/", "block"), ("org", "", "block"), ("net", "/", None), URL_RULES[0]]
-    df = spark.createDataFrame([(i % 9, u, "clash", "clash") for i, u in enumerate(URLS + URLS)], "page_id long, url string, rule string, u string")
+    names = ["u", "__u", "__key", "__best", "filter_url", "filter_key", "filter_best", "k", "d"]
+    df = spark.createDataFrame([(i % 9, u, "clash", *["c"] * len(names)) for i, u in enumerate(URLS + URLS)], "page_id long, url string, rule string, " + ", ".join(f"{c} string" for c in names))
     for limit in (10**6, 0):
-        got = url_filter.judge(df, spark.createDataFrame(rules + extra, "host string, path string, verdict string"), broadcast_rows=limit)
-        assert got.columns == ["page_id", "url", "u", "host", "path", "rule", "verdict"]
+        got = url_filter.judge(df, spark.createDataFrame(rules + extra, "host string, path string, verdict string"), broadcast_rows=limit, broadcast_bytes=limit)
+        assert got.columns == ["page_id", "url", *names, "host", "path", "rule", "verdict"]
         rows = got.collect()
         assert len(rows) == 2 * len(URLS)
         for r in rows:
@@ -43,6 +44,13 @@ def test_empty(spark):
     assert url_filter.judge(df, rules.where("false"), default="block").first().verdict == "block"
 
 
+def test_plan_runs_no_python(spark):
+    df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    got = url_filter.judge(df, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
