@@ -47,7 +47,7 @@ def strip_code(text: Column) -> Column:
 
 def prototypes(stripped: Column, prefix: str) -> Column:
     """Distinct names with the prefix (a pattern) that are declared: a type, blanks or stars, the name, a parenthesis."""
-    pattern = rf"\b[A-Za-z_]\w*[ \t\n*]+((?:{prefix})\w*)[ \t\n]*\("
+    pattern = rf"\b[A-Za-z_]\w*(?:{WHITE[:-1]}|\*)+((?:{prefix})\w*){WHITE[:-1]}*\("
     return F.array_sort(F.array_distinct(F.regexp_extract_all(stripped, F.lit(pattern), F.lit(1))))
 
 

@@ -45,11 +45,15 @@ def coverage(findings: DataFrame, identities: DataFrame) -> DataFrame:
 def version_range_matches(releases: DataFrame, ranges: DataFrame) -> DataFrame:
     """releases: product, version; ranges: product, advisory, introduced, fixed (excluded; null: open).
 
-    The product is the equi-join key; versions compare by their numbers, so 2.28.10 follows 2.28.8.
+    Versions compare by their numbers, so 2.28.10 follows 2.28.8. Distinct versions meet distinct ranges of a product;
+    rows and advisories are joined back to what met.
     """
-    told = releases.withColumn("_v", ft.version_key(F.col("version"))).join(ranges, "product")
-    inside = (F.col("_v") >= ft.version_key(F.col("introduced"))) & (F.col("fixed").isNull() | (F.col("_v") < ft.version_key(F.col("fixed"))))
-    return told.where(inside).drop("_v")
+    v = releases.select("product", "version").distinct().withColumn("_v", ft.version_key(F.col("version")))
+    r = ranges.select("product", "introduced", "fixed").distinct().withColumns({"_i": ft.version_key(F.col("introduced")), "_f": ft.version_key(F.col("fixed"))})
+    met = v.join(r, "product").where((F.col("_v") >= F.col("_i")) & (F.col("fixed").isNull() | (F.col("_v") < F.col("_f")))).drop("_v", "_i", "_f")
+    told = met.withColumnsRenamed({"introduced": "_in", "fixed": "_out"})
+    named = told.join(ranges, (told["product"] == ranges["product"]) & (F.col("_in") == F.col("introduced")) & F.col("_out").eqNullSafe(F.col("fixed"))).drop(told["product"])
+    return releases.join(named.drop("_in", "_out"), ["product", "version"])
 
 
 def identity_to_cpe(components: DataFrame, mapping: DataFrame) -> DataFrame:

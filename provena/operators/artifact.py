@@ -96,19 +96,21 @@ def select_tiers(matches: DataFrame, profile: str) -> DataFrame:
     return matches.where(F.col("tier").isin(*PROFILES[profile])).withColumn("profile", F.lit(profile))
 
 
-def write_json(path: str, releases: DataFrame, exact: DataFrame, wfp: DataFrame, symbol: DataFrame, generated: str = "", source_kb: str = "") -> None:
-    """The artifact as one gzipped JSON document of schema 2, the form for exchange; large ones stay tables."""
-    rel = releases.agg(F.map_from_entries(F.collect_list(F.struct("release_id", F.struct(*RELEASE_COLUMNS[1:])))).alias("releases"))
-    ex = exact.agg(F.map_from_entries(F.collect_list(F.struct("md5", F.struct(F.col("release_ids").alias("releases"), "path")))).alias("files"))
-    wf = wfp.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("md5", "line"))).alias("at")).agg(F.map_from_entries(F.collect_list(F.struct("hash", "at"))).alias("hashes"))
+def write_json(path: str, releases: DataFrame, exact: DataFrame, wfp: DataFrame, symbol: DataFrame, generated: str = "", source_kb: str = "", parts: int = 1) -> None:
+    """The artifact as gzipped JSON of schema 2, the form for exchange: one document, or ``parts`` that share out the keys."""
+    from provena.sources.exchange import _joined, entries, part_of, write_documents
+
+    rel = entries(releases.withColumn("part", part_of(F.col("release_id"), parts)), "release_id", F.struct(*RELEASE_COLUMNS[1:]), "releases")
+    ex = entries(exact.withColumn("part", part_of(F.col("md5"), parts)), "md5", F.struct(F.col("release_ids").alias("releases"), "path"), "files")
+    wf = wfp.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("md5", "line"))).alias("at"))
+    wf = entries(wf.withColumn("part", part_of(F.col("hash"), parts)), "hash", F.col("at"), "hashes")
     sy = symbol.groupBy("component", "prefix", "release_id").agg(F.array_sort(F.collect_set("symbol")).alias("s"))
-    sy = sy.groupBy("component", "prefix").agg(F.map_from_entries(F.collect_list(F.struct("release_id", "s"))).alias("releases"))
-    sy = sy.agg(F.map_from_entries(F.collect_list(F.struct("component", F.struct("prefix", "releases")))).alias("components"))
-    one = [d.withColumn("_one", F.lit(1)) for d in (rel, ex, wf, sy)]
-    doc = one[0].join(one[1], "_one").join(one[2], "_one").join(one[3], "_one")
+    sy = sy.groupBy("component", "prefix").agg(F.map_from_entries(F.collect_list(F.struct("release_id", "s"))).alias("releases_"))
+    sy = entries(sy.withColumn("part", part_of(F.col("component"), parts)), "component", F.struct("prefix", F.col("releases_").alias("releases")), "components")
+    doc = _joined(releases.sparkSession, parts, rel, ex, wf, sy)
     tech = {t: (F.lit(n).alias("technique"), F.lit(u).alias("unit")) for t, n, u in TIERS}
     tiers = F.struct(F.struct(*tech["exact"], "files").alias("exact"), F.struct(*tech["winnowing"], "hashes").alias("winnowing"), F.struct(*tech["symbol"], "components").alias("symbol"))
-    doc.select(F.lit(2).alias("schema"), F.lit(generated).alias("generated"), F.lit(source_kb).alias("source_kb"), "releases", tiers.alias("tiers")).coalesce(1).write.json(path, compression="gzip")
+    write_documents(doc.select(F.lit(2).alias("schema"), F.lit(generated).alias("generated"), F.lit(source_kb).alias("source_kb"), "releases", tiers.alias("tiers")), path, "gzip")
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -136,10 +138,7 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def counts(artifact: dict[str, DataFrame]) -> DataFrame:
     """releases, files, hashes of an artifact."""
     parts = [artifact["releases"].agg(F.count("*").alias("releases")), artifact["exact"].agg(F.count("*").alias("files")), artifact["wfp"].agg(F.count_distinct("hash").alias("hashes"))]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
 
 
 def discrepancies(declared: DataFrame, detected: DataFrame) -> DataFrame:

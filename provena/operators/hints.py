@@ -58,7 +58,7 @@ def newest_by_scheme(tags: DataFrame) -> DataFrame:
     return told.groupBy("repo", "scheme").agg(F.max_by("tag", ft.version_key(F.col("tag"))).alias("tag"))
 
 
-def commits_in_ranges(edges: DataFrame, ranges: DataFrame, rounds: int = 64) -> DataFrame:
+def commits_in_ranges(edges: DataFrame, ranges: DataFrame) -> DataFrame:
     """advisory, commit: commits from which ``introduced`` is reached going back without passing ``fixed``.
 
     edges: commit, parent; ranges: advisory, introduced, fixed (null: open). One frontier join a round from the introduced
@@ -67,13 +67,12 @@ def commits_in_ranges(edges: DataFrame, ranges: DataFrame, rounds: int = 64) ->
     fixed = ranges.where("fixed is not null").select("advisory", F.col("fixed").alias("commit")).distinct()
     frontier = cut(ranges.select("advisory", F.col("introduced").alias("commit")).distinct().join(fixed, ["advisory", "commit"], "left_anti"), "commits")
     found = frontier
-    for _ in range(rounds):
+    while True:
         step = frontier.withColumnRenamed("commit", "parent").join(edges, "parent").select("advisory", "commit").distinct()
         frontier = cut(step.join(fixed, ["advisory", "commit"], "left_anti").join(found, ["advisory", "commit"], "left_anti"), "commits")
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
-    raise ValueError(f"the ranges are not closed after {rounds} rounds")
+        found = cut(found.unionByName(frontier), "commits")
 
 
 def with_provenance(matches: DataFrame, tier: str, technique: int, scope: str = "on disk", profile: str | None = None) -> DataFrame:

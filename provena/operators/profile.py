@@ -13,9 +13,9 @@ def record_stats(records: DataFrame) -> DataFrame:
     sound = F.call_function("is_valid_utf8", F.col("record").cast("string"))
     fields = F.when(sound, F.size(F.split(F.col("record").cast("string"), ",")))
     told = records.select("key", sound.alias("sound"), fields.alias("n_fields"))
-    total = told.agg(F.count_distinct("key").alias("slots"), F.count("*").alias("records"), F.count_if(~F.col("sound")).alias("bad_utf8")).withColumn("_one", F.lit(1))
-    hist = told.where("sound").groupBy("n_fields").agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    return hist.join(total, "_one").select("n_fields", "n", "slots", "records", "bad_utf8")
+    total = told.agg(F.count_distinct("key").alias("slots"), F.count("*").alias("records"), F.count_if(~F.col("sound")).alias("bad_utf8"))
+    hist = told.where("sound").groupBy("n_fields").agg(F.count("*").alias("n"))
+    return hist.crossJoin(F.broadcast(total)).select("n_fields", "n", "slots", "records", "bad_utf8")
 
 
 def hosts(records: DataFrame, url_col: str = "url", top: int = 10) -> DataFrame:

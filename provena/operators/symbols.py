@@ -114,7 +114,7 @@ def scan_summary(libs: DataFrame, matches: DataFrame, errors: DataFrame) -> Data
     state = libs.select("lib").distinct().join(matches.select("lib").distinct().withColumn("hit", F.lit(1)), "lib", "left")
     told = state.agg(F.count("*").alias("readable"), F.count("hit").alias("hits"))
     bad = errors.agg(F.count_distinct("lib").alias("unreadable"))
-    return told.withColumn("one", F.lit(1)).join(bad.withColumn("one", F.lit(1)), "one").select((F.col("readable") + F.col("unreadable")).alias("libs_scanned"), "hits", (F.col("readable") - F.col("hits")).alias("no_match"), "unreadable")
+    return told.crossJoin(bad).select((F.col("readable") + F.col("unreadable")).alias("libs_scanned"), "hits", (F.col("readable") - F.col("hits")).alias("no_match"), "unreadable")
 
 
 def toolchain_variance(libs: DataFrame, keys: list[str], flavour: str) -> DataFrame:

@@ -55,14 +55,21 @@ def accept(counts: DataFrame, best: DataFrame, min_usable: int = MIN_USABLE, min
     return told.select("file", F.when(sound, F.col("md5")).alias("md5"), F.coalesce("votes", F.lit(0)).alias("votes"), "n_hashes", "usable", "ratio", sound.alias("accepted"))
 
 
-def tier_matches(files: DataFrame, exact: DataFrame, accepted: DataFrame) -> DataFrame:
+def tier_matches(files: DataFrame, exact: DataFrame, accepted: DataFrame, normalized: DataFrame | None = None) -> DataFrame:
     """file, tier, release_ids: raw MD5 first, else the accepted snippet winner (no releases if the exact tier lacks it),
-    else null. files: file, md5; exact: md5, release_ids; accepted: file, md5."""
+    else null. files: file, md5; exact: md5, release_ids; accepted: file, md5.
+
+    normalized: sha256 of normalised text, release_ids; given, it comes before all, and files have a sha256 too.
+    """
     told = files.join(exact.select("md5", F.col("release_ids").alias("own")), "md5", "left")
     won = accepted.where("md5 is not null").join(exact, "md5", "left").select("file", F.coalesce("release_ids", F.array().cast("array<string>")).alias("won"))
     told = told.join(won, "file", "left")
-    tier = F.when(F.col("own").isNotNull(), "exact").when(F.col("won").isNotNull(), "snippet")
-    return told.select("file", tier.alias("tier"), F.coalesce("own", "won").alias("release_ids"))
+    if normalized is None:
+        told = told.withColumn("same", F.lit(None).cast("array<string>"))
+    else:
+        told = told.join(normalized.select("sha256", F.col("release_ids").alias("same")), "sha256", "left")
+    tier = F.when(F.col("same").isNotNull(), "normalized").when(F.col("own").isNotNull(), "exact").when(F.col("won").isNotNull(), "snippet")
+    return told.select("file", tier.alias("tier"), F.coalesce("same", "own", "won").alias("release_ids"))
 
 
 def resolve(best: DataFrame, records: DataFrame, shards: list[str]) -> DataFrame:

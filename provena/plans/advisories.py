@@ -88,8 +88,9 @@ def cve_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecosystem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("ecosystem"))).alias("vulnerabilities"))
-    return advisory.ecosystems(events)
+    """Every event is an advisory with one vulnerability, of the ecosystem that its type names."""
+    events = table(spark, sf_dir, "events")
+    return advisory.ecosystems(events.select(F.array(F.struct(F.col("event_type").alias("ecosystem"))).alias("vulnerabilities")))
 
 
 def coverage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,15 +101,15 @@ def coverage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders name a product (status) and version; parts of 1 in 50 sizes give advisories with ranges."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("product"), F.concat_ws(".", (F.col("o_custkey") % 12).cast("string"), (F.col("o_orderkey") % 30).cast("string")).alias("version"))
-    part = table(spark, sf_dir, "part").where("p_size = 50")
-    ranges = part.select(
+    """Orders name a product (status) and version; parts are advisories with ranges. Orders are counted by version first."""
+    version = F.concat_ws(".", (F.col("o_custkey") % 12).cast("string"), (F.col("o_orderkey") % 30).cast("string"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("product"), version.alias("version")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+    ranges = table(spark, sf_dir, "part").select(
         F.when(F.col("p_partkey") % 3 == 0, "F").when(F.col("p_partkey") % 3 == 1, "O").otherwise("P").alias("product"), F.col("p_partkey").alias("advisory"),
         F.concat((F.col("p_partkey") % 12).cast("string"), F.lit(".9")).alias("introduced"), F.when(F.col("p_partkey") % 4 > 0, F.concat((F.col("p_partkey") % 12 + 1).cast("string"), F.lit(".10"))).alias("fixed"),
     )
     found = advisory.version_range_matches(orders, ranges)
-    return found.groupBy("advisory").agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first_order"))
+    return found.groupBy("advisory").agg(F.sum("n").alias("n_orders"), F.min("least").alias("first_order"))
 
 
 QUERIES = {
@@ -137,6 +138,6 @@ SELECT DISTINCT page_id, unnest(regexp_extract_all(t, '\b[A-Za-z_][0-9A-Za-z_]*[
     "ecosystem_counts": "SELECT event_type AS ecosystem, count(*) AS n FROM events GROUP BY 1",
     "coverage_flag": "WITH f AS (SELECT user_id AS component, count(DISTINCT json_extract_string(props, '$.k')) AS n FROM events WHERE event_type = 'error' GROUP BY 1), i AS (SELECT DISTINCT user_id AS component, event_type AS source FROM events) SELECT i.component, source, CASE WHEN source = 'error' THEN coalesce(n, 0) ELSE 0 END AS n, CASE WHEN source = 'error' AND coalesce(n, 0) > 0 THEN 'covered' ELSE '0!' END AS flag FROM i LEFT JOIN f USING (component)",
     "version_range_match": """WITH o AS (SELECT o_orderkey, o_orderstatus AS product, o_custkey % 12 AS a, o_orderkey % 30 AS b FROM orders),
-r AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS product, p_partkey AS advisory, p_partkey % 12 AS ia, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 12 + 1 END AS fa FROM part WHERE p_size = 50)
-SELECT advisory, count(*) AS n_orders, min(o_orderkey) AS first_order FROM o JOIN r USING (product) WHERE (a > ia OR a = ia AND b >= 9) AND (fa IS NULL OR a < fa OR a = fa AND b < 10) GROUP BY 1""",
+r AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS product, p_partkey AS advisory, p_partkey % 12 AS ia, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 12 + 1 END AS fa FROM part)
+SELECT advisory, sum(n)::BIGINT AS n_orders, min(k) AS first_order FROM (SELECT product, a, b, count(*) AS n, min(o_orderkey) AS k FROM o GROUP BY ALL) JOIN r USING (product) WHERE (a > ia OR a = ia AND b >= 9) AND (fa IS NULL OR a < fa OR a = fa AND b < 10) GROUP BY 1""",
 }

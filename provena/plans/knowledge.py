@@ -61,16 +61,13 @@ def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = docs.select(F.substring(F.sha1("text"), 1, 8).alias("hash"), F.md5("text").alias("md5"), (F.col("doc_id") % 100).cast("int").alias("line"))
     symbol = docs.select(F.col("lang").alias("component"), F.lit("s").alias("prefix"), F.md5("source").alias("release_id"), F.concat(F.lit("s"), F.expr("doc_id % 50")).alias("symbol"))
     path = shared_path(spark, "artifact")
-    artifact.write_json(path, releases, exact, index, symbol)
+    artifact.write_json(path, releases, exact, index, symbol, parts=8)
     back = artifact.read_json(spark, path)
     files = back["exact"].agg(F.sum(F.size("release_ids")).alias("pairs"), F.count("*").alias("files"), F.sum(F.length("path")).cast("long").alias("path_chars"))
     lines = back["wfp"].agg(F.count_distinct("hash").alias("hashes"), F.count("*").alias("postings"), F.sum("line").alias("lines"))
     rel = back["releases"].agg(F.count("*").alias("releases"), F.count_if(F.col("source_tier") == "file").alias("from_files"))
     symbols = back["symbol"].agg(F.count("*").alias("symbols"), F.count_distinct("release_id").alias("symbol_releases"))
-    out = files.withColumn("_one", F.lit(1))
-    for p in (lines, rel, symbols):
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    return files.crossJoin(lines).crossJoin(rel).crossJoin(symbols)  # one row each
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> str:

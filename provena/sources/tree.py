@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import text as ft
 from provena.operators.verdict import first_file
+from provena.session import cut
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -16,6 +21,33 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return files.select("path", ft.base_name(F.col("path")).alias("filename"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("parent"), "content")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (path below folder, content binary) through the folder's file system; their paths and sizes."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from provena.sources.ldb import filesystem
+
+        system, base = filesystem(folder)
+        made = set()
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                place = posixpath.dirname(f"{base}/{path}")
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"path": b.column("path"), "size": pa.array([len(x) for x in b.column("content").to_pylist()], pa.int64())})
+
+    return cut(files.select("path", "content").where("path is not null and content is not null").mapInArrow(write, "path string, size long"), "tree-files")
+
+
+def find_libraries(spark: SparkSession, path: str) -> DataFrame:
+    """ord, path, content of the static libraries below a folder: *.a by path, then *.lib by path; they sort by ord."""
+    files = read_files(spark, path, "*.{a,lib}")
+    return files.select(F.struct(F.col("path").endswith(".lib").alias("lib"), "path").alias("ord"), "path", "content")
+
+
 def scan_tree(spark: SparkSession, path: str, tracked: list[str], grouping: str = "PARENT_DIR", glob: str | None = None) -> DataFrame:
     """group, filename, path, text of tracked files, one a group and name (the first by path).
 
