@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.llm.text import trimmed
 from provena.session import cut
 
 END_ID = 1
@@ -130,7 +131,7 @@ def _tokenize(path: str):
             columns |= {"ids": pa.array(data, pa.binary()), "width": pa.array([2 if small else 4] * len(data), pa.int32()), "n": pa.array([len(x) for x in narrow], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return run
+    return trimmed(run)
 
 
 def fill(sizes: dict[str, list[int]], credit: dict[str, float], share: dict[str, float], length: int, window: int) -> list[tuple[str, int, int, int]]:

@@ -40,6 +40,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from provena.llm.text import release_memory
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -301,6 +303,7 @@ def pseudonyms(text: Column, key: bytes) -> Column:
     def of(texts: pd.Series) -> pd.DataFrame:
         p = Permuter(key)
         done = [pseudonymise(t, p) for t in texts]
+        release_memory()
         return pd.DataFrame({"text": pd.Series([t for t, _ in done], dtype=object), "kinds": [",".join(sorted(c)) for _, c in done], "n": [sum(c.values()) for _, c in done]})
 
     return of(text)

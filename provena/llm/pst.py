@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import blank_words
+from provena.llm.text import blank_words, trimmed
 from provena.session import cut
 
 DEPTH = 5
@@ -211,7 +211,7 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", min_share: float = 2e-6, divergence: float = 0.02) -> Model:
     """Counts over all rows of docs; see the module's text."""
-    partial = cut(docs.select(F.col(text_col).alias("text")).mapInPandas(_count, "word string, gram long, n long"), "pst-partial")
+    partial = cut(docs.select(F.col(text_col).alias("text")).mapInPandas(trimmed(_count), "word string, gram long, n long"), "pst-partial")
     words = cut(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "pst-words")
     n_words, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end_count = partial.where("word is null and gram is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             row += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, word array<string>, times array<long>")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"row long, id {kind}, n_tokens long, n_known long, base double, score double, word array<string>, times array<long>")
     scored = cut(scored, "pst-scored")
     tail = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
     tail = tail.join(model.words, "word", "left").groupBy("row").agg(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.text import blank_words, shingle_hashes, simhash
+from provena.llm.text import blank_words, release_memory, shingle_hashes, simhash, trimmed
 from provena.session import cut, remove
 
 SHARD_ROWS = 2048
@@ -47,6 +47,7 @@ def fingerprints(text: Column, shingle: int = 4, seeds: tuple[int, ...] = (42,))
             words = blank_words(t)
             prints = [simhash(shingle_hashes(words, shingle, s)) for s in seeds]
             out.append([x - (1 << 64) if x >> 63 else x for x in prints])
+        release_memory()
         return pd.Series(out, index=texts.index, dtype=object)
 
     return of(text)
@@ -197,7 +198,7 @@ def _build(radius: int, nearest: bool):
                     row = {"k": pdf["k"].iat[at], "s": pdf["s"].iat[at], "m": pdf["m"].iat[at], "fps": own.tobytes(), "edges": np.stack([tree.keys, tree.children]).tobytes()}
                     yield pd.DataFrame([row]).reindex(columns=names)
 
-    return build
+    return trimmed(build)
 
 
 def _cross(radius: int, words: int, nearest: bool):
@@ -216,7 +217,7 @@ def _cross(radius: int, words: int, nearest: bool):
                         ends = pa.array(np.arange(0, words * len(a) + 1, words), pa.int32())
                         yield pa.RecordBatch.from_pydict({n: pa.ListArray.from_arrays(ends, pa.array(signed[x].ravel())) for n, x in (("u", a), ("v", b))})
 
-    return cross
+    return trimmed(cross)
 
 
 def pigeonhole_masks(n: int, radius: int, bits: int = 64, shard_rows: int = 64) -> list[int]:

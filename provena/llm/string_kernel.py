@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm.text import release_memory
+
 SYMBOLS, N_MAX = 64, 3
 _OFFSET = [0, SYMBOLS, SYMBOLS + SYMBOLS**2]
 SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
@@ -159,6 +161,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     @F.pandas_udf("lang string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
         langs, scores = shared.value.predict(texts.tolist())
+        release_memory()
         return pd.DataFrame({"lang": langs, "score": scores}, index=texts.index)
 
     return of(F.col(text_col))
