@@ -20,49 +20,45 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute_tree_scores(train, texts, min_share, divergence):
-    """The same definition, with dictionaries and recursion."""
+def brute_tree(train, min_count, divergence):
+    """The same definition, with dictionaries: (probability of a symbol in a context, retained contexts)."""
     D = pst.DEPTH
-    seqs = [b"\0" * D + " ".join(tokens(t)).encode() + b"\0" for t in train]
     counts = {k: {} for k in range(D + 1)}
-    for s in seqs:
+    for t in train:
+        s = b"\0" * D + " ".join(tokens(t)).encode().replace(b"\0", b"\x7f") + b"\0"
         for i in range(D, len(s)):
             for k in range(D + 1):
                 counts[k].setdefault(s[i - k : i], Counter())[s[i]] += 1
-    total = sum(counts[0].get(b"", {}).values())
-    floor = max(2, min_share * total)
-    own = {x for x, n in counts[0].get(b"", {}).items() if n >= max(1, min_share * total / 4)}
-    share = {x: 0.1 + counts[0].get(b"", {}).get(x, 0) for x in range(256)}
-    mass = sum(share.values())
-    col = lambda x: x if x in own else -1
-    cols = [*sorted(own), -1]
-    rest = sum(share[x] for x in range(256) if x not in own)
-    P = {b"": {c: (rest if c == -1 else share[c]) / mass for c in cols}}
-    kept = set()
-    for k in range(1, D + 1):
-        for ctx, n in counts[k].items():
-            size = sum(n.values())
-            if size < floor:
-                continue
-            before = P[ctx[1:]]
-            m = Counter()
-            for x, c in n.items():
-                m[col(x)] += c
-            P[ctx] = {c: (m[c] + len(m) * before[c]) / (size + len(m)) for c in cols}
-            gain = sum(c / size * math.log(c / size / before[x]) for x, c in m.items()) - (len(m) - 1) / (2 * size)
-            if gain >= divergence:
-                kept |= {ctx[j:] for j in range(len(ctx))}
+    root = [0.1 + counts[0].get(b"", {}).get(x, 0) for x in range(256)]
+    mass = sum(root)
+    known = {c: n for k in range(1, D + 1) for c, n in counts[k].items() if sum(n.values()) >= min_count}
+
+    def p(ctx, x):
+        if not ctx:
+            return root[x] / mass
+        n = known[ctx]
+        return (n[x] + len(n) * p(ctx[1:], x)) / (sum(n.values()) + len(n))
+
+    kept = {b""}
+    for ctx, n in known.items():
+        size = sum(n.values())
+        if sum(c / size * math.log(c / size / p(ctx[1:], x)) for x, c in n.items()) - (len(n) - 1) / (2 * size) >= divergence:
+            kept |= {ctx[j:] for j in range(len(ctx))}
+    return p, kept
+
+
+def brute_tree_scores(train, texts, min_count, divergence):
+    D = pst.DEPTH
+    p, kept = brute_tree(train, min_count, divergence)
     out = []
     for t in texts:
-        s = b"\0" * D + " ".join(tokens(t)).encode() + b"\0"
+        s = b"\0" * D + " ".join(tokens(t)).encode().replace(b"\0", b"\x7f") + b"\0"
         lp = 0.0
         for i in range(D, len(s)):
-            ctx = b""
-            for k in range(1, D + 1):
-                if s[i - k : i] not in kept:
-                    break
-                ctx = s[i - k : i]
-            lp += math.log10(P[ctx][col(s[i])]) + (math.log10(share[s[i]] / rest) if s[i] not in own else 0)
+            k = 0
+            while k < D and s[i - k - 1 : i] in kept:
+                k += 1
+            lp += math.log10(p(s[i - k : i], s[i]))
         out.append(lp)
     return out
 
@@ -73,7 +69,7 @@ def test_query_matches_brute_force(spark):
     c = Counter(w for t in train for w in tokens(t))
     c["</end>"] = len(train)  # no word of the table
     n, v = sum(c.values()), len(c)
-    tree = brute_tree_scores(train, [d.text for d in docs], 2e-6, 0.02)
+    tree = brute_tree_scores(train, [d.text for d in docs], 4, 0.02)
     got = {r.doc_id: r for r in queries()["op10_pst"](spark, SF).collect()}
     assert len(got) == len(docs)
     for d, lp in zip(docs, tree):
@@ -84,25 +80,43 @@ def test_query_matches_brute_force(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(lp, rel=1e-4)
 
 
-def test_distributions_sum_to_one():
+def trained(spark, texts, **kw):
+    return pst.train(spark.createDataFrame([(t,) for t in texts], "text string"), **kw)
+
+
+def test_distributions_sum_to_one(spark):
     rng = random.Random(0)
-    texts = ["".join(rng.choice("abcde ") for _ in range(300)).encode() for _ in range(30)]
-    levels = []
-    grams = Counter()
-    for t in texts:
-        s = b"\0" * pst.DEPTH + t + b"\0"
-        for i in range(pst.DEPTH, len(s)):
-            grams[s[i - pst.DEPTH : i + 1]] += 1
-    for k in range(pst.DEPTH + 1):
-        m = Counter()
-        for g, n in grams.items():
-            m[int.from_bytes(g[pst.DEPTH - k : pst.DEPTH], "big"), g[-1]] += n
-        levels.append(tuple(np.array(x, np.int64) for x in zip(*[(c, s, n) for (c, s), n in m.items()])))
-    tree = pst.grow(levels, 0.01, 0.0)
-    assert tree.logp.shape[0] > 20
-    inside = np.bincount(tree.column, 10.0 ** tree.extra, tree.logp.shape[1])
-    assert np.allclose((10.0**tree.logp * inside).sum(1), 1, atol=1e-4)
-    assert tree.score([b""])[0] < 0
+    texts = ["".join(rng.choice("abcde ") for _ in range(300)) for _ in range(30)]
+    tree = pst.gathered(trained(spark, texts, min_count=2, divergence=0.01), None)
+    assert sum(len(c) for c, *_ in tree.levels) > 20
+    for k, (contexts, *_) in enumerate(tree.levels, 1):
+        for c in contexts[:5]:
+            p = 10.0 ** tree.grams((int(c) << pst.BITS) + np.arange(256))
+            assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    small, large = ([" ".join(rng.choice(words) for _ in range(400)) for _ in range(n)] for n in (10, 60))
+    a, b = (trained(spark, t, min_count=8).contexts.count() for t in (small, large))
+    assert b > 2.5 * a > 0
+
+
+def test_parts_of_the_tree_give_the_same_scores(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(40)] + [None, "", "zz\0 never seen ÿ"]
+    model = trained(spark, texts[:30], min_count=3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r for r in pst.score(docs, model).collect()}
+    assert len(pst.parts(model, 200)) > 4
+    split = {r.doc_id: r for r in pst.score(docs, model, part_entries=200).collect()}
+    assert set(whole) == set(split) == set(range(len(texts)))
+    for i, r in whole.items():
+        assert r.score == pytest.approx(split[i].score) and r.base_score == split[i].base_score
+    for i, lp in enumerate(brute_tree_scores(texts[:30], texts, 3, 0.02)):
+        assert whole[i].score == pytest.approx(lp, rel=1e-4)
 
 
 def test_edge_rows_and_small_head(spark):
