@@ -7,7 +7,8 @@ kernel ridge regression is fitted on them. Prediction is two matrix products for
 landmark columns, then the kernel block by the coefficients.
 
 The model is fitted on a bounded sample of labelled rows: ``per_lang`` a language, those with the smallest hash of
-their id. Only n-gram sets of these rows reach the driver (at most 266,304 codes each). Prediction reads the whole text
+id and text, equal rows once, and ``max_langs`` languages (more labels than that are an error: no model of them fits into
+a worker). Only n-gram sets of these rows reach the driver (at most 266,304 codes each). Prediction reads the whole text
 and nothing else.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be
@@ -31,8 +32,6 @@ SYMBOLS, N_MAX = 64, 3
 _OFFSET = [0, SYMBOLS, SYMBOLS + SYMBOLS**2]
 SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 UNDETERMINED = "und"
-#: Most languages a model may have; more distinct labels are refused.
-MAX_LANGS = 1000
 
 
 @cache
@@ -123,12 +122,12 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = 128, ridge: float =
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, landmarks: int = 128, ridge: float = 1e-3, seed: int = 4) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, landmarks: int = 128, ridge: float = 1e-3, seed: int = 4, max_langs: int = 1000) -> Model:
     """Fit on at most per_lang labelled rows of each language (see the module's text)."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), id_col).alias("h"))
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
+    counts = labelled.groupBy("lang").count().limit(max_langs + 1).collect()
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     if not counts:
         return fit([])
     # about twice as many as wanted, by a hash threshold; the smallest hashes of them are taken
@@ -136,7 +135,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in counts:
         rate = F.when(F.col("lang") == r.lang, F.lit(min(1.0, (2.0 * per_lang + 20) / r["count"]))).otherwise(rate)
     drawn = labelled.where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
-    found = drawn.select("lang", F.pmod("h", F.lit(1 << 30)).alias("h"), _gram_sets(F.col("text")).alias("grams")).toArrow().sort_by([("h", "ascending")])
+    found = drawn.dropDuplicates(["lang", "h"]).select("lang", F.pmod("h", F.lit(1 << 30)).alias("h"), _gram_sets(F.col("text")).alias("grams")).toArrow().sort_by([("h", "ascending")])
     taken: dict[str, int] = {}
     rows = []
     for lang, g in zip(found["lang"].to_pylist(), found["grams"]):

@@ -51,6 +51,52 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert sum(p.length for p in pieces) == total
 
 
-def test_run_on_the_tables(spark):
-    out = cp.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 100
+def test_run_matches_brute_force(spark):
+    """Every stage's rows from its definition: sets of shingles, pseudonyms text by text, ids of a plain tokenizer."""
+    import re
+    from collections import Counter, defaultdict
+
+    from provena.llm import pii, string_kernel
+    from provena.llm.queries import DEMO_KEY
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = string_kernel.train(docs)
+    rows = {r.doc_id: r for r in docs.collect()}
+    found = dict(zip(rows, zip(*model.predict([r.text for r in rows.values()]))))
+    left = [i for i, (lang, score) in found.items() if lang != "und" and score >= cp.MIN_LANGUAGE_SCORE]
+
+    def shingles(words, n=5):
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+    sets = {i: shingles(re.sub("[A-Z]", lambda m: m[0].lower(), rows[i].text).split()) for i in left}
+    low = {i: i for i in left}
+
+    def root(i):
+        return i if low[i] == i else root(low[i])
+
+    for i in left:
+        for j in left:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    left = [i for i in left if low[i] == i]
+    words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    items = [s for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(w := words(r.text)) >= 5 and (s := shingles(w))]
+    held = {i: shingles(words(rows[i].text)) for i in left}
+    left = [i for i in left if not any(len(held[i] & s) >= 0.8 * len(s) - 1e-9 for s in items)]
+    assert 50 < len(left) < len(rows)
+    key = pii.Permuter(DEMO_KEY)
+    tok = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    ids = {i: np.array([*tok.encode(pii.pseudonymise(rows[i].text, key)[0], add_special_tokens=False).ids, 1], "<u4") for i in left}
+    by_doc = defaultdict(list)
+    for p in cp.run(spark, sf).collect():
+        by_doc[p.doc_id].append(p)
+    assert sorted(by_doc) == sorted(left)
+    for i, pieces in by_doc.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.ids_crc32 == zlib.crc32(ids[i][at : at + p.length].tobytes()) and p.doc_tokens == len(ids[i])
+            at += p.length
+        assert at == len(ids[i])
+    assert max(Counter((p.sequence_id, p.offset) for x in by_doc.values() for p in x).values()) == 1

@@ -47,3 +47,48 @@ def test_edges(spark):
     nothing = sk.train(df.where("false"))
     assert {r.p.lang for r in df.select(sk.predict(df, nothing).alias("p")).collect()} == {"und"}
     assert df.where("false").select(sk.predict(df, nothing)).collect() == []
+
+
+def folded(text):
+    """Written apart from the operator: a-z are themselves, other letters one of 37 slots, all else one symbol."""
+    return [("abcdefghijklmnopqrstuvwxyz".index(c) + 1 if c in "abcdefghijklmnopqrstuvwxyz" else 27 + ord(c) % 37 if c.isalpha() and ord(c) > 127 else 0) for c in text.lower()]
+
+
+def test_query_matches_brute_force(spark):
+    """Kernels of sets of n-grams, Nystroem features and ridge regression in plain matrices, over all rows."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(1 << 30)).alias("h")).collect()
+
+    def sets(t):
+        s = folded(t)
+        return {tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    grams = {r.doc_id: sets(r.text) for r in rows if r.text}
+    letter = lambda t: bool(t) and any(map(str.isalpha, t))
+    train = sorted((r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang and letter(r.text)), key=lambda r: r.h)
+    langs = sorted({r.lang for r in train})
+    assert all(sum(r.lang == x for r in train) <= 200 for x in langs)  # none is left out by the bound
+    marks = [r for x in langs for r in [r for r in train if r.lang == x][: max(2, 128 // len(langs))]]
+    seen = set().union(*(grams[m.doc_id] for m in marks))
+    k = lambda a: np.array([len(grams[a] & seen & grams[m.doc_id]) / np.sqrt(len(grams[a]) * len(grams[m.doc_id])) for m in marks])
+    inner = np.stack([k(m.doc_id) for m in marks])
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    sound = values > values.max() * 1e-6
+    root = vectors[:, sound] / np.sqrt(values[sound])
+    x = np.stack([k(r.doc_id) for r in train]) @ root
+    y = np.array([[r.lang == c for c in langs] for r in train], float)
+    w = np.linalg.solve(x.T @ x + 1e-3 * len(train) * np.eye(x.shape[1]), x.T @ (y - y.mean(0)))
+    got = {r.doc_id: r for r in queries()["op4_string_kernel"](spark, sf).collect()}
+    assert sorted(got) == sorted(r.doc_id for r in rows)
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not letter(r.text):
+            assert (g.lang_pred, g.score) == ("und", 0)
+            continue
+        s = k(r.doc_id) @ root @ w + y.mean(0)
+        assert abs(g.score - min(1, max(0, s.max()))) < 5e-3
+        assert g.lang_pred == langs[int(s.argmax())] or np.sort(s)[-1] - np.sort(s)[-2] < 5e-3
