@@ -10,9 +10,12 @@ bounded by epsilon * sqrt((1 - s^2) / s^2 / (d - 1)), which the true value leave
 exceeds epsilon, plus the rounding. A vector is reranked with its exact cosine when its upper bound reaches the k-th best
 exact value its task has seen for the query; the others are passed over.
 
-Queries are read in blocks dealt by a hash, half of ``block`` rows each on average; a block (so of a known size) is sent
-to all tasks, each of which scans its part of the index once and returns its k best for each query; the last step merges
-k rows a task. No pair outside the k best leaves a task.
+The index is cut into lists of about ``list_rows`` vectors around centroids (k-means on a sample of at most ``sample``
+vectors, the most that is ever gathered; at most ``max_lists`` centroids); a query meets the lists of its nearest centroids,
+at least ``probes``, and as many as hold the share ``target`` of the sample's true neighbours. With no more lists than probes,
+so up to list_rows * probes rows, nothing is passed over but by the bounds. A list larger than a task should hold is cut into parts by a hash, so a vector that a third
+of all rows share is no hot task. Queries are sent to the parts they meet by exchange, a part's queries stream past its
+vectors, and k rows a query and part go on to the merge. Nothing but the sample passes the driver.
 
 Vectors are kept scaled by the power of two that brings their largest component to between a half and one: cosines stay the
 same to the last bit, and no length under- or overflows.
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.llm.text import trimmed
 from provena.session import cut
 
 _CHUNK = 4096
@@ -121,48 +125,106 @@ def _matrix(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1]) if len(ends) else []
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
-    """id, vector array<double>, code binary, scalar: written to the shared folder."""
+def _centroids(sample: np.ndarray, lists: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of unit vectors by k-means."""
+    rng = np.random.default_rng(seed)
+    found = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
+    for _ in range(rounds):
+        near = (sample @ found.T).argmax(1)
+        total = np.zeros_like(found)
+        np.add.at(total, near, sample)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        found = np.where(length > 0, total / np.where(length > 0, length, 1), found)
+    return found
+
+
+def _probes(sample: np.ndarray, centroids: np.ndarray, target: float, k: int = 5) -> int:
+    """How many lists, nearest centroids first, hold the share target of the k nearest of some sample vectors in the sample."""
+    queries = sample[:256]
+    cosine = queries @ sample.T
+    cosine[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    k = min(k, len(sample) - 1)
+    near = np.argpartition(-cosine, k, axis=1)[:, :k]
+    own = (sample @ centroids.T).argmax(1)
+    place = np.argsort(np.argsort(-(queries @ centroids.T), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(np.take_along_axis(place, own[near], 1), target, method="higher")) + 1
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5, list_rows: int = 16_384, probes: int = 16, sample: int = 50_000, max_lists: int = 4096, target: float = 0.97) -> DataFrame:
+    """id, vector array<double>, code binary, scalar, probes array<int> (the lists to search, the row's own first): written to the shared folder."""
+    spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & _valid("vector"))
+    sizes = sorted(((r["count"], r.d) for r in rows.groupBy(F.size("vector").alias("d")).count().collect()), reverse=True)
+    centroids: dict[int, tuple[np.ndarray, int]] = {}
+    for n, d in sizes[:8]:  # of other dimensions, which are odd rows, each is one list
+        lists = min(max_lists, -(-n // list_rows))
+        if lists > probes:
+            drawn = rows.where((F.size("vector") == d) & (F.pmod(F.xxhash64("vector", F.lit(seed)), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)))
+            drawn = np.array(drawn.select("vector").distinct().limit(2 * sample).toArrow()["vector"].to_pylist())
+            drawn = _unit(np.ldexp(drawn, -np.frexp(np.abs(drawn).max(1, keepdims=True))[1]))
+            found = _centroids(drawn, lists, seed)
+            centroids[d] = found, max(probes, _probes(drawn, found, target))
+    shared = spark.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, scalar = [b""] * b.num_rows, np.zeros(b.num_rows)
+            code, scalar, near = [b""] * b.num_rows, np.zeros(b.num_rows), [[0]] * b.num_rows
             vs = [np.ldexp(v, -np.frexp(np.abs(v).max())[1]) for v in _matrix(b.column("vector"))]
             for d in {len(v) for v in vs}:
                 at = [i for i, v in enumerate(vs) if len(v) == d]
-                codes, scalar[at] = encode(np.stack([vs[i] for i in at]), seed)
+                own = np.stack([vs[i] for i in at])
+                codes, scalar[at] = encode(own, seed)
+                if d in shared.value:
+                    centres, many = shared.value[d]
+                    told = np.argsort(-(_unit(own) @ centres.T), axis=1, kind="stable")[:, :many].tolist()
+                    for i, x in zip(at, told):
+                        near[i] = x
                 for i, c in zip(at, codes):
                     code[i] = c.tobytes()
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vector": pa.array(vs, pa.list_(pa.float64())), "code": pa.array(code, pa.binary()), "scalar": pa.array(scalar)})
+            columns = {"id": b.column("id"), "vector": pa.array(vs, pa.list_(pa.float64())), "code": pa.array(code, pa.binary()), "scalar": pa.array(scalar)}
+            yield pa.RecordBatch.from_pydict(columns | {"probes": pa.array(near, pa.list_(pa.int32()))})
+
+    return cut(rows.mapInArrow(run, f"id {kind}, vector array<double>, code binary, scalar double, probes array<int>"), "rabitq")
 
-    return cut(rows.mapInArrow(run, f"id {kind}, vector array<double>, code binary, scalar double"), "rabitq")
 
+def _scan(k: int, seed: int, bits: int, epsilon: float):
+    """k best of a part's vectors for each of its queries; the vectors of a part come before its queries."""
 
-def _scan(shared, k: int, seed: int, bits: int, epsilon: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        by_dim: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(i)
-        state = {}
-        for d, at in by_dim.items():
-            q = Queries(np.array([ids[i] for i in at]), np.array([vectors[i] for i in at]), seed, bits)
-            state[d] = (q, np.full((len(at), k), -np.inf), np.zeros((len(at), k), q.ids.dtype))
+        cell, held, part = None, [], None
         for b in batches:
-            own, vs = b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector"))
-            codes, scalars = b.column("code").to_pylist(), b.column("scalar").to_numpy()
-            for d in {len(v) for v in vs} & set(state):
-                rows = np.array([i for i, v in enumerate(vs) if len(v) == d])
-                for part in np.split(rows, range(_CHUNK, len(rows), _CHUNK)):
-                    _rerank(state[d], own[part], np.stack([vs[i] for i in part]), np.stack([np.frombuffer(codes[i], "<u8") for i in part]), scalars[part], k, epsilon)
-        for q, score, near in state.values():
-            row, col = np.nonzero(score > -np.inf)
-            if len(row):
-                yield pa.RecordBatch.from_pydict({"query_id": q.ids[row], "id": near[row, col], "score": score[row, col]})
-
-    return run
+            cells = list(zip(*(b.column(c).to_pylist() for c in ("dim", "list", "part", "asks"))))
+            edges = [0, *(i for i in range(1, len(cells)) if cells[i] != cells[i - 1]), len(cells)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                rows, d = b.slice(lo, hi - lo), cells[lo][0]
+                if cells[lo][:3] != cell:
+                    cell, held, part = cells[lo][:3], [], None
+                ids = rows.column("id").to_numpy(zero_copy_only=False)
+                vectors = np.stack(_matrix(rows.column("vector")))
+                if not cells[lo][3]:
+                    held.append((ids, vectors, np.stack([np.frombuffer(c, "<u8") for c in rows.column("code").to_pylist()]), rows.column("scalar").to_numpy()))
+                    continue
+                if not held and part is None:
+                    continue
+                if part is None:
+                    part, held = [np.concatenate(x) for x in zip(*held)], []
+                for at in range(0, len(ids), 256):
+                    q = Queries(ids[at : at + 256], vectors[at : at + 256], seed, bits)
+                    state = (q, np.full((len(q.ids), k), -np.inf), np.zeros((len(q.ids), k), ids.dtype))
+                    for i in range(0, len(part[0]), _CHUNK):
+                        _rerank(state, *(x[i : i + _CHUNK] for x in part), k, epsilon)
+                    row, col = np.nonzero(state[1] > -np.inf)
+                    if len(row):
+                        yield pa.RecordBatch.from_pydict({"query_id": q.ids[row], "id": state[2][row, col], "score": state[1][row, col]})
+
+    return trimmed(run)
 
 
 def _rerank(state: tuple, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, k: int, epsilon: float) -> None:
@@ -202,20 +264,20 @@ def _rerank(state: tuple, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarra
         near[lo + rows[best], place[best]] = names[best]
 
 
-def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.5, block: int = 4096) -> DataFrame:
+def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.5, part_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, id, score: the k nearest of the indexed rows for each row of wanted (rows of an index)."""
-    spark = indexed.sparkSession
     kind = indexed.schema["id"].dataType.simpleString()
-    out = f"query_id {kind}, id {kind}, score double"
-    wanted = wanted.groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-2 * wanted.count() // block))
-    parts = []
-    for b in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        shared = spark.sparkContext.broadcast((rows["id"].to_pylist(), rows["vector"].to_pylist()))
-        parts.append(indexed.mapInArrow(_scan(shared, k, seed, query_bits, epsilon), out))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    rows = indexed.select(F.size("vector").alias("dim"), F.col("probes")[0].alias("list"), "id", "vector", "code", "scalar")
+    each = F.greatest(F.lit(1), F.lit(part_bytes) / (8 * F.col("dim")))
+    cells = cut(rows.groupBy("dim", "list").agg(F.count("*").alias("n")).select("dim", "list", F.ceil(F.col("n") / each).cast("int").alias("m")), "rabitq-cells")
+    large = F.broadcast(cells.where("m > 1"))  # at most a row for each centroid
+    dealt = rows.join(large, ["dim", "list"], "left").withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.coalesce("m", F.lit(1))).cast("int")).drop("m")
+    asked = wanted.groupBy("id").agg(F.min(F.struct("vector", "probes")).alias("q")).select("id", "q.*")
+    asked = asked.select("id", "vector", F.size("vector").alias("dim"), F.explode("probes").alias("list")).join(F.broadcast(cells), ["dim", "list"])
+    asked = asked.select("dim", "list", "id", "vector", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"), F.lit(True).alias("asks"))
+    both = dealt.withColumn("asks", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    spread = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(spread, "dim", "list", "part").sortWithinPartitions("dim", "list", "part", "asks")
+    found = both.mapInArrow(_scan(k, seed, query_bits, epsilon), f"query_id {kind}, id {kind}, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.text import blank_words, release_memory, shingle_hashes, simhash, trimmed
-from provena.session import cut, remove
+from provena.session import cut, remove, scratch
 
 SHARD_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
@@ -288,14 +288,15 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id_col, fp bigint, component (smallest id reachable over links of at most radius bits), a row for each input row."""
-    fps = cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle)[0].alias("fp")), "fingerprints")
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-nodes")
-    masks = pigeonhole_masks(nodes.count(), radius)
-    links = shard_links(nodes.select(F.array("fp").alias("fp")), radius, [[m] for m in masks], shard_rows, broadcast_bytes=broadcast_bytes)
-    roots = connected_components(links.select(F.col("u")[0].alias("u"), F.col("v")[0].alias("v")))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = linked.join(least, "root").select("fp", "component")
-    # a table of its own: both sides of the last join come from plain exchanges, so a hot fingerprint can be split
-    classes = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component")), "fingerprint-classes")
+    with scratch() as keep:
+        fps = keep(cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle)[0].alias("fp")), "fingerprints"))
+        nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-nodes")
+        masks = pigeonhole_masks(nodes.count(), radius)
+        links = shard_links(nodes.select(F.array("fp").alias("fp")), radius, [[m] for m in masks], shard_rows, broadcast_bytes=broadcast_bytes)
+        roots = connected_components(links.select(F.col("u")[0].alias("u"), F.col("v")[0].alias("v")))
+        linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
+        least = linked.groupBy("root").agg(F.min("rep").alias("component"))
+        linked = linked.join(least, "root").select("fp", "component")
+        # a table of its own: both sides of the last join come from plain exchanges, so a hot fingerprint can be split
+        classes = keep(cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component")), "fingerprint-classes"))
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")

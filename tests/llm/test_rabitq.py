@@ -34,7 +34,7 @@ def test_edges_against_brute_force(spark):
     df = spark.createDataFrame([(i, v, "c", 1) for i, v in rows], SCHEMA)
     indexed = rabitq.index(df)
     want = {q: n for q, n in brute(rows).items() if n}
-    for got in (collect(indexed), collect(indexed, block=4)):
+    for got in (collect(indexed), collect(indexed, part_bytes=20_000)):  # one part, and many
         assert set(got) == set(want) and got[50] == want[50] and got[1300] == want[1300]
         hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) / sum(map(len, want.values()))
         assert hits > 0.99
@@ -83,3 +83,15 @@ def test_vectors_of_extreme_size(spark):
 def test_a_repeated_query_asks_with_its_least_vector(spark):
     df = spark.createDataFrame([(50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [0.1, 1.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")
     assert [i for _, i in collect(rabitq.index(df))[50]] == [1, 2]
+
+
+@pytest.mark.parametrize("lists", [20, 60])
+def test_recall_with_more_lists_than_probes(spark, lists):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    indexed = rabitq.index(df, list_rows=len(rows) // lists)
+    assert indexed.select(F.col("probes")[0]).distinct().count() > 16 and indexed.count() == len(rows)
+    want, got = brute(rows), collect(indexed)
+    found = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) / sum(map(len, want.values()))
+    print("recall", lists, found, len(indexed.first().probes))
+    assert found >= 0.9
