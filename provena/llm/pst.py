@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from provena.llm.text import blank_words, trimmed
 from provena.session import cut, remove
 
-DEPTH = 6
+DEPTH = 5
 BITS = 8
 LAST = (1 << BITS) - 1
 #: Last two symbols of a context.
