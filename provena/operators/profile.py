@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import text as ft
+from provena.session import cut
 
 
 def record_stats(records: DataFrame) -> DataFrame:
@@ -26,11 +27,17 @@ def hosts(records: DataFrame, url_col: str = "url", top: int = 10) -> DataFrame:
 def positional_percentiles(values: DataFrame, value: Column, quantiles: dict[str, float]) -> DataFrame:
     """min, one column for each quantile, max, ones and n; a quantile is the value at place int(n q) of the sorted values.
 
-    Values are counted first, so what is sorted is as long as the number of distinct values, not of rows.
+    Values are counted first, so what is sorted is as long as the number of distinct values, not of rows, and no task
+    sorts them all.
     """
     hist = values.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    told = hist.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
+    # sorted ranges of values, each with a running sum of its own, on top of the totals of the ranges before it
+    hist = cut(hist.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "histogram")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = hist.groupBy("range").agg(F.sum("c").alias("t")).withColumn("below", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    total = ranges.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"))
+    told = hist.join(F.broadcast(ranges), "range").crossJoin(F.broadcast(total))  # a row for each partition; one row
+    told = told.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("range").orderBy("v")))
     at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("v"))).alias(name) for name, q in quantiles.items()]
     return told.agg(F.min("v").alias("least"), *at, F.max("v").alias("most"), F.coalesce(F.sum(F.when(F.col("v") == 1, F.col("c"))), F.lit(0)).alias("ones"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
 
