@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_USABLE, MIN_RATIO = 5, 0.5
@@ -80,11 +80,15 @@ def resolve(best: DataFrame, records: DataFrame, shards: list[str]) -> DataFrame
     return told.select("file", "md5", "path", outcome.alias("outcome"))
 
 
-def cross_check(targets: DataFrame, index: DataFrame) -> DataFrame:
+def cross_check(targets: DataFrame, index: DataFrame, max_keys: int | None = None) -> DataFrame:
     """file, present, absent, same_md5, same_line_le, same_line_be: local hashes against the index.
 
     targets: file, md5, hash, line; the index's line is a little-endian 16-bit number, swapped for the other reading.
+    max_keys: only the first so many hashes of each file, in their order.
     """
+    if max_keys is not None:
+        place = F.dense_rank().over(Window.partitionBy("file").orderBy("hash"))
+        targets = targets.withColumn("_place", place).where(F.col("_place") <= max_keys).drop("_place")
     held = index.select("hash", F.col("md5").alias("m"), F.col("line").alias("l"))
     told = targets.join(held, "hash", "left")
     own = F.col("m") == F.col("md5")
@@ -95,8 +99,6 @@ def cross_check(targets: DataFrame, index: DataFrame) -> DataFrame:
 
 def line_islands(hits: DataFrame, gap: int = 1) -> DataFrame:
     """file, md5, first_line, last_line, n: runs of matched lines no further apart than ``gap``."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file", "md5").orderBy("line")
     told = hits.select("file", "md5", "line").distinct().withColumn("new", (F.col("line") - F.lag("line").over(w) > gap).cast("int"))
     told = told.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w))

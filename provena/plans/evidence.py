@@ -167,14 +167,23 @@ def vote_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.resolve(best, records, [f"{b:02x}" for b in range(128)])
 
 
-def hash_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local hashes and lines against an index whose lines are stored in either byte order."""
+def _cross_check(spark: SparkSession, sf_dir: str, max_keys: int | None) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     hash_, owner = F.substring(_md5("l_partkey"), 1, 8), _md5("l_suppkey")
     mine = line.select(F.col("l_orderkey").alias("file"), owner.alias("md5"), hash_.alias("hash"), F.col("l_linenumber").cast("int").alias("line"))
     stored = F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber")).otherwise(F.col("l_linenumber") * 256)
     index = line.where("l_linenumber <= 2").select(hash_.alias("hash"), owner.alias("md5"), stored.cast("int").alias("line")).distinct()
-    return vote.cross_check(mine, index)
+    return vote.cross_check(mine, index, max_keys)
+
+
+def hash_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local hashes and lines against an index whose lines are stored in either byte order."""
+    return _cross_check(spark, sf_dir, None)
+
+
+def hash_cross_check_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the first two hashes of each file, as the cut-off of the lookup tool has it."""
+    return _cross_check(spark, sf_dir, 2)
 
 
 def shard_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +351,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tree_scan, tree_scan_root, tree_duplicates, library_layout, fingerprint_db, fingerprint_db_tags, symbol_db, batch_scan_json, advisory_snapshot, near_winners, vote_report, score_report, vote_resolve,
-        hash_cross_check, shard_eligibility, line_islands, set_jaccard, winnow_blake2b, normalized_tier, release_metadata, artifact_match, tag_listing, template_fetch, alias_contents, newest_tags,
+        hash_cross_check, hash_cross_check_first, shard_eligibility, line_islands, set_jaccard, winnow_blake2b, normalized_tier, release_metadata, artifact_match, tag_listing, template_fetch, alias_contents, newest_tags,
         version_hints, license_hints, path_hints, member_stems, commit_ranges, discrepancies, tier_profiles, identity_cpe, random_records, slot_sample,
     )
 }
@@ -352,6 +361,10 @@ _TREE = f"f AS (SELECT 't' || (doc_id // 8) AS folder, lang || (doc_id % 8) || '
 _REF = "r AS (SELECT (CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END) || lang || '.c' AS path, lang || '.c' AS filename, sha256(text) AS sha256, source AS tag, length(text) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)"
 _VOTES = "v AS (SELECT l_suppkey AS file, md5((l_partkey % 20)::VARCHAR) AS md5, count(*) AS votes FROM lineitem GROUP BY 1, 2)"
 _STRIP = f"trim(regexp_replace(regexp_replace(x, '(?s)/\\*.*?\\*/|//[^\\n]*', ' ', 'g'), '{ft.WHITE}', ' ', 'g'))"
+_CROSS = """WITH i AS (SELECT DISTINCT substr(md5(l_partkey::VARCHAR), 1, 8) AS hash, md5(l_suppkey::VARCHAR) AS m, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber ELSE l_linenumber * 256 END AS l FROM lineitem WHERE l_linenumber <= 2),
+t AS (SELECT l_orderkey AS file, md5(l_suppkey::VARCHAR) AS md5, substr(md5(l_partkey::VARCHAR), 1, 8) AS hash, l_linenumber AS line FROM lineitem {first}),
+h AS (SELECT file, t.hash, bool_or(m IS NOT NULL) AS p, coalesce(bool_or(m = md5), false) AS o, coalesce(bool_or(m = md5 AND l = line), false) AS le, coalesce(bool_or(m = md5 AND (l % 256) * 256 + l // 256 = line), false) AS be FROM t LEFT JOIN i USING (hash) GROUP BY 1, 2)
+SELECT file, count(*) FILTER (p) AS present, count(*) FILTER (NOT p) AS absent, count(*) FILTER (o) AS same_md5, count(*) FILTER (le) AS same_line_le, count(*) FILTER (be) AS same_line_be FROM h GROUP BY 1"""
 SQL = {
     "tree_scan": f"WITH {_TREE} SELECT folder, filename, md5 FROM f",
     "tree_scan_root": f"WITH {_TREE} SELECT filename, min(path) AS path, arg_min(md5, path) AS md5 FROM f GROUP BY 1",
@@ -368,10 +381,8 @@ SELECT library, component, releases, sample, n_known, '/sdk' AS root, (SELECT co
     "vote_report": f"WITH {_VOTES}, k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY votes DESC, md5) AS place FROM v) SELECT file || ': ' || string_agg(md5 || ' ' || votes, ', ' ORDER BY place) AS line FROM k WHERE place <= 3 GROUP BY file",
     "score_report": "SELECT p_partkey || ' ' || p_name || ' ' || CASE p_partkey % 3 WHEN 0 THEN 'exact: ' || p_brand || ', ' || p_type WHEN 1 THEN 'closest: ' || printf('%.2f', round_even(p_size / 64.0, 2)) || ' ' || p_type || ', 0.12 ' || p_brand ELSE 'closest: none' END AS line FROM part",
     "vote_resolve": "WITH r AS (SELECT md5(c_custkey::VARCHAR) AS md5, c_name || '#0' AS path FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT o_orderkey AS file, md5(o_custkey::VARCHAR) AS md5 FROM orders) SELECT file, md5, path, CASE WHEN substr(md5, 1, 1) > '7' THEN 'shard unavailable' WHEN path IS NULL THEN 'absent' ELSE 'resolved' END AS outcome FROM b LEFT JOIN r USING (md5)",
-    "hash_cross_check": """WITH i AS (SELECT DISTINCT substr(md5(l_partkey::VARCHAR), 1, 8) AS hash, md5(l_suppkey::VARCHAR) AS m, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber ELSE l_linenumber * 256 END AS l FROM lineitem WHERE l_linenumber <= 2),
-t AS (SELECT l_orderkey AS file, md5(l_suppkey::VARCHAR) AS md5, substr(md5(l_partkey::VARCHAR), 1, 8) AS hash, l_linenumber AS line FROM lineitem),
-h AS (SELECT file, t.hash, bool_or(m IS NOT NULL) AS p, coalesce(bool_or(m = md5), false) AS o, coalesce(bool_or(m = md5 AND l = line), false) AS le, coalesce(bool_or(m = md5 AND (l % 256) * 256 + l // 256 = line), false) AS be FROM t LEFT JOIN i USING (hash) GROUP BY 1, 2)
-SELECT file, count(*) FILTER (p) AS present, count(*) FILTER (NOT p) AS absent, count(*) FILTER (o) AS same_md5, count(*) FILTER (le) AS same_line_le, count(*) FILTER (be) AS same_line_be FROM h GROUP BY 1""",
+    "hash_cross_check": _CROSS.replace("{first}", ""),
+    "hash_cross_check_first": _CROSS.replace("{first}", "QUALIFY dense_rank() OVER (PARTITION BY l_orderkey ORDER BY substr(md5(l_partkey::VARCHAR), 1, 8)) <= 2"),
     "shard_eligibility": "WITH f AS (SELECT DISTINCT p_partkey % 256 AS shard FROM part WHERE p_partkey % 9 > 0), h AS (SELECT ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 2))::INT AS shard, count(*) AS n FROM orders GROUP BY 1) SELECT 'kb/' || lpad(upper(to_hex(shard)), 2, '0') || '.ldb' AS file, shard::INT AS shard, coalesce(n, 0) AS n FROM f LEFT JOIN h USING (shard)",
     "line_islands": "WITH h AS (SELECT DISTINCT l_suppkey AS file, l_returnflag AS md5, l_partkey % 400 AS line FROM lineitem), g AS (SELECT *, CASE WHEN line - lag(line) OVER w > 2 THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY file, md5 ORDER BY line)), i AS (SELECT *, sum(new) OVER (PARTITION BY file, md5 ORDER BY line) AS island FROM g) SELECT file, md5, min(line)::INT AS first_line, max(line)::INT AS last_line, count(*) AS n FROM i GROUP BY file, md5, island",
     "set_jaccard": "WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN [] ELSE range(0, p_partkey % 9 + 1) END AS a, CASE WHEN p_partkey % 14 < 3 THEN [] ELSE range(2, p_partkey % 5 + 3) END AS b FROM part) SELECT p_partkey, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS jaccard FROM s",
