@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.session import cut
+
 
 def universe(refs: DataFrame) -> DataFrame:
     return refs.select("component", "symbol").distinct()
@@ -100,9 +102,10 @@ def discriminating(refs: DataFrame) -> DataFrame:
 
 def batch_scan(libs: DataFrame, refs: DataFrame, components: DataFrame, shown: int = 10) -> DataFrame:
     """lib, component, n_observed, n_known, n_unknown, known_sample, n_consistent, first_release, last_release."""
-    kept = known(libs, refs, components)
+    kept = cut(known(libs, refs, components), "known-symbols")  # read four times; its rows are distinct
     counts = observed_counts(libs, kept, components)
-    sample = kept.groupBy("lib", "component").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, shown).alias("known_sample"))
+    first = F.row_number().over(Window.partitionBy("lib", "component").orderBy("symbol"))
+    sample = kept.withColumn("_n", first).where(F.col("_n") <= shown).groupBy("lib", "component").agg(F.array_sort(F.collect_list("symbol")).alias("known_sample"))
     strict = explained(kept, refs).join(counts.select("lib", "component", "n_known"), ["lib", "component"]).where("matched = n_known")
     strict = span(strict).withColumnRenamed("n_releases", "n_consistent")
     out = counts.join(sample, ["lib", "component"]).join(strict, ["lib", "component"], "left")
