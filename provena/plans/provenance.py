@@ -26,8 +26,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(reference, targets): doc_id, filename, tag, text."""
     docs = _documents(spark, sf_dir).select("doc_id", F.col("lang").alias("filename"), F.col("source").alias("tag"), "text")
-    cut = int(0.6 * (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] + 1))
-    return docs.where(F.col("doc_id") < cut), docs.where(F.col("doc_id") >= cut)
+    end = table(spark, sf_dir, "documents").agg(F.floor(0.6 * (F.max("doc_id") + 1)).alias("end"))
+    told = docs.crossJoin(F.broadcast(end))  # one row
+    return told.where("doc_id < end").drop("end"), told.where("doc_id >= end").drop("end")
 
 
 def _comma(c) -> F.Column:
