@@ -72,6 +72,16 @@ def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Sets that bound for the session, unless it has a smaller one: for results that run only after a call has returned."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    n = int(now.rstrip("kmg") or 0) * units.get(now[-1:], 1)
+    if n <= 0 or n > int(size[:-1]) * units[size[-1]]:
+        spark.conf.set(key, size)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a folder or file through its own file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
