@@ -40,7 +40,8 @@ from provena.session import cut
 
 END_ID = 1
 assert sys.byteorder == "little" and array("I").itemsize == 4
-_CACHE = 400_000
+#: Entries that chunks may fill, and words behind them.
+_CHUNKS, _CACHE = 300_000, 500_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -108,7 +109,7 @@ class WordCache:
                 self.cache.update(own)
         get = lambda w: own[w] if w in own else self.cache[w]
         out = [get(w) + get(t) if t else get(w) for w, t in zip(words, tails)]
-        if len(self.cache) < _CACHE * 3 // 8:
+        if len(self.cache) < _CHUNKS:
             self.cache.update(zip(chunks, out))
         return out
 
