@@ -34,6 +34,7 @@ from provena.session import cut, remove, scratch
 
 SHARD_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
+LINK_ROWS = 250_000
 _FRONTIER = 1 << 21
 
 
@@ -271,14 +272,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     too: both sides of their joins are then plain exchanges, so the node of a large class can be split.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+    # no round has more than twice as many rows: a file for each LINK_ROWS of them, not for each partition of an exchange
+    files = edges.count() // LINK_ROWS + 1
+    write = lambda df, name: cut(df.coalesce(files), name)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        low = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        large = write(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        least = write(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, edges = edges, write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         remove(before, low, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
