@@ -264,7 +264,7 @@ def _rerank(state: tuple, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarra
         near[lo + rows[best], place[best]] = names[best]
 
 
-def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.5, part_bytes: int = 4 << 20) -> DataFrame:
+def search(indexed: DataFrame, wanted: DataFrame, k: int = 5, seed: int = 5, query_bits: int = 6, epsilon: float = 3.5, part_bytes: int = 16 << 20) -> DataFrame:
     """query_id, rank, id, score: the k nearest of the indexed rows for each row of wanted (rows of an index)."""
     kind = indexed.schema["id"].dataType.simpleString()
     rows = indexed.select(F.size("vector").alias("dim"), F.col("probes")[0].alias("list"), "id", "vector", "code", "scalar")
