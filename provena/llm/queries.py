@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, licenses, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, warc
+from provena.llm import decontaminate, licenses, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, vector_codes, warc
 from provena.session import table
 
 
@@ -145,6 +145,34 @@ def op10_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", pst.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error and label's error of every vector, and the digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    rounds = []
+    for k in range(7):
+        rounds.append(f"""a{k} AS MATERIALIZED (SELECT n, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT n, x.p, c.e, list_sum(list_transform(list_zip(x.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM x JOIN c{k} c ON c.p = x.p) GROUP BY 1, 2)""")
+        if k < 6:
+            rounds.append(f"""m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (SELECT p, e, i, sum(y) AS s, count(*) AS n
+  FROM (SELECT x.p, a.e, unnest(x.x) AS y, unnest(range(0, len(x.x))) AS i FROM x JOIN a{k} a ON a.n = x.n AND a.p = x.p) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.e = c.e)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS MATERIALIZED (SELECT n, p, q[p * (len(q) // 8) + 1:(p + 1) * (len(q) // 8)] AS x FROM v, range(0, 8) t(p)),
+c0 AS MATERIALIZED (SELECT p, n AS e, x FROM x WHERE n < 16),
+{", ".join(rounds)},
+coded AS (SELECT v.vec_id, v.label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM v JOIN a6 ON a6.n = v.n GROUP BY v.n, v.vec_id, v.label),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -157,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_url_filter": op9_url_filter,
         "op10_pst": op10_pst,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -166,4 +195,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": OP3_SQL,
         "op5_rabitq": OP5_SQL,
         "op9_url_filter": OP9_SQL,
+        "op12_vector_codes": _op12_sql(),
     }
