@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, licenses, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, vector_codes, warc
+from provena.llm import decontaminate, licenses, mixing, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, vector_codes, warc
 from provena.session import table
 
 
@@ -173,6 +173,31 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, its source's words and target, and the words of it that the mix takes."""
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, (ARRAY[5, 2, 1])[sid % 3 + 1] AS weight, 2 * source_size AS top FROM s),
+l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(weight) OVER () AS weights, coalesce(sum(top) OVER o, 0) AS before_top, coalesce(sum(weight) OVER o, 0) AS before_weight
+  FROM w WINDOW o AS (ORDER BY top / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT arg_max(total - before_top, (total - before_top) / (weights - before_weight)) AS rest, arg_max(weights - before_weight, (total - before_top) / (weights - before_weight)) AS among FROM l),
+t AS (SELECT l.source, sid, source_size, CASE WHEN total = 0 THEN 0 ELSE least(top::DOUBLE, rest * weight / among) END AS target, source_size // 1024 AS whole FROM l, b),
+e AS (SELECT sid, whole, 0 AS round, least(round(target)::BIGINT, source_size) AS words FROM t UNION ALL SELECT sid, whole, 1, greatest(round(target)::BIGINT - source_size, 0) FROM t),
+r AS (SELECT sid, words, round, whole, unnest(range(0, (words + 1023) // 1024)) AS place, CASE round
+  WHEN 0 THEN CASE WHEN whole % 1000003 <> 0 THEN 1000003 WHEN whole % 1000033 <> 0 THEN 1000033 ELSE 1000037 END
+  ELSE CASE WHEN whole % 1000039 <> 0 THEN 1000039 WHEN whole % 1000081 <> 0 THEN 1000081 ELSE 1000099 END END AS stride FROM e WHERE words > 0),
+k AS (SELECT sid, CASE WHEN place < whole THEN place * stride % whole ELSE whole END AS block, least(1024, words - place * 1024) AS words FROM r),
+p AS (SELECT u, doc_id, size, sid, t.source_size, target, sum(size) OVER (PARTITION BY sid ORDER BY key, size, u) - size AS pos FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT u, sid, pos, size, unnest(range((pos // 1024)::BIGINT, ((pos + size - 1) // 1024)::BIGINT + 1)) AS block FROM p WHERE size > 0),
+m AS (SELECT u, sum(greatest(least(pos + size - block * 1024, words) - greatest(pos - block * 1024, 0), 0)) AS taken FROM c JOIN k USING (sid, block) GROUP BY u)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN m USING (u)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -186,6 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_pst": op10_pst,
         "op12_vector_codes": op12_vector_codes,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -196,4 +222,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_rabitq": OP5_SQL,
         "op9_url_filter": OP9_SQL,
         "op12_vector_codes": _op12_sql(),
+        "op13_mixing": OP13_SQL,
     }
