@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, licenses, mixing, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, vector_codes, warc
+from provena.llm import conversation_repair, decontaminate, licenses, mixing, packing, pii, pst, rabitq, simhash_bktree, string_kernel, url_filter, vector_codes, warc
 from provena.session import table
 
 
@@ -198,6 +198,53 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the digest of what results."""
+    convs, turns = conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), "copies")
+    told = convs.join(conversation_repair.digests(turns), ["part", "seq"])
+    return told.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("sha256").alias("repaired_sha256"))
+
+
+def _op11_sql() -> str:
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda w: w.c IS NOT NULL))"
+    way = lambda state, cost, letter: f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+    kept = lambda state, role: f"{{'c': CASE WHEN i = '{role}' AND NOT gone THEN {state}.c + stay END, 'a': {state}.a || 'K'}}"
+    moved = lambda state: f"{{'c': CASE WHEN NOT gone THEN {state}.c + stay + 1 END, 'a': {state}.a || 'R'}}"
+    none = "{'c': NULL::BIGINT, 'a': ''}"
+    # the states before a turn's insertions are n, s, u, a; after them n, s, v, b
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list(x ORDER BY b) AS t FROM (SELECT b, list_reduce(range(0, 8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END, b) AS x FROM range(0, 256) g(b))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS z FROM conversations),
+h AS (SELECT row_number() OVER () AS u, conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(range(1, octet_length(z) + 1), lambda p: ('0x' || substr(hex(z), CAST(2 * p - 1 AS BIGINT), 2))::BIGINT),
+  lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]), 4294967295::BIGINT)) % 20 AS f FROM k, tab),
+g AS (SELECT u, conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS MATERIALIZED (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER w AS nr, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, u, copy) > 1 AS again,
+  NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), u, copy)),
+p AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS stay, lag(i) OVER (PARTITION BY conv_id ORDER BY nr) || i AS pair FROM o),
+ids AS (SELECT conv_id, count(*) OVER () AS n_ids FROM conversations GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM p GROUP BY conv_id),
+way(conv_id, nr, n, s, v, b) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, {none}, {{'c': 5::BIGINT, 'a': 'I'}}, {{'c': 10::BIGINT, 'a': 'II'}} FROM ids
+  UNION ALL
+  SELECT conv_id, nr, n, s, {least("u", way("n", 5, "I"), way("s", 5, "I"), way("a", 5, "I"))}, {least("a", way("u", 5, "I"), way("n", 10, "II"), way("s", 10, "II"))} FROM (
+    SELECT way.conv_id, p.nr, {way("way.n", 2, "D")} AS n, {least(kept("way.n", "s"), way("way.s", 2, "D"))} AS s,
+      {least(kept("way.n", "u"), kept("way.s", "u"), kept("way.b", "u"), moved("way.n"), moved("way.s"), moved("way.b"), way("way.v", 2, "D"))} AS u,
+      {least(kept("way.v", "a"), moved("way.v"), way("way.b", 2, "D"))} AS a
+    FROM way JOIN p ON p.conv_id IS NOT DISTINCT FROM way.conv_id AND p.nr = way.nr + 1)),
+best AS MATERIALIZED (SELECT way.conv_id, {least("way.n", "way.b")} AS w FROM way LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM way.conv_id WHERE way.nr = coalesce(c.n, 0)),
+letters AS (SELECT conv_id, nr AS pos, substr(w.a, CAST(nr AS BIGINT), 1) AS letter FROM (SELECT conv_id, w, unnest(range(1, length(w.a) + 1)) AS nr FROM best)),
+made AS (SELECT conv_id, pos, letter, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS nr FROM letters),
+rows_ AS (SELECT m.conv_id, pos, letter, p.role, p.text, p.i, row_number() OVER (PARTITION BY m.conv_id ORDER BY pos) AS place FROM made m LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM m.conv_id AND p.nr = m.nr AND m.letter <> 'I' WHERE letter <> 'D'),
+lines AS (SELECT *, place - max(CASE WHEN place = 1 AND letter = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS nth FROM rows_),
+texts AS (SELECT conv_id, string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS t FROM lines GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, w.c AS cost, w.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -210,6 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_url_filter": op9_url_filter,
         "op10_pst": op10_pst,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_vector_codes": op12_vector_codes,
         "op13_mixing": op13_mixing,
     }
@@ -221,6 +269,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": OP3_SQL,
         "op5_rabitq": OP5_SQL,
         "op9_url_filter": OP9_SQL,
+        "op11_conversation_repair": _op11_sql(),
         "op12_vector_codes": _op12_sql(),
         "op13_mixing": OP13_SQL,
     }
