@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.plans import advisories, evidence, knowledge, libraries, provenance
+from provena.plans import advisories, code_tiers, evidence, knowledge, libraries, provenance
 
 FLAGSHIP = "tree_verdict"
-MODULES = (provenance, libraries, advisories, knowledge, evidence)
+MODULES = (provenance, libraries, advisories, knowledge, evidence, code_tiers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
