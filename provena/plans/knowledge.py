@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import sketch
 from provena.functions import text as ft
-from provena.operators import artifact, profile
+from provena.operators import artifact, profile, vote
 from provena.sources import archive, ldb, wfp
 from provena.session import cut, shared_path, table
 from provena.streaming import incremental
@@ -96,6 +96,32 @@ def ldb_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.col("record").cast("string").alias("record"))
 
 
+def ldb_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every third document's key and of as many absent ones, of which only the slots are read."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.concat(F.lit("0"), (F.col("doc_id") % 4).cast("string"), F.substring(F.md5("text"), 3, 30))
+    asked = docs.where("text is not null").select(F.when(F.col("doc_id") % 3 == 0, F.upper(key)).otherwise(F.md5(F.col("doc_id").cast("string"))).alias("key"))
+    found = ldb.probe(asked, _shards(spark, sf_dir))
+    return found.select("key", F.col("record").cast("string").alias("record"))
+
+
+def wfp_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's parts as hashes of a file, checked against shards of fixed records (content and line) by a probe."""
+    line = table(spark, sf_dir, "lineitem")
+    hash_ = F.substring(F.md5(F.concat(F.lit("w"), (F.col("l_partkey") % 997).cast("string"))), 1, 6)
+    own = F.concat(F.lit("1"), F.substring(F.md5((F.col("l_suppkey") % 3).cast("string")), 1, 1), hash_)
+    number = (F.col("l_partkey") % 700).cast("int")
+    le = F.concat(F.lpad(F.hex(number % 256), 2, "0"), F.lpad(F.hex(F.floor(number / 256)), 2, "0"))
+    held = line.where("l_returnflag <> 'N'").select(own.alias("h"), F.unhex(F.concat(F.md5(F.col("l_orderkey").cast("string")), le)).alias("record"))
+    folder = shared_path(spark, "hash-shards")
+    ldb.write_shards(held.select(F.unhex("h").alias("key"), "record"), folder, record_len=18)
+    files = line.select(F.col("l_orderkey").alias("file"), F.md5(F.col("l_orderkey").cast("string")).alias("md5"), own.alias("hash"), number.alias("line")).distinct()
+    found = ldb.probe(files.select(F.col("hash").alias("key")), folder, record_len=18)
+    low, high = (F.conv(F.hex(F.substring("record", 17 + i, 1)), 16, 10).cast("int") for i in (0, 1))
+    index = found.select(F.col("key").alias("hash"), F.lower(F.hex(F.substring("record", 1, 16))).alias("md5"), (low + 256 * high).alias("line")).distinct()
+    return vote.cross_check(files, index).select(F.col("file").alias("l_orderkey"), "present", "absent", "same_md5", "same_line_le", "same_line_be")
+
+
 def ldb_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.record_stats(_read(spark, _shards(spark, sf_dir)))
 
@@ -161,7 +187,7 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("sha256")
 
 
-QUERIES = {f.__name__: f for f in (declared_releases, exact_tier, reconcile_releases, artifact_roundtrip, ldb_roundtrip, ldb_prefix, ldb_profile, wfp_parse, ar_elf_symbols, incremental_scan)}
+QUERIES = {f.__name__: f for f in (declared_releases, exact_tier, reconcile_releases, artifact_roundtrip, ldb_roundtrip, ldb_prefix, ldb_probe, wfp_probe, ldb_profile, wfp_parse, ar_elf_symbols, incremental_scan)}
 
 _W = ft.WHITE
 _REC = "d AS (SELECT '0' || (doc_id % 4) || substr(md5(text), 3, 30) AS key, source AS path, 'http://h' || lang || '/x' AS url, doc_id % 9 AS cnt FROM documents WHERE text IS NOT NULL)"
@@ -181,6 +207,12 @@ SELECT (SELECT sum(n) FROM e)::BIGINT AS pairs, (SELECT count(*) FROM e) AS file
 (SELECT count(*) FROM part) AS releases, (SELECT count(*) FROM part) AS from_files, count(DISTINCT (lang, source, doc_id % 50)) AS symbols, count(DISTINCT source) AS symbol_releases FROM d""",
     "ldb_roundtrip": f"WITH {_REC} SELECT key, path, url, cnt FROM d",
     "ldb_prefix": f"WITH {_REC} SELECT key, path || ',' || url || ',' || cnt AS record FROM d WHERE starts_with(key, '01a')",
+    "ldb_probe": f"WITH {_REC}, a AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN '0' || (doc_id % 4) || substr(md5(text), 3) ELSE md5(doc_id::VARCHAR) END AS key FROM documents WHERE text IS NOT NULL) SELECT key, path || ',' || url || ',' || cnt AS record FROM d SEMI JOIN a USING (key)",
+    "wfp_probe": """WITH l AS (SELECT l_orderkey, md5(l_orderkey::VARCHAR) AS own, '1' || substr(md5((l_suppkey % 3)::VARCHAR), 1, 1) || substr(md5('w' || (l_partkey % 997)), 1, 6) AS hash, l_partkey % 700 AS line, l_returnflag FROM lineitem),
+x AS MATERIALIZED (SELECT DISTINCT hash, own, line FROM l WHERE l_returnflag <> 'N'), f AS (SELECT DISTINCT l_orderkey, own, hash, line FROM l),
+c AS (SELECT l_orderkey, hash, max((EXISTS (SELECT 1 FROM x WHERE x.hash = f.hash))::INT) AS p, max((EXISTS (SELECT 1 FROM x WHERE x.hash = f.hash AND x.own = f.own))::INT) AS o,
+  max((EXISTS (SELECT 1 FROM x WHERE x.hash = f.hash AND x.own = f.own AND x.line = f.line))::INT) AS le, max((EXISTS (SELECT 1 FROM x WHERE x.hash = f.hash AND x.own = f.own AND x.line % 256 * 256 + x.line // 256 = f.line))::INT) AS be FROM f GROUP BY 1, 2)
+SELECT l_orderkey, sum(p)::BIGINT AS present, sum(1 - p)::BIGINT AS absent, sum(o)::BIGINT AS same_md5, sum(le)::BIGINT AS same_line_le, sum(be)::BIGINT AS same_line_be FROM c GROUP BY 1""",
     "ldb_profile": f"WITH {_REC} SELECT 3 AS n_fields, count(*) AS n, count(DISTINCT key) AS slots, count(*) AS records, 0 AS bad_utf8 FROM d",
     "wfp_parse": "WITH d AS (SELECT 'a,b/' || doc_id AS path, md5(text) AS md5, length(text) AS size, text, unnest([1, 7, 7, 20]) AS line FROM documents WHERE text IS NOT NULL) SELECT path, md5, size, line, substr(sha1(text || line), 1, 8) AS hash FROM d",
     "ar_elf_symbols": "WITH p AS (SELECT p_brand AS archive, p_partkey AS k, p_size, max(p_partkey) OVER (PARTITION BY p_brand, p_partkey % 1000) AS last FROM part) SELECT archive, 'part_' || k AS symbol FROM p WHERE k = last AND p_size % 10 <> 0 AND k % 5 <> 0 AND k % 3 < 2 AND archive <> 'Brand#7'",

@@ -8,6 +8,7 @@ records of n bytes. Otherwise keys have 16 bytes, size counts bytes, and data ar
 length (2 bytes), records, each behind its length (2 bytes). The records of a key may be spread over nodes.
 
     spark.read.format("ldb").option("record_len", 18).load(folder) -> key, rec_no, record
+    probe(keys, folder, record_len=18) -> key, rec_no, record of many keys, of which only the slots are read
 
 Each shard is a partition, or several when ``slot_parts`` is set. An equality on key reads one slot, a prefix of at least
 six digits a range of slots, shorter ones the shards they name; the rest is filtered again by Spark. Files are read by
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
@@ -168,6 +170,90 @@ def register(spark) -> None:
     spark.dataSource.register(LdbSource)
 
 
+class Counted:
+    """Reads by place that are counted: number of reads and bytes."""
+
+    def __init__(self, source):
+        self.read_at, self.reads, self.bytes = reader_of(source), 0, 0
+
+    def __call__(self, at: int, n: int) -> bytes:
+        data = self.read_at(at, n)
+        self.reads += 1
+        self.bytes += len(data)
+        return data
+
+
+def _probe(folder: str, record_len: int, counter):
+    """Records of sorted keys: a task opens each of its shards once and reads the slots that its keys name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(folder)
+        files = {int(m[1], 16): f.path for f in system.get_file_info(fs.FileSelector(base)) if f.is_file and (m := re.fullmatch(r"([0-9a-fA-F]{2})\.ldb", f.base_name))}
+        source = read = shard = slot = None
+        wanted: set[str] = set()
+        told: list[tuple[str, int, bytes]] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            nonlocal told, size
+            keys, numbers, records = zip(*told) if told else ((), (), ())
+            told, size = [], 0
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "rec_no": pa.array(numbers, pa.int32()), "record": pa.array(records, pa.binary())})
+
+        def look_up() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if read is None or not wanted:
+                return
+            place = u40(read(slot * POINTER, POINTER), 0)
+            if not place:
+                return
+            for number, (key, record) in enumerate(list_records(read, shard, slot, place, record_len)):
+                if key in wanted:
+                    told.append((key, number, record))
+                    size += len(record) + 64
+                    if size > 1 << 22:
+                        yield batch()
+
+        def leave() -> None:
+            if source is not None:
+                source.close()
+                if counter is not None:
+                    counter.add(read.bytes)
+
+        try:
+            for b in batches:
+                for key in b.column("key").to_pylist():
+                    at = int(key[:2], 16), int(key[2:8], 16)
+                    if at != (shard, slot):
+                        yield from look_up()
+                        wanted.clear()
+                        if at[0] != shard:
+                            leave()
+                            source = system.open_input_file(files[at[0]]) if at[0] in files else None
+                            read = Counted(source) if source else None
+                        shard, slot = at
+                    wanted.add(key)
+            yield from look_up()
+        finally:
+            leave()
+        yield batch()
+
+    return run
+
+
+def probe(keys: DataFrame, folder: str, record_len: int = 0, counter=None) -> DataFrame:
+    """key, rec_no, record of all keys asked for. keys: key, hexadecimal, of 32 digits or, with record_len, eight.
+
+    Keys are made distinct and sorted in ranges, so a task has neighbouring slots of few shards and reads five bytes of the
+    map and one list for each slot asked for, whatever the shards hold. Keys of shards that are not there, absent keys and
+    null ones give no row; upper-case digits are lowered, any other key is an error. counter: an accumulator of bytes read.
+    """
+    digits = 8 if record_len else 32
+    sound = F.when(F.lower("key").rlike(f"^[0-9a-f]{{{digits}}}$"), F.lower("key")).otherwise(F.raise_error(F.lit(f"a probe takes keys of {digits} hexadecimal digits")))
+    asked = keys.where("key is not null").select(sound.alias("key")).distinct()
+    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_probe(folder, record_len, counter), "key string, rec_no int, record binary")
+
+
 def _node_data(records: list[tuple[bytes, bytes]], record_len: int, node_bytes: int) -> Iterator[tuple[int, bytes]]:
     """(size field, data) of the nodes that hold a slot's records, given in the order of their keys."""
     if record_len:
@@ -220,13 +306,14 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
         system.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()  # attempts of one task write files of their own, and any of them may be the last to name it
         shard, out, pointers, n = None, None, None, 0
 
         def close() -> pa.RecordBatch:
             if pointers is not None:
                 out.write(pointers.tobytes())
             out.close()
-            system.move(f"{base}/.{shard:02x}", f"{base}/{shard:02x}.ldb")
+            system.move(f"{base}/.{shard:02x}-{attempt}", f"{base}/{shard:02x}.ldb")
             return pa.RecordBatch.from_pydict({"shard": [f"{shard:02x}"], "lists": pa.array([n], pa.int64())})
 
         for b in batches:
@@ -235,7 +322,7 @@ def _write(folder: str):
                     if shard is not None:
                         yield close()
                     shard, pointers, n = row["shard"], np.zeros((SLOTS, POINTER), np.uint8), 0
-                    out = system.open_output_stream(f"{base}/.{shard:02x}")
+                    out = system.open_output_stream(f"{base}/.{shard:02x}-{attempt}")
                 if row["data"] is None:  # the map's entries come before the lists
                     pointers[row["slot"]] = np.frombuffer(row["at"].to_bytes(POINTER, "little"), np.uint8)
                     continue
@@ -260,7 +347,7 @@ def write_shards(records: DataFrame, folder: str, record_len: int = 0, node_byte
     """Writes records (key, record: binary) as shards below folder; a row (shard, lists) for each file.
 
     Rows are sorted into lists, the lists' places are a running sum in each shard, and a task streams a shard: its map,
-    then list after list. Keys have 16 bytes, or four with record_len. A record that the layout's two-byte lengths cannot
+    then list after list, under a name of its own until the file is whole. Keys have 16 bytes, or four with record_len. A record that the layout's two-byte lengths cannot
     hold, or of another length than record_len, is an error; rows with a null key or record are ignored.
     """
     wide = 4 if record_len else 16
