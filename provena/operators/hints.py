@@ -1,4 +1,4 @@
-"""Weaker evidence of identity: version macros, path suffixes, member names, commit ranges, version schemes."""
+"""Weaker evidence of identity: version macros, path suffixes, member names, version schemes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import text as ft
-from provena.session import cut
 
 # A version macro and a header's version line.
 VERSION_MACRO = r'(?m)^[ \t]*#[ \t]*define[ \t]+\w*VERSION\w*[ \t]+"?[Vv]?(\d+(?:\.\d+)+[\w.+-]*)"?'
@@ -58,23 +57,6 @@ def newest_by_scheme(tags: DataFrame) -> DataFrame:
     return told.groupBy("repo", "scheme").agg(F.max_by("tag", ft.version_key(F.col("tag"))).alias("tag"))
 
 
-def commits_in_ranges(edges: DataFrame, ranges: DataFrame) -> DataFrame:
-    """advisory, commit: commits from which ``introduced`` is reached going back without passing ``fixed``.
-
-    edges: commit, parent; ranges: advisory, introduced, fixed (null: open). One frontier join a round from the introduced
-    commits to their children; fixed commits end a path. Rounds end when nothing is new.
-    """
-    fixed = ranges.where("fixed is not null").select("advisory", F.col("fixed").alias("commit")).distinct()
-    frontier = cut(ranges.select("advisory", F.col("introduced").alias("commit")).distinct().join(fixed, ["advisory", "commit"], "left_anti"), "commits")
-    found = frontier
-    while True:
-        step = frontier.withColumnRenamed("commit", "parent").join(edges, "parent").select("advisory", "commit").distinct()
-        frontier = cut(step.join(fixed, ["advisory", "commit"], "left_anti").join(found, ["advisory", "commit"], "left_anti"), "commits")
-        if frontier.isEmpty():
-            return found
-        found = cut(found.unionByName(frontier), "commits")
-
-
 def with_provenance(matches: DataFrame, tier: str, technique: int, scope: str = "on disk", profile: str | None = None) -> DataFrame:
     """matches with tier, technique, evidence_scope and profile, to be kept on every output."""
     return matches.withColumns({"tier": F.lit(tier), "technique": F.lit(technique), "evidence_scope": F.lit(scope), "profile": F.lit(profile).cast("string")})

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from provena.functions import sketch
 from provena.functions import text as ft
-from provena.operators import advisory, artifact, hints, profile, refdb, report, symbols, verdict, vote
+from provena.operators import advisory, artifact, commits, hints, profile, refdb, report, symbols, verdict, vote
 from provena.plans import advisories, libraries
-from provena.session import shared_path, table
+from provena.session import cut, scratch, shared_path, table
 from provena.sources import exchange, tree
 
 LANGS = ["de", "en", "es", "fr"]
@@ -304,12 +304,35 @@ def member_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hints.member_stems(table(spark, sf_dir, "part").select(F.col("p_brand").alias("archive"), member.alias("member")))
 
 
-def commit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as commits, each the child of the one of half its number; suppliers as advisories."""
-    edges = table(spark, sf_dir, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("commit"), F.expr("c_custkey div 2").alias("parent"))
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, ranges): customers as commits, suppliers as advisories.
+
+    A commit follows the one of half its number, or in stretches of fifty the one before it; every seventh also merges the
+    commit three before it. An advisory has a range, and every third a second one; fixes are descendants or elsewhere.
+    """
+    c = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    line = customers.where("c_custkey > 1").select(c.alias("commit"), F.when(c % 100 < 50, F.expr("c_custkey div 2")).otherwise(c - 1).alias("parent"), F.lit(1).alias("number"))
+    merge = customers.where("c_custkey % 7 = 0").select(c.alias("commit"), (c - 3).alias("parent"), F.lit(2).alias("number"))
     key = F.col("s_suppkey")
-    ranges = table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(key.alias("advisory"), key.alias("introduced"), F.when(key % 2 == 0, key * 4 + 1).alias("fixed"))
-    return hints.commits_in_ranges(edges, ranges)
+    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey > 0")
+    one = suppliers.select(key.alias("advisory"), key.alias("introduced"), F.when(key % 2 == 0, key * 4 + 1).alias("fixed"))
+    two = suppliers.where("s_suppkey % 3 = 0").select(key.alias("advisory"), (key * 2).alias("introduced"), (key * 3 + 1).alias("fixed"))
+    return line.unionByName(merge), one.unionByName(two)
+
+
+def commit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits that each advisory's ranges affect."""
+    with scratch() as keep:
+        return keep(cut(commits.commits_in_ranges(*_history(spark, sf_dir)), "affected"))
+
+
+def release_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases (orders of every eleventh number) at their commits, the customers, that each advisory affects."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("release"), F.col("o_custkey").alias("commit"))
+    edges, ranges = _history(spark, sf_dir)
+    with scratch() as keep:
+        return keep(cut(commits.releases_in_ranges(edges, ranges, orders), "affected"))
 
 
 def discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +375,7 @@ QUERIES = {
     for f in (
         tree_scan, tree_scan_root, tree_duplicates, library_layout, fingerprint_db, fingerprint_db_tags, symbol_db, batch_scan_json, advisory_snapshot, near_winners, vote_report, score_report, vote_resolve,
         hash_cross_check, hash_cross_check_first, shard_eligibility, line_islands, set_jaccard, winnow_blake2b, normalized_tier, release_metadata, artifact_match, tag_listing, template_fetch, alias_contents, newest_tags,
-        version_hints, license_hints, path_hints, member_stems, commit_ranges, discrepancies, tier_profiles, identity_cpe, random_records, slot_sample,
+        version_hints, license_hints, path_hints, member_stems, commit_ranges, release_ranges, discrepancies, tier_profiles, identity_cpe, random_records, slot_sample,
     )
 }
 
@@ -365,6 +388,15 @@ _CROSS = """WITH i AS (SELECT DISTINCT substr(md5(l_partkey::VARCHAR), 1, 8) AS
 t AS (SELECT l_orderkey AS file, md5(l_suppkey::VARCHAR) AS md5, substr(md5(l_partkey::VARCHAR), 1, 8) AS hash, l_linenumber AS line FROM lineitem {first}),
 h AS (SELECT file, t.hash, bool_or(m IS NOT NULL) AS p, coalesce(bool_or(m = md5), false) AS o, coalesce(bool_or(m = md5 AND l = line), false) AS le, coalesce(bool_or(m = md5 AND (l % 256) * 256 + l // 256 = line), false) AS be FROM t LEFT JOIN i USING (hash) GROUP BY 1, 2)
 SELECT file, count(*) FILTER (p) AS present, count(*) FILTER (NOT p) AS absent, count(*) FILTER (o) AS same_md5, count(*) FILTER (le) AS same_line_le, count(*) FILTER (be) AS same_line_be FROM h GROUP BY 1"""
+# every event's descendants by walking all edges
+_HISTORY = """WITH RECURSIVE e AS (SELECT c_custkey AS commit, CASE WHEN c_custkey % 100 < 50 THEN c_custkey // 2 ELSE c_custkey - 1 END AS parent FROM customer WHERE c_custkey > 1
+  UNION SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 7 = 0),
+k AS (SELECT commit FROM e UNION SELECT parent FROM e),
+r AS (SELECT s_suppkey AS advisory, s_suppkey AS introduced, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 4 + 1 END AS fixed FROM supplier WHERE s_suppkey > 0
+  UNION ALL SELECT s_suppkey, s_suppkey * 2, s_suppkey * 3 + 1 FROM supplier WHERE s_suppkey > 0 AND s_suppkey % 3 = 0),
+d(event, commit) AS (SELECT event, event FROM (SELECT introduced AS event FROM r UNION SELECT fixed FROM r) JOIN k ON commit = event UNION SELECT d.event, e.commit FROM d JOIN e ON e.parent = d.commit),
+hit AS (SELECT advisory, i.commit FROM r JOIN d i ON i.event = introduced LEFT JOIN d f ON f.event = fixed AND f.commit = i.commit WHERE f.commit IS NULL)"""
+
 SQL = {
     "tree_scan": f"WITH {_TREE} SELECT folder, filename, md5 FROM f",
     "tree_scan_root": f"WITH {_TREE} SELECT filename, min(path) AS path, arg_min(md5, path) AS md5 FROM f GROUP BY 1",
@@ -400,8 +432,9 @@ t AS (SELECT doc_id AS file, sha256({_STRIP}) AS sha256 FROM s) SELECT file, CAS
     "path_hints": """WITH f AS (SELECT s_suppkey AS file, 's' AS t, 'Brand#' || (s_suppkey % 30) AS brand, s_suppkey % 7 AS f, s_suppkey % 3 AS m FROM supplier), k AS (SELECT DISTINCT p_brand AS brand, p_size % 7 AS f, p_size % 3 AS m, p_type AS component FROM part)
 SELECT file, 'm' || k.m || '/' || k.brand || '/f' || k.f || '.c' AS known_path, component, CASE WHEN f.m = k.m THEN 3 ELSE 2 END::BIGINT AS shared FROM f JOIN k USING (brand, f)""",
     "member_stems": "SELECT DISTINCT p_brand AS lib, 'm' || p_size || '.c' AS symbol FROM part WHERE p_partkey % 9 > 0",
-    "commit_ranges": """WITH RECURSIVE e AS (SELECT c_custkey AS commit, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 1), r AS (SELECT s_suppkey AS advisory, s_suppkey AS introduced, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 4 + 1 END AS fixed FROM supplier WHERE s_suppkey > 0),
-w AS (SELECT advisory, introduced AS commit, fixed FROM r UNION SELECT advisory, e.commit, fixed FROM w JOIN e ON parent = w.commit WHERE fixed IS NULL OR e.commit <> fixed) SELECT advisory, commit FROM w""",
+    "commit_ranges": f"{_HISTORY} SELECT DISTINCT advisory, commit FROM hit",
+    "release_ranges": f"{_HISTORY} SELECT DISTINCT advisory, o_orderkey AS release, commit FROM hit JOIN orders ON o_custkey = commit WHERE o_orderkey % 11 = 0",
+
     "discrepancies": """WITH a AS (SELECT 'c' || s_suppkey AS component, s_nationkey::VARCHAR AS declared_version FROM supplier), b AS (SELECT 'c' || c_custkey AS component, (c_custkey % 3 * 5)::VARCHAR AS detected_version FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 300)
 SELECT component, declared_version, detected_version, CASE WHEN declared_version IS NULL THEN 'undeclared' WHEN detected_version IS NULL THEN 'not found' WHEN declared_version = detected_version THEN 'agrees' ELSE 'differs' END AS state FROM a FULL JOIN b USING (component)""",
     "tier_profiles": """WITH t AS (SELECT p_partkey, p_partkey % 3 AS k FROM part), n AS (SELECT CASE k WHEN 0 THEN 'exact' WHEN 1 THEN 'winnowing' ELSE 'symbol' END AS tier, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END::INT AS technique, CASE WHEN k = 2 THEN 'built in' ELSE 'on disk' END AS evidence_scope, p_partkey FROM t),

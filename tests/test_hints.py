@@ -20,15 +20,6 @@ def test_hints(spark):
     assert {r.symbol for r in hints.member_stems(rows).collect()} == {"list", "queue"}
 
 
-def test_commit_ranges(spark):
-    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("x", "b"), ("y", "x"), ("d", "x")], "commit string, parent string")
-    ranges = spark.createDataFrame([("A", "b", "c"), ("B", "c", None), ("C", "b", "b")], "advisory string, introduced string, fixed string")
-    got = {}
-    for r in hints.commits_in_ranges(edges, ranges).collect():
-        got.setdefault(r.advisory, set()).add(r.commit)
-    assert got == {"A": {"b", "x", "y", "d"}, "B": {"c", "d"}}
-
-
 def test_reports(spark):
     files = spark.createDataFrame([("g", "a.c", ["v1", "v2"], None), ("g", "b.c", [], [(0.5, "v1"), (0.251, "v0")]), ("g", "c.c", [], None)], "group string, filename string, exact_matches array<string>, top_candidates array<struct<score:double,tag:string>>")
     assert [r.line for r in report.file_lines(files).collect()] == ["g a.c exact: v1, v2", "g b.c closest: 0.50 v1, 0.25 v0", "g c.c closest: none"]
