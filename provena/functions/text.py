@@ -114,3 +114,35 @@ def base_name(path: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Numbers of a version as an array, for numeric comparison (2.28.8 before 2.28.10)."""
     return F.transform(F.regexp_extract_all(version, F.lit(r"(\d{1,9})"), F.lit(1)), lambda x: x.cast("long"))
+
+
+# What comes before a release, in order, and what comes after it.
+BEFORE_RELEASE = (("dev", "snapshot", "nightly"), ("alpha", "a"), ("beta", "b"), ("rc", "pre", "preview", "c"))
+AFTER_RELEASE = ("p", "patch", "pl", "post", "sp", "update", "u", "r", "rev")
+
+
+def version_order(version: Column) -> Column:
+    """struct<numbers, phase, letter, step> that sorts as versions do; null for a text without a digit.
+
+    Numbers before the first other part count, zeros at their end do not: 2.28 = 2.28.0 < 2.28.0.1 < 2.28.8 < 2.28.10. A word
+    that comes before a release sorts below it with its number (3.6.0-alpha2 < 3.6.0-rc1 < 3.6.0), one that comes after it,
+    or a single letter right behind the numbers, above (1.0.2 < 1.0.2a < 1.0.2-patch1). Anything else behind the numbers (build names) is as good as the release. What stands before the
+    first digit is a scheme's name and does not count.
+    """
+    rest = F.regexp_extract(F.lower(version), r"^[^0-9]*([0-9].*)$", 1)
+    main = F.regexp_extract(rest, r"^([0-9]{1,18}(?:[._][0-9]{1,18})*)", 1)
+    numbers = F.transform(F.regexp_extract_all(main, F.lit(r"([0-9]{1,18})"), F.lit(1)), lambda x: x.cast("long"))
+    last = F.array_max(F.transform(numbers, lambda x, i: F.when(x > 0, i + 1).otherwise(0)))
+    tail = F.substring(rest, F.length(main) + 1, F.length(rest))
+    word = F.regexp_extract(tail, r"^[-._+~]?([a-z]+)", 1)
+    step = F.coalesce(F.when(word != "", F.nullif(F.regexp_extract(tail, r"^[-._+~]?[a-z]+[-._]?([0-9]{1,18})", 1), F.lit("")).cast("long")), F.lit(0).cast("long"))
+    joined = tail.rlike("^[a-z](?![a-z0-9])")
+    before = list(enumerate(BEFORE_RELEASE))
+    phase = F.when(joined, len(before) + 1)
+    for i, words in before:
+        phase = phase.when(word.isin(*words), i)
+    phase = phase.when(word.isin(*AFTER_RELEASE), len(before) + 2).otherwise(len(before))
+    letter = F.when(joined, word).otherwise("")
+    counts = word.isin(*[w for _, words in before for w in words], *AFTER_RELEASE)
+    order = F.struct(F.slice(numbers, F.lit(1), last).alias("numbers"), phase.alias("phase"), letter.alias("letter"), F.when(counts & ~joined, step).otherwise(0).alias("step"))
+    return F.when(rest != "", order)

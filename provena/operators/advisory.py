@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.functions import text as ft
@@ -42,18 +42,40 @@ def coverage(findings: DataFrame, identities: DataFrame) -> DataFrame:
     return told.withColumn("flag", coverage_flag(F.col("n")))
 
 
+def _places(points: DataFrame, keys: list[str]) -> DataFrame:
+    """points with ``place``: the dense rank of its order among the different versions of its keys."""
+    return points.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy("order")) - 1)
+
+
 def version_range_matches(releases: DataFrame, ranges: DataFrame) -> DataFrame:
-    """releases: product, version; ranges: product, advisory, introduced, fixed (excluded; null: open).
+    """releases: product, version; ranges: product, advisory, introduced (null: from the first), fixed (excluded; null: open).
 
-    Versions compare by their numbers, so 2.28.10 follows 2.28.8. Distinct versions meet distinct ranges of a product;
-    rows and advisories are joined back to what met.
+    Versions compare as `version_order` says, so 2.28.10 follows 2.28.8, 2.28 is 2.28.0 and 3.6.0-rc1 comes before 3.6.0;
+    those without a digit match nothing. A product's different versions and bounds are ranked. A range of ranks is
+    the union of a few dyadic stretches, a rank lies in one stretch of each length, and the two meet by equality of the
+    stretch: every pair that meets is a match, and a product with many versions and ranges makes no other row.
     """
-    v = releases.select("product", "version").distinct().withColumn("_v", ft.version_key(F.col("version")))
-    r = ranges.select("product", "introduced", "fixed").distinct().withColumns({"_i": ft.version_key(F.col("introduced")), "_f": ft.version_key(F.col("fixed"))})
-    met = v.join(r, "product").where((F.col("_v") >= F.col("_i")) & (F.col("fixed").isNull() | (F.col("_v") < F.col("_f")))).drop("_v", "_i", "_f")
-    told = met.withColumnsRenamed({"introduced": "_in", "fixed": "_out"})
-    named = told.join(ranges, (told["product"] == ranges["product"]) & (F.col("_in") == F.col("introduced")) & F.col("_out").eqNullSafe(F.col("fixed"))).drop(told["product"])
-    return releases.join(named.drop("_in", "_out"), ["product", "version"])
+    v = releases.select("product", "version").distinct().withColumn("order", ft.version_order(F.col("version"))).where("order is not null")
+    r = ranges.select("product", "introduced", "fixed").distinct()
+    r = r.withColumns({"low": ft.version_order(F.col("introduced")), "high": ft.version_order(F.col("fixed"))})
+    r = r.where("(introduced is null or low is not null) and (fixed is null or high is not null)")
+    points = v.select("product", "order").union(r.select("product", "low").where("low is not null")).union(r.select("product", "high").where("high is not null")).distinct()
+    ranked = _places(points, ["product"])
+    size = ranked.groupBy("product").agg((F.max("place") + 1).alias("size"))
+    at = lambda c: ranked.select(F.col("product").alias(f"{c}_product"), F.col("order").alias(f"{c}_order"), F.col("place").alias(f"{c}_place"))
+    met = lambda df, c: df.join(at(c), (F.col("product") == F.col(f"{c}_product")) & (F.col(c) == F.col(f"{c}_order")), "left").drop(f"{c}_product", f"{c}_order")
+    bounds = met(met(r, "low"), "high").join(size, "product")
+    bounds = bounds.select("product", "introduced", "fixed", F.coalesce("low_place", F.lit(0)).cast("long").alias("a"), F.coalesce("high_place", "size").cast("long").alias("b"), "size").where("a < b")
+    levels = "sequence(0, CAST(ceil(log2(size)) AS INT))"
+    up = bounds.withColumn("level", F.explode(F.expr(levels))).withColumn("unit", F.expr("shiftleft(1L, level)"))
+    up = up.withColumns({"lo": F.expr("(a + unit - 1) DIV unit"), "hi": F.expr("b DIV unit")}).where("lo < hi")
+    ends = F.array_distinct(F.filter(F.array(F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)), lambda x: x.isNotNull()))
+    stretches = up.select("product", "introduced", "fixed", "level", F.explode(ends).alias("stretch"))
+    placed = met(v.withColumnRenamed("order", "own"), "own").join(size, "product").withColumn("level", F.explode(F.expr(levels)))
+    placed = placed.select("product", "version", "level", F.expr("own_place DIV shiftleft(1L, level)").alias("stretch"))
+    told = placed.join(stretches, ["product", "level", "stretch"]).select(F.col("product").alias("_p"), "version", F.col("introduced").alias("_in"), F.col("fixed").alias("_out"))
+    named = told.join(ranges, (F.col("_p") == F.col("product")) & F.col("_in").eqNullSafe(F.col("introduced")) & F.col("_out").eqNullSafe(F.col("fixed")))
+    return releases.join(named.drop("_p", "_in", "_out"), ["product", "version"])
 
 
 def identity_to_cpe(components: DataFrame, mapping: DataFrame) -> DataFrame:

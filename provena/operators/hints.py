@@ -52,9 +52,9 @@ def version_scheme(tag: Column) -> Column:
 
 
 def newest_by_scheme(tags: DataFrame) -> DataFrame:
-    """repo, scheme, tag: the newest tag of each scheme of a repository, by numbers."""
+    """repo, scheme, tag: the newest tag of each scheme of a repository; releases are newer than what comes before them."""
     told = tags.withColumn("scheme", version_scheme(F.col("tag")))
-    return told.groupBy("repo", "scheme").agg(F.max_by("tag", ft.version_key(F.col("tag"))).alias("tag"))
+    return told.groupBy("repo", "scheme").agg(F.max_by("tag", F.struct(ft.version_order(F.col("tag")), "tag")).alias("tag"))
 
 
 def with_provenance(matches: DataFrame, tier: str, technique: int, scope: str = "on disk", profile: str | None = None) -> DataFrame:

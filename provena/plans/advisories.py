@@ -101,12 +101,16 @@ def coverage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders name a product (status) and version; parts are advisories with ranges. Orders are counted by version first."""
-    version = F.concat_ws(".", (F.col("o_custkey") % 12).cast("string"), (F.col("o_orderkey") % 30).cast("string"))
+    """Orders name a product (status) and version, of two or three numbers or a candidate; parts are advisories with ranges."""
+    number = F.concat_ws(".", (F.col("o_custkey") % 12).cast("string"), (F.col("o_orderkey") % 30).cast("string"))
+    kind = F.col("o_orderkey") % 7
+    version = F.when(kind == 1, F.concat(F.lit("v"), number, F.lit(".0"))).when(kind == 2, F.concat(number, F.lit("-rc"), (F.col("o_custkey") % 3).cast("string"))).when(kind == 3, F.concat(number, F.lit(".0.4"))).otherwise(number)
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("product"), version.alias("version")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+    key = F.col("p_partkey")
     ranges = table(spark, sf_dir, "part").select(
-        F.when(F.col("p_partkey") % 3 == 0, "F").when(F.col("p_partkey") % 3 == 1, "O").otherwise("P").alias("product"), F.col("p_partkey").alias("advisory"),
-        F.concat((F.col("p_partkey") % 12).cast("string"), F.lit(".9")).alias("introduced"), F.when(F.col("p_partkey") % 4 > 0, F.concat((F.col("p_partkey") % 12 + 1).cast("string"), F.lit(".10"))).alias("fixed"),
+        F.when(key % 3 == 0, "F").when(key % 3 == 1, "O").otherwise("P").alias("product"), key.alias("advisory"),
+        F.when(key % 10 > 0, F.concat((key % 12).cast("string"), F.lit(".9"), F.when(key % 2 == 0, ".0").otherwise(""))).alias("introduced"),
+        F.when(key % 4 > 0, F.concat((key % 12 + 1).cast("string"), F.lit(".10"), F.when(key % 5 == 0, "-rc1").otherwise(""))).alias("fixed"),
     )
     found = advisory.version_range_matches(orders, ranges)
     return found.groupBy("advisory").agg(F.sum("n").alias("n_orders"), F.min("least").alias("first_order"))
@@ -137,7 +141,9 @@ SELECT DISTINCT page_id, unnest(regexp_extract_all(t, '\b[A-Za-z_][0-9A-Za-z_]*[
     "cve_extract": f"WITH {_CVES} SELECT user_id, len(ids) AS cve_count, coalesce(array_to_string(ids[1:6], ','), '') AS cves_sample FROM c",
     "ecosystem_counts": "SELECT event_type AS ecosystem, count(*) AS n FROM events GROUP BY 1",
     "coverage_flag": "WITH f AS (SELECT user_id AS component, count(DISTINCT json_extract_string(props, '$.k')) AS n FROM events WHERE event_type = 'error' GROUP BY 1), i AS (SELECT DISTINCT user_id AS component, event_type AS source FROM events) SELECT i.component, source, CASE WHEN source = 'error' THEN coalesce(n, 0) ELSE 0 END AS n, CASE WHEN source = 'error' AND coalesce(n, 0) > 0 THEN 'covered' ELSE '0!' END AS flag FROM i LEFT JOIN f USING (component)",
-    "version_range_match": """WITH o AS (SELECT o_orderkey, o_orderstatus AS product, o_custkey % 12 AS a, o_orderkey % 30 AS b FROM orders),
-r AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS product, p_partkey AS advisory, p_partkey % 12 AS ia, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 12 + 1 END AS fa FROM part)
-SELECT advisory, sum(n)::BIGINT AS n_orders, min(k) AS first_order FROM (SELECT product, a, b, count(*) AS n, min(o_orderkey) AS k FROM o GROUP BY ALL) JOIN r USING (product) WHERE (a > ia OR a = ia AND b >= 9) AND (fa IS NULL OR a < fa OR a = fa AND b < 10) GROUP BY 1""",
+    "version_range_match": """WITH o AS (SELECT o_orderkey, o_orderstatus AS product, CASE WHEN o_orderkey % 7 = 2 THEN [o_custkey % 12, o_orderkey % 30, 0, 0, o_custkey % 3] ELSE [o_custkey % 12, o_orderkey % 30, CASE WHEN o_orderkey % 7 = 3 THEN 4 ELSE 0 END, 1, 0] END AS v FROM orders),
+r AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS product, p_partkey AS advisory, CASE WHEN p_partkey % 10 > 0 THEN [p_partkey % 12, 9, 0, 1, 0] END AS i,
+  CASE WHEN p_partkey % 4 > 0 THEN CASE WHEN p_partkey % 5 = 0 THEN [p_partkey % 12 + 1, 10, 0, 0, 1] ELSE [p_partkey % 12 + 1, 10, 0, 1, 0] END END AS f FROM part)
+SELECT advisory, sum(n)::BIGINT AS n_orders, min(k) AS first_order FROM (SELECT product, v, count(*) AS n, min(o_orderkey) AS k FROM o GROUP BY ALL) JOIN r USING (product) WHERE (i IS NULL OR v >= i) AND (f IS NULL OR v < f) GROUP BY 1""",
+
 }
