@@ -91,7 +91,19 @@ def fingerprint_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_db_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fingerprint_db(spark, sf_dir)[1]
+    return _fingerprint_db(spark, sf_dir)[1].select("tag", "filename", "sha256")
+
+
+def fingerprint_db_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of ten repositories in one database, written as JSON and read back."""
+    rows = _reference(spark, sf_dir).withColumn("repo", F.concat(F.lit("o/"), F.right("tag", F.lit(1))))
+    contents = rows.groupBy("filename", "sha256").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.array(F.max("n")).alias("winnow"))
+    tags = rows.groupBy("tag", "repo", "filename").agg(F.max("sha256").alias("sha256"))
+    path = shared_path(spark, "fingerprints")
+    exchange.write_fingerprint_db(path, None, contents, tags, parts=3)
+    back, told = exchange.read_fingerprint_db(spark, path)
+    held = back.groupBy("filename", "sha256").agg(F.sum(F.size("tags")).alias("n_tags"))
+    return told.join(held, ["filename", "sha256"], "left")
 
 
 def symbol_db(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +385,7 @@ def slot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_scan, tree_scan_root, tree_duplicates, library_layout, fingerprint_db, fingerprint_db_tags, symbol_db, batch_scan_json, advisory_snapshot, near_winners, vote_report, score_report, vote_resolve,
+        tree_scan, tree_scan_root, tree_duplicates, library_layout, fingerprint_db, fingerprint_db_tags, fingerprint_db_repos, symbol_db, batch_scan_json, advisory_snapshot, near_winners, vote_report, score_report, vote_resolve,
         hash_cross_check, hash_cross_check_first, shard_eligibility, line_islands, set_jaccard, winnow_blake2b, normalized_tier, release_metadata, artifact_match, tag_listing, template_fetch, alias_contents, newest_tags,
         version_hints, license_hints, path_hints, member_stems, commit_ranges, release_ranges, discrepancies, tier_profiles, identity_cpe, random_records, slot_sample,
     )
@@ -403,6 +415,7 @@ SQL = {
     "tree_duplicates": f"WITH {_TREE} SELECT filename, path FROM f QUALIFY path <> min(path) OVER (PARTITION BY filename)",
     "library_layout": "SELECT 'sdk' || p_size AS root, lower(p_type) AS toolchain, 'm' || (p_partkey % 5) AS core, 'lib' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '.lib' ELSE '.a' END AS name, p_partkey % 7 = 0 AS late, md5(p_name) AS md5 FROM part",
     "fingerprint_db": f"WITH {_REF}, c AS (SELECT path, filename, sha256, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags, max(n) % 1000 + max(n) AS winnow_sum FROM r GROUP BY ALL), k AS (SELECT filename, count(DISTINCT path) AS n_paths FROM r GROUP BY 1) SELECT 'made/up' AS component, filename, path, sha256, tags, winnow_sum, n_paths FROM c JOIN k USING (filename)",
+    "fingerprint_db_repos": f"WITH {_REF}, n AS (SELECT path, sha256, count(DISTINCT tag) AS n_tags FROM r GROUP BY 1, 2), t AS (SELECT tag, 'o/' || right(tag, 1) AS repo, path, max(sha256) AS sha256 FROM r GROUP BY ALL) SELECT tag, repo, path AS filename, sha256, n_tags FROM t JOIN n USING (path, sha256)",
     "fingerprint_db_tags": f"WITH {_REF} SELECT tag, path AS filename, min(sha256) AS sha256 FROM r GROUP BY ALL",
     "symbol_db": f"WITH {libraries._BASE} SELECT component, release, count(*) AS n_symbols, min(symbol) AS first_symbol, max(symbol) AS last_symbol, 'p[1-9]' AS prefix, 'pkg:generic/' || component AS purl FROM refs GROUP BY 1, 2",
     "batch_scan_json": """WITH m AS (SELECT 's' || l_suppkey AS library, l_returnflag AS component, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS releases, array_to_string(list_sort(list(DISTINCT 'p' || l_partkey))[1:10], ',') AS sample, count(DISTINCT l_partkey) AS n_known FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1, 2),

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINGERPRINT_DB = "repo string, files array<string>, content map<string,map<string,struct<winnow:array<bigint>,tags:array<string>>>>, tags map<string,map<string,string>>"
+#: A tag's entry is read as text: file -> digest in a database of one repository, {repo, files: file -> digest} in one of several.
+FINGERPRINT_DB = "repo string, repos array<string>, files array<string>, content map<string,map<string,struct<winnow:array<bigint>,tags:array<string>>>>, tags map<string,string>"
 SYMBOL_DB = "component string, purl string, license string, vendor string, tag_version_re string, mined_from string, prefix string, header_globs array<string>, releases map<string,array<string>>"
 _MATCH = "struct<component:string,releases:array<string>,known_symbols_sample:array<string>,n_known:bigint>"
 BATCH_SCAN = f"root string, libs_scanned bigint, hits bigint, errors array<struct<library:string,error:string>>, results array<struct<library:string,matches:array<{_MATCH}>>>"
@@ -34,25 +35,49 @@ def _joined(spark: SparkSession, parts: int, *tables: DataFrame) -> DataFrame:
 
 
 def entries(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """part, name: the map key -> value of a part's rows."""
-    return rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), value.alias("v")))).alias(name))
+    """part, name: the map key -> value of a part's rows; rows with a null key have no place in a document and are left out."""
+    return rows.where(F.col(key).isNotNull()).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), value.alias("v")))).alias(name))
 
 
-def write_fingerprint_db(path: str, repo: str, contents: DataFrame, tags: DataFrame, parts: int = 1) -> None:
-    """contents: filename, sha256, winnow, tags; tags: tag, filename, sha256."""
+def write_fingerprint_db(path: str, repo: str | None, contents: DataFrame, tags: DataFrame, parts: int = 1) -> None:
+    """contents: filename, sha256, winnow, tags; tags: tag, filename, sha256, and with no ``repo`` for all of them a repo each.
+
+    A tag that several repositories have is that of the last of them. Rows with a null tag, file or digest are left out.
+    """
     spark = contents.sparkSession
+    contents = contents.where("filename is not null and sha256 is not null")
+    tags = tags.where("tag is not null and filename is not null")
     files = contents.agg(F.array_sort(F.collect_set("filename")).alias("files"))
     by_file = contents.groupBy(part_of(F.col("sha256"), parts), "filename").agg(F.map_from_entries(F.collect_list(F.struct("sha256", F.struct("winnow", "tags")))).alias("m"))
-    by_tag = tags.groupBy(part_of(F.col("tag"), parts), "tag").agg(F.map_from_entries(F.collect_list(F.struct("filename", "sha256"))).alias("m"))
+    part = part_of(F.col("tag"), parts)
+    own = F.map_from_entries(F.collect_list(F.struct("filename", "sha256")))
+    if repo is not None:
+        by_tag, head = tags.groupBy(part, "tag").agg(own.alias("m")), [F.lit(repo).alias("repo")]
+    else:
+        each = tags.groupBy(part, "tag", "repo").agg(own.alias("files"))
+        by_tag = each.groupBy("part", "tag").agg(F.max_by(F.struct("repo", "files"), "repo").alias("m"))
+        files, head = files.crossJoin(tags.agg(F.array_sort(F.collect_set("repo")).alias("repos"))), [F.col("repos")]  # one row each
     docs = _joined(spark, parts, entries(by_file, "filename", F.col("m"), "content"), entries(by_tag, "tag", F.col("m"), "tags")).crossJoin(files)
-    write_documents(docs.select(F.lit(repo).alias("repo"), "files", "content", "tags"), path)
+    write_documents(docs.select(*head, "files", "content", "tags"), path)
 
 
 def read_fingerprint_db(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(contents: repo, filename, sha256, winnow, tags; tags: tag, filename, sha256)."""
+    """(contents: repo, filename, sha256, winnow, tags; tags: tag, filename, sha256, repo).
+
+    Databases of one repository (repo) and of several (repos, where each tag names its own and contents have none) are read
+    alike; a document of any other form is an error.
+    """
     raw = spark.read.schema(FINGERPRINT_DB).json(path, multiLine=True)
+    odd = F.raise_error(F.lit("a fingerprint database has repo, or repos and a repo and files for every tag"))
+    raw = raw.withColumn("repo", F.when(F.col("repo").isNull() == F.col("repos").isNull(), odd).otherwise(F.col("repo")))
     contents = raw.select("repo", F.explode("content").alias("filename", "m")).select("repo", "filename", F.explode("m").alias("sha256", "c")).select("repo", "filename", "sha256", "c.winnow", "c.tags")
-    return contents, raw.select(F.explode("tags").alias("tag", "m")).select("tag", F.explode("m").alias("filename", "sha256"))
+    each = raw.select("repo", F.explode("tags").alias("tag", "e"))
+    plain, named = F.from_json("e", "map<string,string>"), F.from_json("e", "repo string, files map<string,string>")
+    several = F.col("repo").isNull()
+    files = F.when(several, named["files"]).otherwise(plain)
+    sound = F.when(several, named["repo"].isNotNull()).otherwise(~F.exists(F.map_values(plain), lambda x: x.startswith("{") | x.startswith("[")))
+    each = each.select("tag", F.when(several, named["repo"]).otherwise(F.col("repo")).alias("repo"), F.when(F.coalesce(sound & files.isNotNull(), F.lit(False)), files).otherwise(odd).alias("m"))
+    return contents, each.select("tag", F.explode("m").alias("filename", "sha256"), "repo")
 
 
 def write_symbol_db(path: str, refs: DataFrame, meta: DataFrame) -> None:
