@@ -5,9 +5,12 @@ A malformed library or member becomes an error row; a job never fails on it.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -17,57 +20,103 @@ BINDS = {0: "LOCAL", 1: "GLOBAL", 2: "WEAK"}
 TYPES = {0: "NOTYPE", 1: "OBJECT", 2: "FUNC", 3: "SECTION", 4: "FILE", 5: "COMMON", 6: "TLS"}
 EXTERNAL, KINDS = ("GLOBAL", "WEAK"), ("FUNC", "OBJECT", "NOTYPE")
 SYMTAB = 2
+# The header of a member (name, then date, owner, group and mode, then size and an end mark) and its kinds of names.
+HEADER, HEADER_END = struct.Struct("16s32x10s2s"), b"`\n"
+NAME_FIELD = re.compile(rb"(?P<index>(?:/|/SYM64/|__\.SYMDEF.*?) *)|(?P<table>// *)|/(?P<long>\d+) *|#1/(?P<inside>\d+) *|(?P<plain>.*?)/* *", re.DOTALL)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Records of an ELF file: those fields of its head, sections and symbols that are used."""
+
+    head: np.dtype
+    section: np.dtype
+    symbol: np.dtype
+
+
+def _fields(size: int, /, **at: tuple[str, int]) -> np.dtype:
+    return np.dtype({"names": list(at), "formats": [kind for kind, _ in at.values()], "offsets": [place for _, place in at.values()], "itemsize": size})
+
+
+# Where the two classes of little-endian files have these fields.
+LAYOUTS = {
+    b"\x7fELF\x01\x01": Layout(
+        _fields(52, sections=("<u4", 32), section_size=("<u2", 46), n_sections=("<u2", 48)),
+        _fields(40, type=("<u4", 4), place=("<u4", 16), size=("<u4", 20), link=("<u4", 24), each=("<u4", 36)),
+        _fields(16, name=("<u4", 0), info=("u1", 12), section=("<u2", 14)),
+    ),
+    b"\x7fELF\x02\x01": Layout(
+        _fields(64, sections=("<u8", 40), section_size=("<u2", 58), n_sections=("<u2", 60)),
+        _fields(64, type=("<u4", 4), place=("<u8", 24), size=("<u8", 32), link=("<u4", 40), each=("<u8", 56)),
+        _fields(24, name=("<u4", 0), info=("u1", 4), section=("<u2", 6)),
+    ),
+}
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A header's name field and where its body lies."""
+
+    field: bytes
+    body: slice
+
+
+def directory(data: bytes) -> list[Entry]:
+    """All headers of an archive, before any name or body is looked at."""
+    if not data.startswith(AR_MAGIC):
+        raise ValueError("no ar archive")
+    found: list[Entry] = []
+    rest = len(AR_MAGIC)
+    for _ in range(len(data) // HEADER.size):
+        if rest + HEADER.size > len(data):
+            break
+        field, size, mark = HEADER.unpack_from(data, rest)
+        body = slice(rest + HEADER.size, rest + HEADER.size + int(size))
+        if mark != HEADER_END or body.stop > len(data):
+            raise ValueError(f"the member at byte {rest} has {'no sound header' if mark != HEADER_END else 'less data than it says'}")
+        found.append(Entry(field, body))
+        rest = body.stop + body.stop % 2  # bodies begin at even places
+    return found
 
 
 def members(data: bytes) -> Iterator[tuple[str, bytes]]:
     """(name, body) of the members; the symbol index and the table of long names are read, not returned."""
-    if data[:8] != AR_MAGIC:
-        raise ValueError("no ar archive")
-    at, names = 8, b""
-    while at + 60 <= len(data):
-        head = data[at : at + 60]
-        if head[58:] != b"`\n":
-            raise ValueError(f"bad member header at {at}")
-        raw, size = head[:16].decode("latin-1").rstrip(), int(head[48:58])
-        if at + 60 + size > len(data):
-            raise ValueError(f"member at {at} is cut short")
-        body = data[at + 60 : at + 60 + size]
-        at += 60 + size + size % 2
-        if raw == "//":
-            names = body
-        elif raw.startswith("#1/"):
-            n = int(raw[3:])
-            yield body[:n].rstrip(b"\0").decode("utf-8", "replace"), body[n:]
-        elif raw in ("/", "/SYM64/") or raw.startswith("__.SYMDEF"):
-            continue
-        elif raw[:1] == "/" and raw[1:].isdigit():
-            start = int(raw[1:])
-            yield names[start : names.index(b"\n", start)].rstrip(b"/").decode("utf-8", "replace"), body
-        else:
-            yield raw.rstrip("/"), body
+    entries = [(NAME_FIELD.fullmatch(e.field), e.body) for e in directory(data)]
+    tables = [data[where] for kind, where in entries if kind["table"]]
+    long_names = tables[0] if tables else b""
+    for kind, where in entries:
+        match kind.lastgroup:
+            case "long":
+                name = long_names[int(kind["long"]) :].partition(b"\n")[0].rstrip(b"/")
+            case "inside":
+                ahead = int(kind["inside"])
+                name, where = data[where][:ahead].rstrip(b"\0"), slice(where.start + ahead, where.stop)
+            case "plain":
+                name = kind["plain"]
+            case _:
+                continue
+        yield name.decode("utf-8", "replace"), data[where]
+
+
+def _records(body: bytes, kind: np.dtype, place: int, count: int, step: int) -> np.ndarray:
+    """count records of a kind, ``step`` bytes apart."""
+    return np.ndarray(count, kind, body, place, (step,)) if count else np.empty(0, kind)
 
 
 def elf_symbols(body: bytes) -> list[tuple[str, str, str, bool]] | None:
     """(symbol, bind, type, defined) of the symbol table; null for what is no little-endian ELF file."""
-    if body[:4] != b"\x7fELF" or body[5] != 1 or body[4] not in (1, 2):
+    layout = LAYOUTS.get(body[:6])
+    if layout is None:
         return None
-    wide = body[4] == 2
-    offset, entry, count = struct.unpack_from("<Q10xHH", body, 40) if wide else struct.unpack_from("<I10xHH", body, 32)
-    sections = [struct.unpack_from("<IIQQQQIIQQ" if wide else "<10I", body, offset + k * entry) for k in range(count)]
-    out = []
-    for s in sections:
-        if s[1] != SYMTAB:
-            continue
-        start, size, link, each = s[4], s[5], s[6], s[9] or (24 if wide else 16)
-        strings = sections[link][4]
-        for at in range(start, start + size, each):
-            if wide:
-                name, info, _, shndx = struct.unpack_from("<IBBH", body, at)
-            else:
-                name, info, _, shndx = struct.unpack_from("<I8xBBH", body, at)
-            end = body.index(b"\0", strings + name)
-            text = body[strings + name : end].decode("utf-8", "replace")
-            out.append((text, BINDS.get(info >> 4, str(info >> 4)), TYPES.get(info & 15, str(info & 15)), shndx != 0))
+    (head,) = _records(body, layout.head, 0, 1, 1)
+    sections = _records(body, layout.section, int(head["sections"]), int(head["n_sections"]), int(head["section_size"]))
+    out: list[tuple[str, str, str, bool]] = []
+    for table in sections[sections["type"] == SYMTAB]:
+        step = int(table["each"]) or layout.symbol.itemsize
+        found = _records(body, layout.symbol, int(table["place"]), int(table["size"]) // step, step)
+        names = found["name"].astype(np.int64) + int(sections[table["link"]]["place"])
+        for at, bind, kind, defined in zip(names.tolist(), (found["info"] >> 4).tolist(), (found["info"] & 15).tolist(), (found["section"] != 0).tolist()):
+            out.append((body[at : body.index(0, at)].decode("utf-8", "replace"), BINDS.get(bind, str(bind)), TYPES.get(kind, str(kind)), defined))
     return out
 
 
