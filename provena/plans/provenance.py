@@ -26,9 +26,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(reference, targets): doc_id, filename, tag, text."""
     docs = _documents(spark, sf_dir).select("doc_id", F.col("lang").alias("filename"), F.col("source").alias("tag"), "text")
-    end = table(spark, sf_dir, "documents").agg(F.floor(0.6 * (F.max("doc_id") + 1)).alias("end"))
-    told = docs.crossJoin(F.broadcast(end))  # one row
-    return told.where("doc_id < end").drop("end"), told.where("doc_id >= end").drop("end")
+    end = table(spark, sf_dir, "documents").agg(F.floor(0.6 * (F.max("doc_id") + 1)).alias("end")).scalar()
+    return docs.where(F.col("doc_id") < end), docs.where(F.col("doc_id") >= end)
 
 
 def _comma(c) -> F.Column:
@@ -42,7 +41,7 @@ def normalize_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null"))
     return docs.select(F.col("lang").alias("filename"), F.col("source").alias("tag"), ft.sha256_hex(ft.normalize(F.col("text"))).alias("sha256"))
 
 
@@ -130,44 +129,57 @@ def tree_verdict_nofloor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir, None)
 
 
-def _index_and_targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index: hash, md5, line; targets: file, hash; files: file, md5) of the split."""
-    ref, targets = _split(spark, sf_dir)
-    hashes = sketch.winnow(ft.normalize(F.col("text")), hash_name="md5")
-    text = lambda h: F.lower(F.lpad(F.hex(h), 8, "0")).alias("hash")
-    contents = ref.select(F.md5("text").alias("md5"), "text").dropDuplicates(["md5"]).select("md5", F.posexplode(hashes).alias("line", "h"))
-    mine = targets.select(F.col("doc_id").alias("file"), F.explode(hashes).alias("h"))
-    return contents.select(text(F.col("h")), "md5", "line"), mine.select("file", text(F.col("h"))), targets.select(F.col("doc_id").alias("file"), F.md5("text").alias("md5"))
+def _hash_text(h) -> F.Column:
+    return F.lower(F.lpad(F.hex(h), 8, "0")).alias("hash")
+
+
+def _sketch() -> F.Column:
+    return sketch.winnow(ft.normalize(F.col("text")), hash_name="md5")
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    """hash, md5, line of every distinct text."""
+    contents = texts.select(F.md5("text").alias("md5"), "text").dropDuplicates(["md5"])
+    return contents.select("md5", F.posexplode(_sketch()).alias("line", "h")).select(_hash_text(F.col("h")), "md5", "line")
+
+
+def _hashes(files: DataFrame) -> DataFrame:
+    """file, hash."""
+    return files.select(F.col("doc_id").alias("file"), F.explode(_sketch()).alias("h")).select("file", _hash_text(F.col("h")))
+
+
+def _known_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(index: hash, md5, line of all benchmark items; targets: file, hash of all documents)."""
+    docs, items = _documents(spark, sf_dir), table(spark, sf_dir, "benchmark").where("text is not null")
+    return _postings(items), _hashes(docs)
 
 
 def wfp_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _, _ = _index_and_targets(spark, sf_dir)
-    return index.groupBy("hash").agg(F.count("*").alias("n_contents"), F.min("md5").alias("first_md5"))
+    """The index of all documents and benchmark items."""
+    texts = _documents(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "benchmark").where("text is not null").select("text"))
+    return _postings(texts).groupBy("hash").agg(F.count("*").alias("n_contents"), F.min("md5").alias("first_md5"))
 
 
 def wfp_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, mine, _ = _index_and_targets(spark, sf_dir)
+    index, mine = _known_items(spark, sf_dir)
     return vote.winners(vote.votes(mine, index)).select(F.col("file").alias("doc_id"), "md5", "votes", "candidates")
 
 
 def vote_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, mine, _ = _index_and_targets(spark, sf_dir)
+    index, mine = _known_items(spark, sf_dir)
     return vote.histogram(vote.votes(mine, index)).select(F.col("file").alias("doc_id"), "votes", "n")
 
 
-def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, mine, _ = _index_and_targets(spark, sf_dir)
-    return vote.accept(vote.usable(mine, index), vote.winners(vote.votes(mine, index)))
-
-
 def snippet_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _accepted(spark, sf_dir)
+    index, mine = _known_items(spark, sf_dir)
+    found = vote.accept(vote.usable(mine, index), vote.winners(vote.votes(mine, index)))
     return found.select(F.col("file").alias("doc_id"), "md5", "votes", "n_hashes", "usable", F.round("ratio", 6).alias("ratio"), "accepted")
 
 
 def artifact_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, _ = _split(spark, sf_dir)
-    index, mine, files = _index_and_targets(spark, sf_dir)
+    ref, targets = _split(spark, sf_dir)
+    index, mine = _postings(ref), _hashes(targets)
+    files = targets.select(F.col("doc_id").alias("file"), F.md5("text").alias("md5"))
     exact = ref.groupBy(F.md5("text").alias("md5")).agg(F.array_sort(F.collect_set("tag")).alias("release_ids"))
     found = vote.tier_matches(files, exact, vote.accept(vote.usable(mine, index), vote.winners(vote.votes(mine, index))))
     told = verdict.artifact_verdicts(found.withColumn("group", F.expr("file div 8")))
@@ -176,7 +188,7 @@ def artifact_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared against detected licence: the raw text's licence line, and what the source declares."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null"))
     named = F.nullif(F.regexp_extract("text", LICENSE_LINE, 1), F.lit(""))
     declared = F.when(F.col("source").isin("src0", "src1"), "MIT").otherwise("Apache")
     found = docs.select("doc_id", declared.alias("declared"), F.regexp_extract(named, r"^(\w+)", 1).alias("detected")).where("detected is not null and detected <> ''")
@@ -258,14 +270,19 @@ SELECT "group", verdict, coalesce(array_to_string(list_sort(CASE verdict WHEN 'C
   coalesce(array_to_string(list_sort(missing), ','), '') AS missing FROM w"""
 
 
-_VOTES = f"""rm AS (SELECT DISTINCT md5(text) AS k, {_norm('text')} AS t FROM ref),
-tm AS (SELECT doc_id AS k, {_norm('text')} AS t FROM tgt),
+def _votes(index: str, targets: str) -> str:
+    """CTEs: votes, win, use, acc of the targets' hashes in an index of texts."""
+    return f"""rm AS (SELECT DISTINCT md5(text) AS k, {_norm('text')} AS t FROM {index}),
+tm AS (SELECT doc_id AS k, {_norm('text')} AS t FROM {targets}),
 {_winnow('rm', 'ix')}, {_winnow('tm', 'th')},
 votes AS (SELECT th.k AS file, ix.k AS md5, count(*) AS votes FROM th JOIN ix USING (h) GROUP BY 1, 2),
 win AS (SELECT file, arg_min(md5, (-votes, md5)) AS md5, max(votes) AS votes, count(*) AS candidates FROM votes GROUP BY 1),
 use AS (SELECT th.k AS file, count(*) AS n_hashes, count(i.h) AS usable FROM th LEFT JOIN (SELECT DISTINCT h FROM ix) i USING (h) GROUP BY 1),
 acc AS (SELECT file, coalesce(votes, 0) AS votes, n_hashes, usable, coalesce(votes, 0) / n_hashes AS ratio, usable >= 5 AND coalesce(votes, 0) / n_hashes >= 0.5 AS accepted, md5 AS won FROM use LEFT JOIN win USING (file))"""
 
+
+_ITEMS = _votes("(SELECT text FROM benchmark WHERE text IS NOT NULL)", "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)")
+
 SQL = {
     "normalize_hash": f"WITH x AS (SELECT doc_id, text || ' /* of ' || source || ' */' || chr(9) || '// ' || lang AS r FROM documents), y AS (SELECT doc_id, r, {_norm('r')} AS t FROM x) SELECT doc_id, sha256(t) AS sha256, md5(r) AS md5, length(t) AS n_norm FROM y",
     "content_dedup": f"WITH {_HASHED} SELECT filename, sha256, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags, count(DISTINCT tag) AS n_tags FROM h GROUP BY 1, 2",
@@ -276,11 +293,11 @@ SQL = {
     "similarity_topk": f"WITH {_SPLIT}, files AS (SELECT doc_id, filename, {_norm('text')} AS t FROM tgt), {_SIMILAR} SELECT doc_id, rank, tag, round(score, 6) AS score FROM files JOIN best ON best.filename = files.filename AND best.tsha = sha256(t)",
     "tree_verdict": _tree_sql(verdict.FLOOR),
     "tree_verdict_nofloor": _tree_sql(None),
-    "wfp_index": f"WITH {_SPLIT}, {_VOTES} SELECT printf('%08x', h) AS hash, count(*) AS n_contents, min(k) AS first_md5 FROM ix GROUP BY h",
-    "wfp_vote": f"WITH {_SPLIT}, {_VOTES} SELECT file AS doc_id, md5, votes, candidates FROM win",
-    "vote_histogram": f"WITH {_SPLIT}, {_VOTES} SELECT file AS doc_id, votes, count(*) AS n FROM votes GROUP BY 1, 2",
-    "snippet_accept": f"WITH {_SPLIT}, {_VOTES} SELECT file AS doc_id, CASE WHEN accepted THEN won END AS md5, votes, n_hashes, usable, round(ratio, 6) AS ratio, accepted FROM acc",
-    "artifact_verdict": f"""WITH {_SPLIT}, {_VOTES}, ex AS (SELECT md5(text) AS md5, list_sort(list(DISTINCT tag)) AS ids FROM ref GROUP BY 1),
+    "wfp_index": f"WITH rm AS (SELECT DISTINCT md5(text) AS k, {_norm('text')} AS t FROM (SELECT text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT text FROM benchmark) WHERE text IS NOT NULL), {_winnow('rm', 'ix')} SELECT printf('%08x', h) AS hash, count(*) AS n_contents, min(k) AS first_md5 FROM ix GROUP BY h",
+    "wfp_vote": f"WITH {_ITEMS} SELECT file AS doc_id, md5, votes, candidates FROM win",
+    "vote_histogram": f"WITH {_ITEMS} SELECT file AS doc_id, votes, count(*) AS n FROM votes GROUP BY 1, 2",
+    "snippet_accept": f"WITH {_ITEMS} SELECT file AS doc_id, CASE WHEN accepted THEN won END AS md5, votes, n_hashes, usable, round(ratio, 6) AS ratio, accepted FROM acc",
+    "artifact_verdict": f"""WITH {_SPLIT}, {_votes("ref", "tgt")}, ex AS (SELECT md5(text) AS md5, list_sort(list(DISTINCT tag)) AS ids FROM ref GROUP BY 1),
 fm AS (SELECT doc_id // 8 AS "group", CASE WHEN e.ids IS NOT NULL THEN e.ids WHEN a.accepted THEN coalesce(w.ids, []) END AS ids FROM tgt LEFT JOIN ex e ON e.md5 = md5(text) LEFT JOIN acc a ON a.file = doc_id LEFT JOIN ex w ON w.md5 = a.won),
 g AS (SELECT "group", count(ids) AS n_matched, list(ids) FILTER (ids IS NOT NULL) AS sets FROM fm GROUP BY 1),
 i AS (SELECT "group", n_matched, CASE WHEN n_matched = 0 THEN [] ELSE list_sort(list_reduce(sets, lambda a, b: list_intersect(a, b))) END AS ids FROM g)
