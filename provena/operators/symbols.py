@@ -1,15 +1,23 @@
-"""Static libraries by symbol sets: relational division as counts, never as arrays over all releases.
+"""Static libraries by symbol sets: relational division by bitmaps of releases, never by rows of library and release.
 
 Inputs: libs (lib, symbol), refs (component, release, ord, symbol), components (component, prefix).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.session import cut
 
+#: Releases that are shown where none explains all.
+CLOSEST = 5
+
 
 def universe(refs: DataFrame) -> DataFrame:
     return refs.select("component", "symbol").distinct()
@@ -31,24 +39,107 @@ def observed_counts(libs: DataFrame, kept: DataFrame, components: DataFrame) ->
     return seen.groupBy("lib", "component").agg(F.count("*").alias("n_observed")).join(n, ["lib", "component"])
 
 
-def explained(kept: DataFrame, refs: DataFrame) -> DataFrame:
-    """lib, component, release, ord, matched: known symbols that the release has, where there is one."""
-    return kept.join(refs.distinct(), ["component", "symbol"]).groupBy("lib", "component", "release", "ord").agg(F.count("*").alias("matched"))
+def release_table(refs: DataFrame) -> DataFrame:
+    """component, release, ord, place (from 0, in the table's order), size (symbols)."""
+    sizes = refs.select("component", "release", "ord", "symbol").distinct().groupBy("component", "release", "ord").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("component").orderBy("ord", "release")  # the releases of one component
+    return sizes.withColumn("place", F.row_number().over(order) - 1)
+
+
+def symbol_bitmaps(refs: DataFrame, releases: DataFrame, components: DataFrame) -> DataFrame:
+    """component, symbol, prefixed, words: the releases that have a symbol as bits, in words of 64 that are not zero."""
+    at = refs.select("component", "release", "symbol").distinct().join(releases.select("component", "release", "place"), ["component", "release"])
+    words = at.groupBy("component", "symbol", F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place % 64 AS INT))")).alias("bits"))
+    told = words.groupBy("component", "symbol").agg(F.collect_list(F.struct("word", "bits")).alias("words")).join(components, "component")
+    return told.select("component", "symbol", F.expr("symbol rlike concat('^(?:', prefix, ')')").alias("prefixed"), "words")
+
+
+def _rows_and_bits(words: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, 64 bits) of every word of lists of words, of which each belongs to a row."""
+    offsets = words.offsets.to_numpy()
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    word = words.values.field("word").to_numpy(zero_copy_only=False)[lo:hi]
+    bits = np.ascontiguousarray(words.values.field("bits").to_numpy(zero_copy_only=False)[lo:hi], "<i8")
+    return np.repeat(row, np.diff(offsets)), word, np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
 
+def _sums(n: int, n_words: int, row: np.ndarray, word: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many of a row's bitmaps have each bit."""
+    out = np.zeros((n * n_words, 64), np.int32)
+    key = row * n_words + word
+    order = np.argsort(key, kind="stable")
+    if len(order):
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+        out[key[order][starts]] = np.add.reduceat(bits[order], starts, axis=0, dtype=np.int32)
+    return out.reshape(n, n_words * 64)
 
-def _overlaps(libs: DataFrame, refs: DataFrame, components: DataFrame) -> DataFrame:
-    """lib, component, release, ord, matched, unexplained, soft for every release that explains a known symbol.
 
-    One join on the symbol and one aggregation give both counts of a library and a release: common symbols with the
-    prefix (matched) and all common symbols (held; the rest of the release is softly absent).
+def _chosen(unexplained: np.ndarray, matched: np.ndarray, soft: np.ndarray, there: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of the releases that a mode returns, fewest unexplained symbols) of each row."""
+    far = np.iinfo(np.int32).max
+    open_ = np.where(there & (matched > 0) if mode == "fold" else there, unexplained, far)
+    least = open_.min(1)
+    if mode == "strict":
+        return open_ == 0, least
+    mask = open_ == least[:, None]
+    fewest = np.where(mask, soft, far).min(1)
+    narrow = mask & (soft == fewest[:, None])
+    if mode == "fold":
+        return narrow, least
+    closest = np.zeros_like(mask)
+    np.put_along_axis(closest, np.argsort(open_, axis=1, kind="stable")[:, :CLOSEST], True, axis=1)
+    return np.where(least[:, None] == 0, narrow, closest & there), least
+
+
+def _divide(mode: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            most = max(pc.max(pc.list_value_length(whole.column("sizes"))).as_py() or 1, 1) if whole.num_rows else 1
+            n_words = -(-most // 64)
+            step = max(1, (1 << 20) // (64 * n_words))
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                n, held, sizes = batch.num_rows, batch.column("held"), batch.column("sizes")
+                offsets = held.offsets.to_numpy()
+                entries = held.values.slice(offsets[0], offsets[-1] - offsets[0])
+                row = np.repeat(np.arange(n), np.diff(offsets))
+                prefixed = entries.field("prefixed").to_numpy(zero_copy_only=False)
+                of, word, bits = _rows_and_bits(entries.field("words"), row)
+                own = np.repeat(prefixed, pc.list_value_length(entries.field("words")).to_numpy(zero_copy_only=False))
+                all_held = _sums(n, n_words, of, word, bits)
+                matched = all_held if prefixed.all() else _sums(n, n_words, of[own], word[own], bits[own])
+                length = pc.list_value_length(sizes).to_numpy(zero_copy_only=False)
+                there = np.arange(64 * n_words) < length[:, None]
+                size = np.zeros(there.shape, np.int64)
+                size[there] = sizes.flatten().to_numpy(zero_copy_only=False)
+                known_ = np.bincount(row, weights=prefixed, minlength=n).astype(np.int64)
+                unexplained = known_[:, None] - matched
+                soft = size - all_held
+                mask, least = _chosen(unexplained, matched, soft, there, mode)
+                at, place = np.nonzero(mask)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
+                found = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(unexplained[mask], pa.int64()), pa.array(soft[mask], pa.int64())], ["place", "unexplained", "soft"])
+                columns = {"lib": batch.column("lib"), "component": batch.column("component"), "least": pa.array(least, pa.int64()), "found": pa.ListArray.from_arrays(ends, found)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _divided(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """(lib, component, least, found: array of place, unexplained, soft; releases): a row for a library and a component.
+
+    A library meets the bitmap of each of its symbols, once for each component that has it: no row for a library and a
+    release is made. Bits are added up within the row, which holds one library's symbols.
     """
-    refs = refs.select("component", "release", "ord", "symbol").distinct()
-    size = refs.groupBy("component", "release").agg(F.count("*").alias("size"))
-    common = libs.select("lib", "symbol").distinct().join(refs, "symbol").join(components, "component")
-    counts = common.groupBy("lib", "component", "release", "ord").agg(F.count_if(F.expr("symbol rlike concat('^(?:', prefix, ')')")).alias("matched"), F.count("*").alias("held"))
-    n = known(libs, refs, components).groupBy("lib", "component").agg(F.count("*").alias("n_known"))
-    told = counts.where("matched > 0").join(n, ["lib", "component"]).join(size, ["component", "release"])
-    return told.select("lib", "component", "release", "ord", "n_known", (F.col("n_known") - F.col("matched")).alias("unexplained"), (F.col("size") - F.col("held")).alias("soft"))
+    releases = release_table(refs)
+    bitmaps = symbol_bitmaps(refs, releases, components)
+    met = libs.select("lib", "symbol").distinct().join(bitmaps, "symbol")
+    rows = met.groupBy("lib", "component").agg(F.collect_list(F.struct("words", "prefixed")).alias("held"), F.max("prefixed").alias("some")).where("some").drop("some")
+    sizes = releases.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "size"))), lambda x: x["size"]).alias("sizes"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    told = rows.join(sizes, "component").select("lib", "component", "held", "sizes")
+    schema = f"lib {kinds['lib']}, component {kinds['component']}, least long, found array<struct<place:int,unexplained:bigint,soft:bigint>>"
+    return told.mapInArrow(_divide(mode), schema), releases
 
 
 def window(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str = "fold") -> DataFrame:
@@ -58,28 +149,21 @@ def window(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str =
     strict: releases that explain all known symbols.
     rank: the strict ones with the fewest soft absences, else the five closest (order of the table on ties).
     """
-    told = _overlaps(libs, refs, components)
-    pair = Window.partitionBy("lib", "component")
-    if mode == "strict":
-        return told.where("unexplained = 0").drop("n_known").withColumn("kind", F.lit("consistent"))
-    if mode == "rank":
-        # releases that explain nothing count as well: the closest five may need them where fewer explain something
-        few = told.groupBy("lib", "component").agg(F.count("*").alias("m"), F.max("n_known").alias("n_known"), F.min("unexplained").alias("least")).where("m < 5 and least > 0")
-        sets = refs.select("component", "release", "ord", "symbol").distinct()
-        all_ = sets.groupBy("component", "release", "ord").agg(F.count("*").alias("size"))
-        zero = few.join(all_, "component").join(told.select("lib", "component", "release"), ["lib", "component", "release"], "left_anti")
-        held = libs.select("lib", "symbol").distinct().join(sets, "symbol").groupBy("lib", "component", "release").agg(F.count("*").alias("held"))
-        zero = zero.join(held, ["lib", "component", "release"], "left")
-        told = told.unionByName(zero.select("lib", "component", "release", "ord", "n_known", F.col("n_known").alias("unexplained"), (F.col("size") - F.coalesce("held", F.lit(0))).alias("soft")))
-    told = told.withColumn("least", F.min("unexplained").over(pair))
-    kind = F.when(F.col("least") == 0, "consistent").otherwise(F.concat(F.lit("closest (+"), F.col("least"), F.lit(" unexplained)")))
-    if mode == "rank":
-        told = told.withColumn("place", F.row_number().over(pair.orderBy("unexplained", "ord"))).where("least = 0 and unexplained = 0 or least > 0 and place <= 5").drop("place")
-    else:
-        told = told.where("unexplained = least")
-    told = told.withColumn("kind", kind).withColumn("fewest", F.min("soft").over(pair))
-    kept = told.where((F.col("soft") == F.col("fewest")) | (F.col("least") > 0) & F.lit(mode == "rank"))
-    return kept.drop("n_known", "least", "fewest")
+    found, releases = _divided(libs, refs, components, mode)
+    told = found.select("lib", "component", "least", F.inline("found")).join(releases.select("component", "place", "release", "ord"), ["component", "place"])
+    closest = F.concat(F.lit("closest (+"), F.col("least"), F.lit(" unexplained)"))
+    return told.select("lib", "component", "release", "ord", "unexplained", "soft", F.when(F.col("least") == 0, "consistent").otherwise(closest).alias("kind"))
+
+
+def spans(libs: DataFrame, refs: DataFrame, components: DataFrame) -> DataFrame:
+    """lib, component, n_releases, first_release, last_release of the strict window, a row for each that has one.
+
+    The first and the last place of the bits name the range, so its releases are never listed.
+    """
+    found, releases = _divided(libs, refs, components, "strict")
+    told = found.where(F.size("found") > 0).select("lib", "component", F.size("found").cast("long").alias("n_releases"), F.element_at("found", 1)["place"].alias("a"), F.element_at("found", -1)["place"].alias("b"))
+    first, last = (releases.select("component", F.col("place").alias(x), F.col("release").alias(name)) for x, name in (("a", "first_release"), ("b", "last_release")))
+    return told.join(first, ["component", "a"]).join(last, ["component", "b"]).select("lib", "component", "n_releases", "first_release", "last_release")
 
 
 def span(rows: DataFrame) -> DataFrame:
@@ -102,12 +186,11 @@ def discriminating(refs: DataFrame) -> DataFrame:
 
 def batch_scan(libs: DataFrame, refs: DataFrame, components: DataFrame, shown: int = 10) -> DataFrame:
     """lib, component, n_observed, n_known, n_unknown, known_sample, n_consistent, first_release, last_release."""
-    kept = cut(known(libs, refs, components), "known-symbols")  # read four times; its rows are distinct
+    kept = cut(known(libs, refs, components), "known-symbols")  # read three times; its rows are distinct
     counts = observed_counts(libs, kept, components)
     first = F.row_number().over(Window.partitionBy("lib", "component").orderBy("symbol"))
     sample = kept.withColumn("_n", first).where(F.col("_n") <= shown).groupBy("lib", "component").agg(F.array_sort(F.collect_list("symbol")).alias("known_sample"))
-    strict = explained(kept, refs).join(counts.select("lib", "component", "n_known"), ["lib", "component"]).where("matched = n_known")
-    strict = span(strict).withColumnRenamed("n_releases", "n_consistent")
+    strict = spans(libs, refs, components).withColumnRenamed("n_releases", "n_consistent")
     out = counts.join(sample, ["lib", "component"]).join(strict, ["lib", "component"], "left")
     return out.select("lib", "component", "n_observed", "n_known", (F.col("n_observed") - F.col("n_known")).alias("n_unknown"), "known_sample", F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), "first_release", "last_release")
 

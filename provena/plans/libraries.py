@@ -45,7 +45,7 @@ def symbol_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.span(symbols.window(*_inputs(spark, sf_dir), "strict"))
+    found = symbols.spans(*_inputs(spark, sf_dir))
     return found.withColumn("shown", symbols.show_span(F.col("first_release"), F.col("last_release"), F.col("n_releases")))
 
 
