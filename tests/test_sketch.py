@@ -105,3 +105,27 @@ def test_small_functions(spark):
 @pytest.mark.parametrize("tag,inside", [("v2.28.1", True), ("mbedtls-3.6.0", True), ("2.1.0.4", True), ("v1.3.0", False), ("v3.6.0-rc1", False), ("v3.6", False)])
 def test_release_scope(spark, tag, inside):
     assert one(spark, ft.in_release_scope(F.col("t")), t=tag) is inside
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é漢😀", max_size=300)), max_size=12))
+def test_winnow_of_many_texts_is_that_of_each(texts):
+    for got, text in zip(sketch.winnow_texts(texts, hash_name="md5"), texts, strict=True):
+        assert got.tolist() == sketch.winnow_text(text, hash_name="md5").tolist()
+
+
+def test_md5_of_a_batch():
+    raw = random.Random(0).randbytes(60_000)
+    start = np.arange(0, 50_000)
+    size = np.array([i % 71 for i in range(50_000)])
+    want = [int.from_bytes(hashlib.md5(raw[i : i + n]).digest()[:4], "big") for i, n in zip(start.tolist(), size.tolist())]
+    assert sketch.md5_firsts(np.frombuffer(raw, np.uint8), start, size).tolist() == want
+
+
+def test_md5_grams_are_hashed_together(monkeypatch):
+    """No call of a hash for each gram: that took most of the seconds of all winnowing queries."""
+    calls = []
+    monkeypatch.setattr(sketch, "_md5", lambda g: calls.append(g) or 0)
+    monkeypatch.setitem(sketch.HASHES, "md5", sketch._md5)
+    sketch.winnow_texts(["some words of a text that is longer than a gram " * 50] * 3, hash_name="md5")
+    assert not calls
