@@ -49,6 +49,37 @@ def test_similar_keeps_candidates_without_overlap(spark):
         assert sorted(got.get(t, [])) == want
 
 
+def test_similar_with_common_hashes(spark):
+    rng = random.Random(1)
+
+    def some(n):
+        """Half of the hashes are among ten that most contents hold, some among passages, the rest are rare."""
+        return sorted({int(rng.random() ** 2 * 10) for _ in range(rng.randint(0, n))} | {20 + 5 * rng.randint(0, 3) + i for i in range(rng.choice([0, 0, 3, 5]))} | {rng.randint(50, 400) for _ in range(rng.randint(0, n))})
+
+    contents = [("f" if i % 3 else "g", f"s{i:03}", some(6), sorted(rng.sample([f"t{j}" for j in range(9)], rng.randint(1, 3)))) for i in range(240)]
+    targets = [(f"x{i}", rng.choice("fgh"), some(5)) for i in range(90)]
+    c = spark.createDataFrame(contents, "filename string, sha256 string, winnow array<long>, tags array<string>")
+    t = spark.createDataFrame(targets, "target string, filename string, winnow array<long>")
+    for often, masked in ((2, 3), (8, 8), (20, 0)):
+        match.MASKED, before = masked, match.MASKED
+        try:
+            got = {}
+            for r in match.similar(t, c, often=often).collect():
+                got.setdefault(r.target, []).append((r["rank"], r.sha256, r.tag, r.inter, r.uni))
+        finally:
+            match.MASKED = before
+        for name, f, w in targets:
+            cand = [(-len(set(w) & set(sk)) / len(set(w) | set(sk)), [-ord(x) for x in tag], sha, tag, len(set(w) & set(sk)), len(set(w) | set(sk))) for g, sha, sk, tags in contents if f == g and (w or sk) for tag in tags]
+            assert sorted(got.get(name, [])) == [(k, *x[2:]) for k, x in enumerate(sorted(cand)[:5], 1)]
+
+
+def test_a_hash_of_all_contents_pairs_no_contents(spark):
+    """A passage in every text made a row for each target and content."""
+    c = spark.range(300).select(F.col("id").alias("c"), F.lit("f").alias("filename"), F.array(F.lit(7), F.lit(8), 1000 + F.col("id")).cast("array<long>").alias("winnow"))
+    t = spark.range(200).select(F.col("id").alias("t"), F.lit("f").alias("filename"), F.array(F.lit(7), F.lit(8), 1100 + F.col("id")).cast("array<long>").alias("winnow"))
+    assert match.rare_pairs(t, c, match.common_hashes(c, match.OFTEN)).count() == 200
+
+
 def test_first_file_and_reference_tables(spark):
     files = spark.createDataFrame([("g", "a.c", "z/a.c", 1), ("g", "a.c", "b/a.c", 2), ("g", "b.c", "b.c", 3)], "group string, filename string, path string, n int")
     assert sorted((r.filename, r.n) for r in verdict.first_file(files).collect()) == [("a.c", 2), ("b.c", 3)]
