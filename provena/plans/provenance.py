@@ -145,15 +145,17 @@ def _postings(texts: DataFrame) -> DataFrame:
     return contents.select("md5", F.posexplode(_sketch()).alias("line", "h")).select(_hash_text(F.col("h")), "md5", "line")
 
 
-def _hashes(files: DataFrame) -> DataFrame:
-    """file, hash."""
-    return files.select(F.col("doc_id").alias("file"), F.explode(_sketch()).alias("h")).select("file", _hash_text(F.col("h")))
+def _known_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index: hash, md5, line of all benchmark items; sketches: file, hashes of all documents; targets: file, hash, those in the index).
 
-
-def _known_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(index: hash, md5, line of all benchmark items; targets: file, hash of all documents)."""
+    Index and sketches are tables: a text is sketched once, and only hashes that the index has become rows.
+    """
     docs, items = _documents(spark, sf_dir), table(spark, sf_dir, "benchmark").where("text is not null")
-    return _postings(items), _hashes(docs)
+    index = cut(_postings(items), "item-index")
+    mine = docs.select(F.col("doc_id").alias("file"), _sketch().alias("hashes"))
+    mine = cut(mine.groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes")), "document-sketches")
+    rows = mine.select("file", F.explode("hashes").alias("h")).select("file", _hash_text(F.col("h")))
+    return index, mine, rows.join(index.select("hash").distinct(), "hash", "left_semi")
 
 
 def wfp_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,19 +165,26 @@ def wfp_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wfp_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, mine = _known_items(spark, sf_dir)
-    return vote.winners(vote.votes(mine, index)).select(F.col("file").alias("doc_id"), "md5", "votes", "candidates")
+    with scratch() as keep:
+        index, _, mine = _known_items(spark, sf_dir)
+        found = vote.winners(vote.votes(mine, index)).select(F.col("file").alias("doc_id"), "md5", "votes", "candidates")
+        return keep(cut(found, "winners"))
 
 
 def vote_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, mine = _known_items(spark, sf_dir)
-    return vote.histogram(vote.votes(mine, index)).select(F.col("file").alias("doc_id"), "votes", "n")
+    with scratch() as keep:
+        index, _, mine = _known_items(spark, sf_dir)
+        return keep(cut(vote.histogram(vote.votes(mine, index)).select(F.col("file").alias("doc_id"), "votes", "n"), "vote-histogram"))
 
 
 def snippet_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, mine = _known_items(spark, sf_dir)
-    found = vote.accept(vote.usable(mine, index), vote.winners(vote.votes(mine, index)))
-    return found.select(F.col("file").alias("doc_id"), "md5", "votes", "n_hashes", "usable", F.round("ratio", 6).alias("ratio"), "accepted")
+    with scratch() as keep:
+        index, sketches, mine = _known_items(spark, sf_dir)
+        known = vote.usable(mine, index).select("file", "usable")
+        counts = sketches.select("file", F.size("hashes").cast("long").alias("n_hashes")).where("n_hashes > 0").join(known, "file", "left")
+        found = vote.accept(counts.withColumn("usable", F.coalesce("usable", F.lit(0))), vote.winners(vote.votes(mine, index)))
+        told = found.select(F.col("file").alias("doc_id"), "md5", "votes", "n_hashes", "usable", F.round("ratio", 6).alias("ratio"), "accepted")
+        return keep(cut(told, "snippets"))
 
 
 def artifact_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,27 @@ def test_a_hash_of_all_contents_pairs_no_contents(spark):
     assert match.rare_pairs(t, c, match.common_hashes(c, match.OFTEN)).count() == 200
 
 
+def test_documents_are_sketched_once_for_votes(spark, tmp_path):
+    """The vote queries sketched every document for each use, and sent hashes to the vote that no item has."""
+    from provena.functions.sketch import winnow_text
+    from provena.plans import provenance
+
+    rng = random.Random(3)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    items = [(i, some(30)) for i in range(5)]
+    docs = [(k, some(20) + " " + items[k % 5][1] if k % 3 else some(25)) for k in range(12)] + [(3, items[0][1]), (50, ""), (51, None)]
+    docs = [(k, t, "en", "src0", 0) for k, t in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = provenance.snippet_accept(spark, str(tmp_path))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    known, want = [set(winnow_text(t, hash_name="md5").tolist()) for _, t in items], {}
+    for k, t, *_ in docs:
+        want.setdefault(k, set()).update(winnow_text(t, hash_name="md5").tolist())
+    want = {k: (max(len(h & x) for x in known), len(h), len(h & set().union(*known))) for k, h in want.items() if h}
+    assert {r.doc_id: (r.votes, r.n_hashes, r.usable) for r in found.collect()} == want
+
+
 def test_first_file_and_reference_tables(spark):
     files = spark.createDataFrame([("g", "a.c", "z/a.c", 1), ("g", "a.c", "b/a.c", 2), ("g", "b.c", "b.c", 3)], "group string, filename string, path string, n int")
     assert sorted((r.filename, r.n) for r in verdict.first_file(files).collect()) == [("a.c", 2), ("b.c", 3)]
