@@ -145,6 +145,23 @@ def test_trees(spark, tmp_path):
     assert sorted((r.filename, r.text) for r in whole.collect()) == [("list.c", "one"), ("queue.c", "q")]
 
 
+def test_trees_are_listed_by_executors(spark, tmp_path):
+    """The driver listed all files, and was sent all their paths."""
+    for p in ("t/a/x.c", "t/a/deep/er/y.c", "t/a b#1?/x.c", "t/z.lib", "t/.git/x.c", "t/_x.c", "t/a/x.h"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    (tmp_path / "t/none").mkdir()
+    for glob in (None, "*.c", "*.{c,lib}", "?.[ch]"):
+        for root in (f"{tmp_path}/t", f"file:{tmp_path}/t/", f"file://{tmp_path}/t"):
+            want = {(r.path, bytes(r.content)) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob or "*").load(root).collect()}
+            assert {(r.path, bytes(r.content)) for r in tree.read_files(spark, root, glob).collect()} == want
+    assert {r.filename for r in tree.read_files(spark, f"{tmp_path}/t", names=["y.c"]).collect()} == {"y.c"}
+    assert tree.read_files(spark, f"{tmp_path}/t/a/x.c").count() == 1
+    found = tree.list_files(spark, f"{tmp_path}/t", "*.c")
+    assert found.inputFiles() and not any(x.endswith(".c") for x in found.inputFiles())
+    assert tree.list_files(spark, f"{tmp_path}/t/none").count() == 0
+
+
 def test_artifacts(spark, tmp_path):
     release = {"vendor": "v", "component": "c", "version": "1", "date": "d", "license": "MIT", "purl": "p", "url": "u"}
     old = {"releases": {"r1": release}, "files": {"m1": {"releases": ["r1"], "path": "a.c"}}, "wfp": {"0000000a": [{"md5": "m1", "line": 3}]}}
