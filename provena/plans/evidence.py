@@ -51,7 +51,7 @@ def tree_scan_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that the scan of the whole tree leaves out."""
-    files = tree.read_files(spark, _tree(spark, sf_dir), "*.c").where(F.col("filename").isin(TRACKED)).select(F.lit("").alias("group"), "filename", "path")
+    files = tree.list_files(spark, _tree(spark, sf_dir), "*.c").where(F.col("filename").isin(TRACKED)).select(F.lit("").alias("group"), "filename", "path")
     return verdict.duplicate_files(files).select("filename", F.regexp_extract("path", r"(t\d+/[^/]+)$", 1).alias("path"))
 
 
