@@ -161,7 +161,11 @@ def _known_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def wfp_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents and benchmark items."""
     texts = _documents(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "benchmark").where("text is not null").select("text"))
-    return _postings(texts).groupBy("hash").agg(F.count("*").alias("n_contents"), F.min("md5").alias("first_md5"))
+    contents = texts.select(F.md5("text").alias("md5"), "text").dropDuplicates(["md5"])
+    # numbers and bytes, half as long as their text and in the same order
+    rows = contents.select(F.unhex("md5").alias("md5"), F.explode(_sketch()).alias("h"))
+    found = rows.groupBy("h").agg(F.count("*").alias("n_contents"), F.min("md5").alias("md5"))
+    return found.select(_hash_text(F.col("h")), "n_contents", F.lower(F.hex("md5")).alias("first_md5"))
 
 
 def wfp_vote(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,16 @@ def test_documents_are_sketched_once_for_votes(spark, tmp_path):
     assert {r.doc_id: (r.votes, r.n_hashes, r.usable) for r in found.collect()} == want
 
 
+def test_the_index_moves_numbers_not_text(spark):
+    """wfp_index sent every hash and every MD5 as hexadecimal text."""
+    from provena.plans import provenance
+
+    found = provenance.wfp_index(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(h#" in plan and "hashpartitioning(hash#" not in plan
+    assert found.where("hash rlike '^[0-9a-f]{8}$' and first_md5 rlike '^[0-9a-f]{32}$' and n_contents > 0").count() == found.count() > 0
+
+
 def test_first_file_and_reference_tables(spark):
     files = spark.createDataFrame([("g", "a.c", "z/a.c", 1), ("g", "a.c", "b/a.c", 2), ("g", "b.c", "b.c", 3)], "group string, filename string, path string, n int")
     assert sorted((r.filename, r.n) for r in verdict.first_file(files).collect()) == [("a.c", 2), ("b.c", 3)]
