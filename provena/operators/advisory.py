@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.functions import text as ft
@@ -47,8 +49,8 @@ def _places(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy("order")) - 1)
 
 
-def version_range_matches(releases: DataFrame, ranges: DataFrame) -> DataFrame:
-    """releases: product, version; ranges: product, advisory, introduced (null: from the first), fixed (excluded; null: open).
+def _met_ranges(releases: DataFrame, ranges: DataFrame) -> DataFrame:
+    """_p, version, _in, _out: every different version of a product with every different range of it that holds it.
 
     Versions compare as `version_order` says, so 2.28.10 follows 2.28.8, 2.28 is 2.28.0 and 3.6.0-rc1 comes before 3.6.0;
     those without a digit match nothing. A product's different versions and bounds are ranked. A range of ranks is
@@ -73,9 +75,33 @@ def version_range_matches(releases: DataFrame, ranges: DataFrame) -> DataFrame:
     stretches = up.select("product", "introduced", "fixed", "level", F.explode(ends).alias("stretch"))
     placed = met(v.withColumnRenamed("order", "own"), "own").join(size, "product").withColumn("level", F.explode(F.expr(levels)))
     placed = placed.select("product", "version", "level", F.expr("own_place DIV shiftleft(1L, level)").alias("stretch"))
-    told = placed.join(stretches, ["product", "level", "stretch"]).select(F.col("product").alias("_p"), "version", F.col("introduced").alias("_in"), F.col("fixed").alias("_out"))
-    named = told.join(ranges, (F.col("_p") == F.col("product")) & F.col("_in").eqNullSafe(F.col("introduced")) & F.col("_out").eqNullSafe(F.col("fixed")))
-    return releases.join(named.drop("_p", "_in", "_out"), ["product", "version"])
+    return placed.join(stretches, ["product", "level", "stretch"]).select(F.col("product").alias("_p"), "version", F.col("introduced").alias("_in"), F.col("fixed").alias("_out"))
+
+
+def _named(met: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The advisories of ranges that are told by _p, _in and _out."""
+    same = (F.col("_p") == F.col("product")) & F.col("_in").eqNullSafe(F.col("introduced")) & F.col("_out").eqNullSafe(F.col("fixed"))
+    return met.join(ranges, same).drop("_in", "_out")
+
+
+def version_range_matches(releases: DataFrame, ranges: DataFrame) -> DataFrame:
+    """releases: product, version; ranges: product, advisory, introduced (null: from the first), fixed (excluded; null: open).
+
+    A row for every release and advisory that match; versions compare as `_met_ranges` says.
+    """
+    return releases.join(_named(_met_ranges(releases, ranges), ranges).drop("_p"), ["product", "version"])
+
+
+def version_range_totals(releases: DataFrame, ranges: DataFrame, **totals: Callable[[str], Column]) -> DataFrame:
+    """advisory and totals over all its matches, advisories without a match left out: what grouping version_range_matches gives.
+
+    A total names a column of releases and is an aggregate that may be taken of its own results (sum, min, max). It is taken for
+    each different range before advisories are joined, so that no row is made for a release and an advisory.
+    """
+    met = _met_ranges(releases, ranges).withColumnRenamed("version", "_v")
+    held = releases.join(met, (F.col("product") == F.col("_p")) & (F.col("version") == F.col("_v")))
+    sums = held.groupBy("_p", "_in", "_out").agg(*[of(c).alias(c) for c, of in totals.items()])
+    return _named(sums, ranges).groupBy("advisory").agg(*[of(c).alias(c) for c, of in totals.items()])
 
 
 def identity_to_cpe(components: DataFrame, mapping: DataFrame) -> DataFrame:

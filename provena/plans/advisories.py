@@ -112,8 +112,7 @@ def version_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 > 0, F.concat((key % 12).cast("string"), F.lit(".9"), F.when(key % 2 == 0, ".0").otherwise(""))).alias("introduced"),
         F.when(key % 4 > 0, F.concat((key % 12 + 1).cast("string"), F.lit(".10"), F.when(key % 5 == 0, "-rc1").otherwise(""))).alias("fixed"),
     )
-    found = advisory.version_range_matches(orders, ranges)
-    return found.groupBy("advisory").agg(F.sum("n").alias("n_orders"), F.min("least").alias("first_order"))
+    return advisory.version_range_totals(orders, ranges, n=F.sum, least=F.min).select("advisory", F.col("n").alias("n_orders"), F.col("least").alias("first_order"))
 
 
 QUERIES = {

@@ -52,3 +52,21 @@ def test_no_pair_is_made_in_vain(spark):
     assert advisory.version_range_matches(releases, ranges).count() == 0
     wide = spark.createDataFrame([("p", "W", "1.10", "1.20")], "product string, advisory string, introduced string, fixed string")
     assert advisory.version_range_matches(releases, wide).count() == 5
+
+
+def test_totals_make_no_row_for_a_release_and_an_advisory(spark):
+    """Advisories with one range share its totals; every row of a release and an advisory took an hour in one task at scale."""
+    releases = spark.range(300).selectExpr("'p' AS product", "concat('1.', id % 100) AS version", "id AS n")
+    ranges = spark.range(2000).selectExpr("'p' AS product", "id % 1900 AS advisory", "if(id % 3 = 0, null, concat('1.', id % 7)) AS introduced", "if(id % 2 = 0, null, '1.50') AS fixed")
+    totals = advisory.version_range_totals(releases, ranges, n=F.sum)
+    want = advisory.version_range_matches(releases, ranges).groupBy("advisory").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, want.collect())) and totals.count() == 1900
+
+    def rows(plan):
+        plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan
+        plan = plan.plan() if hasattr(plan, "plan") and "QueryStage" in plan.nodeName() else plan
+        n = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+        children = plan.children()
+        return n + [x for i in range(children.size()) for x in rows(children.apply(i))]
+
+    assert max(rows(totals._jdf.queryExecution().executedPlan())) <= 20_000
