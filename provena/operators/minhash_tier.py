@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.session import cut
+
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.95, 128
 #: Sets in a band from which on its pairs are found by rare shingles.
 CROWD = 32
 _EPS = 1e-9
+SEED = 42
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: How many shingles are hashed together.
+_AT_ONCE = 1 << 15
 
 
 def shingle_set(text: Column, words: int = SHINGLE) -> Column:
@@ -38,12 +48,47 @@ def distinct_sets(files: DataFrame) -> DataFrame:
     return told.groupBy("node").agg(F.min("file").alias("file"), F.count("*").alias("n_files"), F.any_value("shingles").alias("shingles"))
 
 
+def _set_bands(n_bands: int, rows: int):
+    """The band keys of each set; a batch's sets are hashed together, one hash function at a time."""
+    seeds, odd = np.random.default_rng(SEED).integers(0, 1 << 64, (2, n_bands * rows), np.uint64)
+    odd |= np.uint64(1)
+
+    def keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.empty((len(starts), n_bands), np.uint64)
+        for b in range(n_bands):
+            key = np.full(len(starts), b + 1, np.uint64)
+            for i in range(b * rows, (b + 1) * rows):
+                key ^= np.minimum.reduceat((h ^ seeds[i]) * odd[i], starts)
+                key *= _MIX
+                key ^= key >> np.uint64(29)
+            out[:, b] = key
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lo, ends = 0, whole.column("shingles").offsets.to_numpy().astype(np.int64)
+            while lo < whole.num_rows:
+                hi = max(int(np.searchsorted(ends, ends[lo] + _AT_ONCE, "right")) - 1, lo + 1)
+                batch = whole.slice(lo, hi - lo)
+                h = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                found = keys(h, ends[lo:hi] - ends[lo]).view(np.int64)
+                at = pa.array(np.arange(0, found.size + 1, n_bands), pa.int32())
+                n = pa.array(np.diff(ends[lo : hi + 1]), pa.int32())
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "n": n, "bands": pa.ListArray.from_arrays(at, pa.array(found.ravel()))})
+                lo = hi
+
+    return run
+
+
+def set_bands(sets: DataFrame, n_bands: int, rows: int) -> DataFrame:
+    """node, n (the size of the set), bands (a hash of each band's number and minima): no row for a shingle is made."""
+    kind = sets.schema["node"].dataType.simpleString()
+    return sets.where("size(shingles) > 0").select("node", "shingles").mapInArrow(_set_bands(n_bands, rows), f"node {kind}, n int, bands array<long>")
+
+
 def band_keys(sets: DataFrame, n_bands: int, rows: int) -> DataFrame:
-    """node, n, band (hash of the band's number and minima), n the size of the set. Minima are taken before any exchange."""
-    one = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    minima = one.groupBy("node", "n").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(n_bands * rows)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(n_bands)]
-    return minima.select("node", "n", F.explode(F.array(*keys)).alias("band"))
+    """node, n, band: set_bands, a row for each band."""
+    return set_bands(sets, n_bands, rows).select("node", "n", F.explode("bands").alias("band"))
 
 
 def _close(a: Column, b: Column, threshold: float) -> Column:
@@ -74,7 +119,8 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float =
     which finds all its similar pairs and does not pair sets for what all of them hold.
     """
     n_bands, rows = bands(threshold, recall, most)
-    keys = band_keys(sets, n_bands, rows)
+    # a table of a row for each set, read twice
+    keys = cut(set_bands(sets, n_bands, rows), "set-bands").select("node", "n", F.explode("bands").alias("band"))
     counts = keys.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1")
     told = keys.join(counts, "band")
     plain = _pairs(told.where(F.col("crowd") <= crowd), "band", threshold)
