@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: One edit is allowed for so many characters of the longer digest.
@@ -14,8 +14,18 @@ def distinct_digests(files: DataFrame) -> DataFrame:
     return files.groupBy("size", "digest").agg(F.min("file").alias("first"), F.count_distinct("file").alias("n_files"))
 
 
+def _id(name: str = "id") -> Column:
+    """A digest as a number. Segments and pairs go as two numbers; digests of one number are told apart when they are compared."""
+    return F.xxhash64("size", "digest").alias(name)
+
+
+def _key(segment: Column) -> Column:
+    """What a segment and a probe must have in common; of one type on both sides, as hashes differ by type."""
+    return F.xxhash64(*[F.col(c).cast("long") for c in ("size", "n", "t", "i")], segment).alias("key")
+
+
 def _with_segments(known: DataFrame, per_edit: int) -> DataFrame:
-    """A row for each segment by which a digest can be found.
+    """key, id: a row for each segment by which a digest can be found.
 
     A digest r is found by a digest s that is not shorter and allows t edits: t depends on s's length alone, which is at
     most r's plus t. Cut into t + 1 segments, r has one that t edits leave whole; with at least three characters an edit no
@@ -28,11 +38,12 @@ def _with_segments(known: DataFrame, per_edit: int) -> DataFrame:
     told = told.withColumn("t", F.explode(F.expr(f"sequence(n DIV {per_edit}, ((n * {per_edit}) DIV {per_edit - 1}) DIV {per_edit})")))
     told = told.withColumn("i", F.explode(F.expr("sequence(0, t)")))
     begin, end = "(n * i) DIV (t + 1)", "(n * (i + 1)) DIV (t + 1)"
-    return told.select("size", "n", "t", "i", F.expr(f"substring(digest, CAST({begin} + 1 AS INT), CAST({end} - {begin} AS INT))").alias("segment"), "digest")
+    segment = F.expr(f"substring(digest, CAST({begin} + 1 AS INT), CAST({end} - {begin} AS INT))")
+    return told.select(_key(segment), _id())
 
 
 def _with_probes(asked: DataFrame, per_edit: int) -> DataFrame:
-    """A row for each place in a digest s at which a segment of a digest of n characters may stand: at most t places off."""
+    """key, other (an id): a row for each place in a digest s at which a segment of a digest of n characters may stand: at most t places off."""
     told = asked.select("size", "digest", F.length("digest").alias("m")).withColumn("t", F.expr(f"CAST(m DIV {per_edit} AS INT)"))
     told = told.withColumn("n", F.explode(F.expr("sequence(m - t, m)"))).withColumn("i", F.explode(F.expr("sequence(0, t)")))
     begin, end = "(n * i) DIV (t + 1)", "(n * (i + 1)) DIV (t + 1)"
@@ -41,7 +52,7 @@ def _with_probes(asked: DataFrame, per_edit: int) -> DataFrame:
     low = "greatest(begin - i, begin + (m - n) - (t - i), 0)"
     high = "least(begin + i, begin + (m - n) + (t - i), m - long)"
     told = told.where(f"{low} <= {high}").withColumn("at", F.explode(F.expr(f"sequence({low}, {high})")))
-    return told.select("size", "n", "t", "i", F.expr("substring(digest, CAST(at + 1 AS INT), long)").alias("segment"), F.col("digest").alias("other"))
+    return told.select(_key(F.expr("substring(digest, CAST(at + 1 AS INT), long)")), _id("other"))
 
 
 def near_digests(asked: DataFrame, known: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
@@ -51,24 +62,28 @@ def near_digests(asked: DataFrame, known: DataFrame, per_edit: int = PER_EDIT) -
     pair's shorter digest is cut into segments, the longer one asks at the few places where each may have moved to, so no
     pair is lost and only digests that share a segment meet.
     """
-    pair = ["size", "n", "t", "i", "segment"]
-    up = _with_segments(known, per_edit).join(_with_probes(asked, per_edit), pair).select("size", "digest", "other")
-    down = _with_segments(asked, per_edit).join(_with_probes(known, per_edit), pair).select("size", F.col("other").alias("digest"), F.col("digest").alias("other"))
-    met = up.unionByName(down).distinct()
-    return _near(met, per_edit)
+    up = _with_segments(known, per_edit).join(_with_probes(asked, per_edit), "key").select("id", "other")
+    down = _with_segments(asked, per_edit).join(_with_probes(known, per_edit), "key").select(F.col("other").alias("id"), F.col("id").alias("other"))
+    return _near(up.unionByName(down).distinct(), known, asked, per_edit)
 
 
 def near_pairs(known: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
     """size, digest < other, distance: as near_digests, within one table."""
-    pair = ["size", "n", "t", "i", "segment"]
-    met = _with_segments(known, per_edit).join(_with_probes(known, per_edit), pair).where("digest <> other")
-    met = met.select("size", F.least("digest", "other").alias("digest"), F.greatest("digest", "other").alias("other")).distinct()
-    return _near(met, per_edit)
-
-
-def _near(met: DataFrame, per_edit: int) -> DataFrame:
+    met = _with_segments(known, per_edit).join(_with_probes(known, per_edit), "key").where("id <> other")
+    met = met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+    # different digests that have one number meet too
+    alike = known.groupBy(_id()).agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("other"))
+    near = _near(met.unionByName(alike).distinct(), known, known, per_edit).where("digest <> other")
+    return near.select("size", F.least("digest", "other").alias("digest"), F.greatest("digest", "other").alias("other"), "distance").distinct()
+
+
+def _near(met: DataFrame, known: DataFrame, asked: DataFrame, per_edit: int) -> DataFrame:
+    """size, digest, other, distance of the pairs of ids whose digests are near."""
+    one = known.select(_id(), "size", "digest")
+    two = asked.select(_id("other"), F.col("size").alias("size_b"), F.col("digest").alias("digest_b"))
+    told = met.join(one, "id").join(two, "other").where("size = size_b").select("size", "digest", F.col("digest_b").alias("other"))
     most = F.floor(F.greatest(F.length("digest"), F.length("other")) / per_edit).cast("int")
-    told = met.withColumns({"distance": F.levenshtein("digest", "other"), "most": most})
+    told = told.withColumns({"distance": F.levenshtein("digest", "other"), "most": most})
     return told.where("distance <= most").drop("most")
 
 

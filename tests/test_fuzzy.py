@@ -83,3 +83,12 @@ def test_all_pairs_of_documents(spark):
     want = {(s, min(first[s, a], first[s, b]), max(first[s, a], first[s, b]), d) for s, a, b, d in pairs_within(set(first), 5)}
     assert {tuple(r) for r in pairs.collect()} == want and want
     assert {tuple(r) for r in members.collect()} == {(r.file, r["size"], first[r["size"], r.digest]) for r in rows}
+
+
+def test_probes_and_pairs_go_as_numbers(spark, monkeypatch):
+    """No row that is exchanged carries a digest's text; digests that share a number are still told apart and paired."""
+    known = spark.createDataFrame([(3, "abcdefghijkl"), (3, "abcdefghijkx"), (3, "zzzzzzzzzzzzzzzz")], "size long, digest string")
+    kinds = {c for df in (fuzzy_tier._with_segments(known, 10), fuzzy_tier._with_probes(known, 10)) for _, c in df.dtypes}
+    assert kinds == {"bigint"}
+    monkeypatch.setattr(fuzzy_tier, "_id", lambda name="id": F.lit(7).cast("long").alias(name))
+    assert [tuple(r) for r in fuzzy_tier.near_pairs(known).collect()] == [(3, "abcdefghijkl", "abcdefghijkx", 1)]
