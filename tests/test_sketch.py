@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,3 +131,18 @@ def test_md5_grams_are_hashed_together(monkeypatch):
     monkeypatch.setitem(sketch.HASHES, "md5", sketch._md5)
     sketch.winnow_texts(["some words of a text that is longer than a gram " * 50] * 3, hash_name="md5")
     assert not calls
+
+
+def test_line_sketches_take_little_memory(spark):
+    """A batch's sketches are arrays: a dictionary for each hash took many times the text."""
+    rng = random.Random(3)
+    text = "\n".join("".join(rng.choice("abcXYZ_ 12") for _ in range(40)) for _ in range(5000)).encode()
+    contents = [text, None, b"", b"short", text[:3000]] * 4
+    got = sketch.line_sketches(pa.array(contents, pa.binary()))
+    assert [[(x["hash"], x["line"]) for x in row] for row in got.to_pylist()] == [sketch.winnow_lines(c) for c in contents]
+    tracemalloc.start()
+    sketch.line_sketches(pa.array([text] * 20, pa.binary()))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 3 * 20 * len(text)
+    assert sketch.line_sketches(pa.array([], pa.binary())).to_pylist() == []
