@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.session import cut
@@ -54,13 +54,18 @@ def symbol_bitmaps(refs: DataFrame, releases: DataFrame, components: DataFrame)
     return told.select("component", "symbol", F.expr("symbol rlike concat('^(?:', prefix, ')')").alias("prefixed"), "words")
 
 
-def _rows_and_bits(words: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, 64 bits) of every word of lists of words, of which each belongs to a row."""
+def _rows_and_words(words: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, its 64 bits as a number) of every word of lists of words, of which each belongs to a row."""
     offsets = words.offsets.to_numpy()
     lo, hi = int(offsets[0]), int(offsets[-1])
     word = words.values.field("word").to_numpy(zero_copy_only=False)[lo:hi]
-    bits = np.ascontiguousarray(words.values.field("bits").to_numpy(zero_copy_only=False)[lo:hi], "<i8")
-    return np.repeat(row, np.diff(offsets)), word, np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.repeat(row, np.diff(offsets)), word, words.values.field("bits").to_numpy(zero_copy_only=False)[lo:hi]
+
+
+def _rows_and_bits(words: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _rows_and_words, with the bits one by one."""
+    row, word, bits = _rows_and_words(words, row)
+    return row, word, np.unpackbits(np.ascontiguousarray(bits, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def _sums(n: int, n_words: int, row: np.ndarray, word: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -91,6 +96,46 @@ def _chosen(unexplained: np.ndarray, matched: np.ndarray, soft: np.ndarray, ther
     return np.where(least[:, None] == 0, narrow, closest & there), least
 
 
+def _common(n: int, n_words: int, row: np.ndarray, word: np.ndarray, bits: np.ndarray, known_: np.ndarray) -> np.ndarray:
+    """(row, word) of 64 bits: the releases that all known symbols of a row have. A word that a symbol lacks has no release for it."""
+    out = np.zeros(n * n_words, np.int64)
+    key = row * n_words + word
+    order = np.argsort(key, kind="stable")
+    if len(order):
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+        at = key[order][starts]
+        whole = np.diff(np.r_[starts, len(order)]) == known_[at // n_words]
+        out[at] = np.where(whole, np.bitwise_and.reduceat(bits[order], starts), 0)
+    return out.reshape(n, n_words)
+
+
+def _divide_ranges(*more: str):
+    """Of the releases that explain all known symbols how many, the first and the last, by bitmaps alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            most = max(pc.max(pc.list_value_length(whole.column("sizes"))).as_py() or 1, 1) if whole.num_rows else 1
+            n_words = -(-most // 64)
+            step = max(1, (1 << 20) // (64 * n_words))
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                n, held = batch.num_rows, batch.column("held")
+                offsets = held.offsets.to_numpy()
+                entries = held.values.slice(offsets[0], offsets[-1] - offsets[0])
+                row = np.repeat(np.arange(n), np.diff(offsets))
+                prefixed = entries.field("prefixed").to_numpy(zero_copy_only=False)
+                words = entries.field("words")
+                own = np.repeat(prefixed, pc.list_value_length(words).to_numpy(zero_copy_only=False))
+                of, word, raw = _rows_and_words(words, row)
+                known_ = np.bincount(row[prefixed], minlength=n)
+                both = np.unpackbits(_common(n, n_words, of[own], word[own], raw[own], known_).astype("<i8").view(np.uint8), axis=1, bitorder="little").view(bool)
+                columns = {c: batch.column(c) for c in ("lib", "component", *more)}
+                a, b = both.argmax(1), both.shape[1] - 1 - both[:, ::-1].argmax(1)
+                yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(both.sum(1), pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
+
+    return run
+
+
 def _divide(mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -125,8 +170,8 @@ def _divide(mode: str):
     return run
 
 
-def _divided(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
-    """(lib, component, least, found: array of place, unexplained, soft; releases): a row for a library and a component.
+def _held(libs: DataFrame, refs: DataFrame, components: DataFrame, **more: Column) -> tuple[DataFrame, DataFrame]:
+    """(lib, component, held: words and prefixed of each symbol, sizes, and aggregates over lib, component, symbol, prefixed; releases).
 
     A library meets the bitmap of each of its symbols, once for each component that has it: no row for a library and a
     release is made. Bits are added up within the row, which holds one library's symbols.
@@ -134,12 +179,22 @@ def _divided(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str)
     releases = release_table(refs)
     bitmaps = symbol_bitmaps(refs, releases, components)
     met = libs.select("lib", "symbol").distinct().join(bitmaps, "symbol")
-    rows = met.groupBy("lib", "component").agg(F.collect_list(F.struct("words", "prefixed")).alias("held"), F.max("prefixed").alias("some")).where("some").drop("some")
+    some = {name: c.alias(name) for name, c in more.items()}
+    rows = met.groupBy("lib", "component").agg(F.collect_list(F.struct("words", "prefixed")).alias("held"), F.max("prefixed").alias("some"), *some.values()).where("some").drop("some")
     sizes = releases.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "size"))), lambda x: x["size"]).alias("sizes"))
+    return rows.join(sizes, "component").select("lib", "component", "held", "sizes", *more), releases
+
+
+def _kinds(rows: DataFrame, *names: str) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    told = rows.join(sizes, "component").select("lib", "component", "held", "sizes")
-    schema = f"lib {kinds['lib']}, component {kinds['component']}, least long, found array<struct<place:int,unexplained:bigint,soft:bigint>>"
-    return told.mapInArrow(_divide(mode), schema), releases
+    return ", ".join(f"{c} {kinds[c]}" for c in names)
+
+
+def _divided(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """(lib, component, least, found: array of place, unexplained, soft; releases): a row for a library and a component."""
+    rows, releases = _held(libs, refs, components)
+    schema = f"{_kinds(rows, 'lib', 'component')}, least long, found array<struct<place:int,unexplained:bigint,soft:bigint>>"
+    return rows.mapInArrow(_divide(mode), schema), releases
 
 
 def window(libs: DataFrame, refs: DataFrame, components: DataFrame, mode: str = "fold") -> DataFrame:
@@ -160,10 +215,17 @@ def spans(libs: DataFrame, refs: DataFrame, components: DataFrame) -> DataFrame:
 
     The first and the last place of the bits name the range, so its releases are never listed.
     """
-    found, releases = _divided(libs, refs, components, "strict")
-    told = found.where(F.size("found") > 0).select("lib", "component", F.size("found").cast("long").alias("n_releases"), F.element_at("found", 1)["place"].alias("a"), F.element_at("found", -1)["place"].alias("b"))
-    first, last = (releases.select("component", F.col("place").alias(x), F.col("release").alias(name)) for x, name in (("a", "first_release"), ("b", "last_release")))
-    return told.join(first, ["component", "a"]).join(last, ["component", "b"]).select("lib", "component", "n_releases", "first_release", "last_release")
+    rows, releases = _held(libs, refs, components)
+    found = rows.mapInArrow(_divide_ranges(), f"{_kinds(rows, 'lib', 'component')}, n long, a int, b int")
+    return _range_names(found, releases, "inner").select("lib", "component", F.col("n").alias("n_releases"), "first_release", "last_release")
+
+
+def _range_names(found: DataFrame, releases: DataFrame, how: str) -> DataFrame:
+    """found with first_release and last_release at its places a and b where n is not 0."""
+    for x, name in (("a", "first_release"), ("b", "last_release")):
+        at = releases.select("component", F.col("place").alias(x), F.col("release").alias(name))
+        found = found.withColumn(x, F.when(F.col("n") > 0, F.col(x))).join(at, ["component", x], how)
+    return found
 
 
 def span(rows: DataFrame) -> DataFrame:
@@ -186,13 +248,17 @@ def discriminating(refs: DataFrame) -> DataFrame:
 
 def batch_scan(libs: DataFrame, refs: DataFrame, components: DataFrame, shown: int = 10) -> DataFrame:
     """lib, component, n_observed, n_known, n_unknown, known_sample, n_consistent, first_release, last_release."""
-    kept = cut(known(libs, refs, components), "known-symbols")  # read three times; its rows are distinct
-    counts = observed_counts(libs, kept, components)
-    first = F.row_number().over(Window.partitionBy("lib", "component").orderBy("symbol"))
-    sample = kept.withColumn("_n", first).where(F.col("_n") <= shown).groupBy("lib", "component").agg(F.array_sort(F.collect_list("symbol")).alias("known_sample"))
-    strict = spans(libs, refs, components).withColumnRenamed("n_releases", "n_consistent")
-    out = counts.join(sample, ["lib", "component"]).join(strict, ["lib", "component"], "left")
-    return out.select("lib", "component", "n_observed", "n_known", (F.col("n_observed") - F.col("n_known")).alias("n_unknown"), "known_sample", F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), "first_release", "last_release")
+    refs = cut(refs, "symbol-refs")  # a table, as two jobs read it
+    n_known = F.count_if("prefixed")
+    sample = F.slice(F.array_sort(F.collect_list(F.when(F.col("prefixed"), F.col("symbol")))), 1, shown)
+    rows, releases = _held(libs, refs, components, n_known=n_known, known_sample=sample)
+    told = rows.mapInArrow(_divide_ranges("n_known", "known_sample"), f"{_kinds(rows, 'lib', 'component', 'n_known', 'known_sample')}, n long, a int, b int")
+    told = cut(told.join(components, "component"), "scanned-libraries")  # read twice
+    # a library's symbols are matched once with each prefix, not with each component
+    seen = libs.select("lib", "symbol").distinct().join(told.select("lib", "prefix").distinct(), "lib").where(F.expr("symbol rlike concat('^(?:', prefix, ')')"))
+    counts = seen.groupBy("lib", "prefix").agg(F.count("*").alias("n_observed"))
+    out = _range_names(told.join(counts, ["lib", "prefix"]), releases, "left")
+    return out.select("lib", "component", "n_observed", "n_known", (F.col("n_observed") - F.col("n_known")).alias("n_unknown"), "known_sample", F.col("n").alias("n_consistent"), "first_release", "last_release")
 
 
 def scan_summary(libs: DataFrame, matches: DataFrame, errors: DataFrame) -> DataFrame:

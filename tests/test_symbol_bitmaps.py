@@ -46,3 +46,13 @@ def test_no_libraries_or_releases(spark):
         assert symbols.window(libs, refs.where("false"), comp, mode).collect() == []
         assert symbols.window(libs.where("false"), refs, comp, mode).collect() == []
         assert {r.lib for r in symbols.window(libs, refs, comp, mode).collect()} == {"l", None}
+
+
+def test_a_scan_joins_libraries_with_references_once(spark, monkeypatch):
+    """Counts, samples and windows come from one row for a library and a component: its symbols were joined and exchanged for each of them."""
+    monkeypatch.setattr(symbols, "known", None)
+    refs = spark.createDataFrame([("c", f"r{r}", r, f"p{s}") for r in range(1, 6) for s in range(r)] + [("c", "r1", 1, "q1")], "component string, release string, ord long, symbol string")
+    libs = spark.createDataFrame([("l", "p1"), ("l", "p2"), ("l", "p2"), ("l", "p_other"), ("l", "q1"), ("m", "q1"), ("n", "p9"), (None, "p1")], "lib string, symbol string")
+    comp = spark.createDataFrame([("c", "p")], "component string, prefix string")
+    out = symbols.batch_scan(libs, refs, comp).collect()
+    assert [tuple(r) for r in out] == [("l", "c", 3, 2, 1, ["p1", "p2"], 3, "r3", "r5")]
