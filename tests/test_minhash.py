@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,16 @@ def test_bands():
 
 def test_empty(spark):
     assert found(spark, [None, ""]) == {}
+
+
+def test_bands_of_a_batch_are_those_of_each_set(monkeypatch):
+    """A row for each set, none for a shingle; sets that are hashed together do not change each other's bands."""
+    rnd = random.Random(6)
+    sets = [sorted({rnd.randrange(-(2**63), 2**63) for _ in range(n)}) for n in (1, 40, 300, 7, 7)]
+    batch = lambda some: pa.RecordBatch.from_pydict({"node": [str(len(s)) for s in some], "shingles": pa.array(some, pa.list_(pa.int64()))})
+    told = lambda batches: [x for b in mh._set_bands(5, 4)(iter(batches)) for x in b.to_pylist()]
+    want = told([batch([s]) for s in sets])
+    assert [x["n"] for x in want] == list(map(len, sets)) and all(len(x["bands"]) == 5 for x in want)
+    for most in (1, 50, 10**6):
+        monkeypatch.setattr(mh, "_AT_ONCE", most)
+        assert told([batch(sets).slice(1), batch(sets)]) == want[1:] + want
