@@ -10,12 +10,18 @@ became smaller, so there are as many rounds as a path changes chains, which merg
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.session import cut, remove
 
+#: Steps of a round up to this many rows are sent to the places that are known; more meet them by exchange.
+FEW = 200_000
+#: Places that share a key when releases meet stretches, so that one long chain is not one group.
+BLOCK = 64
+
 
 def chains(edges: DataFrame, told: Callable[[str], None] = lambda what: None) -> DataFrame:
     """commit, chain (its first commit), place (from 0), a table.
@@ -55,23 +61,33 @@ def reached(edges: DataFrame, placed: DataFrame, events: DataFrame, told: Callab
     # of a chain's edges into another those count that lead further back than all that start later
     across = cut(across.groupBy("parent_chain", "parent_place", "commit_chain").agg(F.min("commit_place").alias("commit_place")), "edges-across")
     start = events.select("event").distinct().join(placed, F.col("event") == F.col("commit")).select("event", "chain", "place")
-    best = cut(start, "reached")
-    new = best
+    new = cut(start, "reached")
+    parts, sizes = [new], [new.count()]
     while True:
         told("cross")
         step = new.join(across, (F.col("chain") == F.col("parent_chain")) & (F.col("place") <= F.col("parent_place")))
-        step = step.groupBy("event", "commit_chain").agg(F.min("commit_place").alias("to"))
-        had = best.select(F.col("event").alias("e"), F.col("chain").alias("c"), F.col("place").alias("p"))
-        better = step.join(had, (F.col("event") == F.col("e")) & (F.col("commit_chain") == F.col("c")), "left").where("p is null or to < p")
+        step = cut(step.groupBy("event", "commit_chain").agg(F.min("commit_place").alias("to")), "reached")
+        had = reduce(DataFrame.unionByName, parts).toDF("e", "c", "p")
+        if step.count() <= FEW:  # what is known stays where it is
+            keys = step.select(F.col("event").alias("_e"), F.col("commit_chain").alias("_c"))
+            had = had.join(F.broadcast(keys), (F.col("e") == F.col("_e")) & (F.col("c") == F.col("_c")), "left_semi")
+        better = step.hint("shuffle_hash").join(had, (F.col("event") == F.col("e")) & (F.col("commit_chain") == F.col("c")), "left")
+        if len(parts) > 1:  # a chain may be in several
+            better = better.groupBy("event", "commit_chain").agg(F.min("to").alias("to"), F.min("p").alias("p"))
+        better = better.where("p is null or to < p")
         found = cut(better.select("event", F.col("commit_chain").alias("chain"), F.col("to").alias("place")), "reached")
-        if found.isEmpty():
+        remove(step)
+        n = found.count()
+        if n:
+            parts, sizes, new = [*parts, found], [*sizes, n], found
+        # a table is only rewritten once as many rows came since, so late rounds cost what they find
+        if len(parts) > 1 and (not n or 2 * sum(sizes[1:]) > sizes[0]):
+            whole = cut(reduce(DataFrame.unionByName, parts).groupBy("event", "chain").agg(F.min("place").alias("place")), "reached")
+            remove(*(x for x in parts if x is not new or not n))
+            parts, sizes = [whole], [whole.count()]
+        if not n:
             remove(across, found)
-            return best
-        grown = cut(best.unionByName(found).groupBy("event", "chain").agg(F.min("place").alias("place")), "reached")
-        remove(best)
-        if new is not best:
-            remove(new)
-        best, new = grown, found
+            return parts[0]
 
 
 def affected_stretches(edges: DataFrame, ranges: DataFrame, told: Callable[[str], None] = lambda what: None) -> tuple[DataFrame, DataFrame]:
@@ -87,15 +103,19 @@ def affected_stretches(edges: DataFrame, ranges: DataFrame, told: Callable[[str]
     into = spread.select(F.col("event").alias("introduced"), "chain", F.col("place").alias("first"))
     out_of = spread.select(F.col("event").alias("fixed"), F.col("chain").alias("_chain"), F.col("place").alias("end"))
     length = placed.groupBy("chain").agg((F.max("place") + 1).alias("length"))
-    hit = ranges.select("advisory", "introduced", "fixed").distinct().join(into, "introduced").withColumnRenamed("fixed", "_fixed")
+    ranges = ranges.select("advisory", "introduced", "fixed").distinct()
+    several = ranges.groupBy(F.col("advisory").alias("_advisory")).agg((F.count("*") > 1).alias("several"))
+    out_of = out_of.join(ranges.select("fixed").distinct(), "fixed", "left_semi")
+    hit = ranges.join(several, F.col("advisory").eqNullSafe(F.col("_advisory"))).join(into, "introduced").withColumnRenamed("fixed", "_fixed")
     hit = hit.join(out_of, (F.col("_fixed") == F.col("fixed")) & (F.col("chain") == F.col("_chain")), "left").join(length, "chain")
-    hit = hit.withColumn("end", F.coalesce("end", "length")).where("first < end").groupBy("advisory", "chain").agg(F.collect_set(F.struct("first", "end")).alias("all"))
-    # the ranges of an advisory on one chain may overlap
-    kept = F.aggregate(F.array_sort("all"), F.array().cast("array<struct<first:bigint,end:bigint>>"), lambda done, x: F.when(
-        (F.size(done) > 0) & (x["first"] <= F.element_at(done, -1)["end"]),
-        F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
-    ).otherwise(F.concat(done, F.array(x))))
-    return cut(hit.select("advisory", "chain", F.inline(kept)), "stretches"), placed
+    hit = cut(hit.withColumn("end", F.coalesce("end", "length")).where("first < end").select("advisory", "chain", "first", "end", "several"), "hits")
+    # the ranges of an advisory on one chain may overlap: a stretch begins where none before reaches
+    before = Window.partitionBy("advisory", "chain").orderBy("first", "end")
+    begins = F.coalesce(F.col("first") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parted = hit.where("several").select("advisory", "chain", "first", "end", begins.cast("int").alias("begins"))
+    parted = parted.withColumn("n", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = parted.groupBy("advisory", "chain", "n").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("n")
+    return cut(hit.where("not several").select("advisory", "chain", "first", "end").unionByName(merged), "stretches"), placed
 
 
 def commits_in_ranges(edges: DataFrame, ranges: DataFrame, told: Callable[[str], None] = lambda what: None) -> DataFrame:
@@ -108,5 +128,7 @@ def commits_in_ranges(edges: DataFrame, ranges: DataFrame, told: Callable[[str],
 def releases_in_ranges(edges: DataFrame, ranges: DataFrame, releases: DataFrame) -> DataFrame:
     """advisory, release, commit of the releases affected. releases: release, commit."""
     stretches, placed = affected_stretches(edges, ranges)
-    at = releases.join(placed, "commit")
-    return at.join(stretches, "chain").where("place >= first and place < end").select("advisory", "release", "commit")
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    at = releases.join(placed, "commit").withColumn("block", block("place"))
+    blocks = stretches.withColumn("last", F.col("end") - 1).withColumn("block", F.explode(F.sequence(block("first"), block("last"))))
+    return at.join(blocks, ["chain", "block"]).where("place >= first and place < end").select("advisory", "release", "commit")

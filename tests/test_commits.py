@@ -72,3 +72,34 @@ def test_cycles_and_empty_tables(spark):
     assert {tuple(r) for r in got.collect()} == {("A", "a"), ("A", "b")}
     assert commits.commits_in_ranges(*tables(spark, [], [("A", "a", None)])).collect() == []
     assert commits.commits_in_ranges(*tables(spark, edges, [])).collect() == []
+
+
+def test_rounds_write_what_they_find(spark, monkeypatch):
+    """Every round wrote all places known so far again."""
+    hops, rows = 16, []
+
+    def counted(df, name, cut=commits.cut):
+        out = cut(df, name)
+        rows.append(out.count() if name == "reached" else 0)
+        return out
+
+    monkeypatch.setattr(commits, "cut", counted)
+    # each commit's smaller child continues its chain, so the other one starts the next
+    edges = [(100 + i + 1, 100 + i) for i in range(hops)] + [(i + 1, 100 + i) for i in range(hops)]
+    df, ranges = tables(spark, edges, [("A", 100, None)], "long")
+    stretches, _ = commits.affected_stretches(df, ranges)
+    assert stretches.count() == hops + 1 and sum(rows) <= 6 * hops
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_many_ranges_of_an_advisory_on_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(commits, "FEW", few)
+    rnd = random.Random(few)
+    edges = [(c, c - 1) for c in range(1, 400)] + [(c, c - 90) for c in range(100, 400, 50)]
+    ranges = [(f"A{i % 6}", a, rnd.choice([None, a + rnd.randrange(1, 40), a + rnd.randrange(1, 40)])) for i, a in enumerate(rnd.randrange(400) for _ in range(30))] + [(None, 5, 9), (None, 200, 203)]
+    df, r = tables(spark, edges, ranges, "long")
+    got = commits.commits_in_ranges(df, r).collect()
+    assert len(got) == len(set(got)) and {tuple(x) for x in got} == brute(edges, ranges)
+    releases = spark.createDataFrame([(f"v{i}", i) for i in range(0, 400, 7)], "release string, commit long")
+    found = commits.releases_in_ranges(df, r, releases).collect()
+    assert len(found) == len(set(found)) and {(x.advisory, x.commit) for x in found} == {(a, c) for a, c in brute(edges, ranges) if c % 7 == 0}
