@@ -146,3 +146,20 @@ def test_line_sketches_take_little_memory(spark):
     tracemalloc.stop()
     assert most < 3 * 20 * len(text)
     assert sketch.line_sketches(pa.array([], pa.binary())).to_pylist() == []
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group that is large enough for a split a core was left as it is, so one task had all its rows."""
+    from provena.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(4000).selectExpr("id", "sha2(cast(id AS string), 512) AS text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= 8
+        rows = [r["count"] for r in spread(df.where("text is not null")).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(rows) == 4000 and max(rows) <= 1000
