@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from provena.functions import sketch
 from provena.functions import text as ft
 from provena.operators import artifact, profile, vote
 from provena.sources import archive, ldb, wfp
-from provena.session import cut, shared_path, table
+from provena.session import cut, one_at_once, shared_path, table
 from provena.streaming import incremental
 
 
@@ -134,13 +135,15 @@ def wfp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfp.parse(wfp.render(rows)).select("path", "md5", "size", F.col("line").cast("long").alias("line"), "hash")
 
 
-def elf_archive(members: list[tuple[str, list[tuple[str, int, int, int]]]], wide: bool = True) -> bytes:
+def elf_archive(members: Iterable[tuple[str, list[tuple[str, int, int, int]]]], wide: bool = True) -> bytes:
     """An archive of relocatable files with the given (symbol, bind, type, section); a member without symbols is text."""
-    out = [archive.AR_MAGIC]
+    out = bytearray(archive.AR_MAGIC)
     for name, symbols in members:
         body = _elf(symbols, wide) if symbols else b"not an object"
-        out += [f"{name + '/':<16}{0:<12}{0:<6}{0:<6}{644:<8}{len(body):<10}`\n".encode(), body, b"\n" * (len(body) % 2)]
-    return b"".join(out)
+        out += f"{name + '/':<16}{0:<12}{0:<6}{0:<6}{644:<8}{len(body):<10}`\n".encode()
+        out += body
+        out += b"\n" * (len(body) % 2)
+    return bytes(out)
 
 
 def _elf(symbols: list[tuple[str, int, int, int]], wide: bool) -> bytes:
@@ -169,12 +172,13 @@ def ar_elf_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("p_partkey")
-        members = [(f"m{k % 1000}.o", [(f"part_{k}", 1 + (k % 2), 1 + (k % 3), k % 5), (f"local_{k}", 0, 2, 1)] if s % 10 else []) for k, s in zip(rows["p_partkey"].tolist(), rows["p_size"].tolist())]
+        members = ((f"m{k % 1000}.o", [(f"part_{k}", 1 + (k % 2), 1 + (k % 3), k % 5), (f"local_{k}", 0, 2, 1)] if s % 10 else []) for k, s in zip(rows["p_partkey"].tolist(), rows["p_size"].tolist()))
         data = elf_archive(members, wide=key[0].endswith("1"))
         return pd.DataFrame({"archive": [key[0]], "content": [data[:-3] if key[0] == "Brand#7" else data]})
 
     made = cut(part.groupBy("p_brand").applyInPandas(build, "archive string, content binary"), "archives")
-    return archive.defined_globals(archive.read_libraries(made))
+    with one_at_once(spark):
+        return archive.defined_globals(cut(archive.read_libraries(made), "archive-rows"))  # a table, as two jobs read it
 
 
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,11 @@ def small_batches(spark: SparkSession, size: str = "4m"):
     return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def one_at_once(spark: SparkSession):
+    """Jobs run inside give a row at once to a Python function of rows, for rows that are large; else a hundred wait together."""
+    return _setting(spark, "spark.sql.execution.python.udf.maxRecordsPerBatch", "1")
+
+
 def freed_shuffles(spark: SparkSession):
     """Queries run inside drop their shuffle files when they end; else these stay until the driver happens to collect its garbage."""
     return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

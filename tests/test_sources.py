@@ -224,3 +224,16 @@ def test_incremental_scan_takes_only_what_is_new(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], schema).write.mode("append").parquet(src)
     incremental.scan_available(incremental.stream_files(spark, src, schema), out, marks)
     assert sorted(r.text for r in spark.read.parquet(out).collect())[-1] == "c" and spark.read.parquet(out).count() == 3
+
+
+def test_a_large_archive_takes_little_more_memory_than_its_bytes():
+    """Headers and rows of a whole archive were Python objects at once, several times its size."""
+    import tracemalloc
+
+    members = ((f"m{k}.o", [(f"part_{k}", 1, 2, 1), (f"local_{k}", 0, 2, 1)]) for k in range(20_000))
+    data = elf_archive(members)
+    tracemalloc.start()
+    n = sum(1 for _ in archive.ReadArchive.func().eval(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < len(data)
