@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.operators import match, refdb, symbols, verdict, vote
+from provena.session import scratch
 
 FILES = "group string, filename string, exact_matches array<string>, top_candidates array<struct<score:double,tag:string>>"
 
@@ -80,6 +81,29 @@ def test_a_hash_of_all_contents_pairs_no_contents(spark):
     assert match.rare_pairs(t, c, match.common_hashes(c, match.OFTEN)).count() == 200
 
 
+def test_hashes_meet_in_rounds(spark, monkeypatch):
+    """All hashes were in exchanges at once, those of contents in two, and each pair of a target and a content had a row for each hash."""
+    rng = random.Random(3)
+    sets = lambda n, k: [(i, rng.choice("fg"), sorted(set(rng.sample(range(60), 6)) | {7, 1000 + i})) for i in range(n)]
+    targets, contents = sets(40, "t"), sets(60, "c")
+    t = spark.createDataFrame(targets, "t long, filename string, winnow array<long>")
+    c = spark.createDataFrame(contents, "c long, filename string, winnow array<long>")
+    df = {}
+    for _, f, w in contents:
+        for h in w:
+            df[f, h] = df.get((f, h), 0) + 1
+    want = sorted((i, sorted(k for k, g, v in contents if f == g and h in v)) for i, f, w in targets for h in w if 0 < df.get((f, h), 0) < 4)
+    monkeypatch.setattr(match, "ROUND", 100)
+    names = []
+    real = match.cut
+    monkeypatch.setattr(match, "cut", lambda x, name: names.append(name) or real(x, name))
+    with scratch():
+        met, common = match._met(t, c, 4)
+        assert sorted((r.t, sorted(r.cs)) for r in met.collect()) == want and len(want) > 50
+        assert sorted(map(tuple, common.collect()), key=str) == sorted(map(tuple, match.common_hashes(c, 4).collect()), key=str) and common.count() > 5
+    assert names.count("match-met") == 8
+
+
 def test_documents_are_sketched_once_for_votes(spark, tmp_path):
     """The vote queries sketched every document for each use, and sent hashes to the vote that no item has."""
     from provena.functions.sketch import winnow_text
